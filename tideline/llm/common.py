@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def whole_text(text_col: str = "text"):
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text holds code points that this Python's Unicode tables don't know; a library's may."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, quality, secrets, simhash, sketch, token_codes
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_sketch": sketch.op3_sketch,
+    "op4_token_codes": token_codes.op4_token_codes,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
