@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, sketch, token_codes
+from . import bpe, exact_dedup, extraction, mixing, pii, quality, secrets, simhash, sketch, token_codes
 
 QUERIES = {
+    "op1_extract_text": extraction.op1_extract_text,
     "op2_quality": quality.op2_quality,
     "op3_sketch": sketch.op3_sketch,
     "op4_token_codes": token_codes.op4_token_codes,
+    "op5_private": pii.op5_private,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
