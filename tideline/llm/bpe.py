@@ -1,14 +1,14 @@
 """Operator 8: BPE encoding and decoding with a contiguous rank array.
 
-A word is held as an array of part boundaries and an array of the ranks of its
-adjacent pairs.  The smallest rank is looked for again and again, its right
+A word is held as an array of its parts, in which boundaries are places, and an
+array of the ranks of the boundaries between adjacent parts.  The smallest rank is looked for again and again, its
 boundary is deleted, and the two neighbouring ranks are looked up anew.  Words
 beyond ``SHORT`` symbols, where repeated scans would be quadratic, keep the same
 arrays as a linked list under a heap.
 
 Text goes through the vocabulary file's own steps first: special tokens cut the
-raw text, then NFC, white space to one space, lower case by character, the
-split into word-like pieces and the byte alphabet with word ends.
+raw text, then NFC, lower case by character, the split into word-like pieces
+(white space is dropped) and the byte alphabet with word ends.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,12 +26,13 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import has_unassigned, table, whole_text
+from .common import BoundedCache, classes_alike, table, whole_text
 
 SHORT = 128
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
-NO_RANK = 1 << 60
+#: (rank, id) of a boundary that no merge crosses.
+NO_MERGE = (1 << 60, -1)
 
 
 def byte_alphabet() -> list[str]:
@@ -39,48 +42,50 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The parts of one short word after all merges."""
-    bounds = list(range(len(symbols) + 1))
-    text = "".join(symbols)
-    at = [0]
-    for s in symbols:
-        at.append(at[-1] + len(s))
-    part = lambda i: text[at[bounds[i]] : at[bounds[i + 1]]]
-    pair = lambda i: ranks.get((part(i), part(i + 1)), NO_RANK)
-    adjacent = [pair(i) for i in range(len(symbols) - 1)]
-    while adjacent:
-        low = min(adjacent)
-        if low == NO_RANK:
+def merge_word(parts: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
+    """The ids of one short word after all merges.
+
+    ``parts`` holds the id between each two neighbouring boundaries and ``ranks``
+    the rank of each inner boundary, as contiguous arrays.
+    """
+    get = merges.get
+    ranks = [get(a << 16 | b, NO_MERGE) for a, b in zip(parts, parts[1:], strict=False)]
+    while ranks:
+        low = min(ranks)
+        if low is NO_MERGE:
             break
-        i = adjacent.index(low)
-        del bounds[i + 1], adjacent[i]
+        i = ranks.index(low)
+        # Delete the boundary; its neighbours have new pairs.
+        parts[i] = low[1]
+        del parts[i + 1], ranks[i]
         if i:
-            adjacent[i - 1] = pair(i - 1)
-        if i < len(adjacent):
-            adjacent[i] = pair(i)
-    return [part(i) for i in range(len(bounds) - 1)]
-
-
-def merge_long_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The same parts in n log n steps, for words too long to scan again and again."""
-    parts: list[str | None] = list(symbols)
-    right, left = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap = [(ranks[p], i, *p) for i in range(len(parts) - 1) if (p := (symbols[i], symbols[i + 1])) in ranks]
+            ranks[i - 1] = get(parts[i - 1] << 16 | parts[i], NO_MERGE)
+        if i < len(ranks):
+            ranks[i] = get(parts[i] << 16 | parts[i + 1], NO_MERGE)
+    return parts
+
+
+def merge_long_word(parts: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
+    """The same ids in n log n steps, for words too long to scan again and again."""
+    n = len(parts)
+    held: list[int | None] = list(parts)
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (m := merges.get(a << 16 | b))]
+    heap = [(rank, i, a, b, new) for rank, new, i, a, b in heap]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
+        _, i, a, b, new = heapq.heappop(heap)
         j = right[i]
-        if parts[i] != a or j >= len(parts) or parts[j] != b:
+        if held[i] != a or j >= n or held[j] != b:
             continue
-        parts[i], parts[j] = a + b, None
+        held[i], held[j] = new, None
         right[i] = right[j]
-        if right[i] < len(parts):
+        if right[i] < n:
             left[right[i]] = i
         for k in (left[i], i):
-            if k >= 0 and right[k] < len(parts) and (p := (parts[k], parts[right[k]])) in ranks:
-                heapq.heappush(heap, (ranks[p], k, *p))
-    return [p for p in parts if p is not None]
+            if k >= 0 and right[k] < n and (m := merges.get(held[k] << 16 | held[right[k]])):
+                heapq.heappush(heap, (m[0], k, held[k], held[right[k]], m[1]))
+    return [p for p in held if p is not None]
 
 
 class WordBpe:
@@ -91,33 +96,41 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
+        if len(self.vocab) > 1 << 16:
+            raise ValueError("pairs are packed as two 16-bit ids")
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merges = {self.vocab[a] << 16 | self.vocab[b]: (i, self.vocab[a + b]) for i, (a, b) in reversed(list(enumerate(pairs)))}
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
+        # The same split in Python's own classes, for texts whose characters those sort alike.
+        self.plain = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"))
+        if "\\p" in self.plain.pattern:
+            self.plain = self.pieces
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.space = regex.compile(r"\s+")
         self.alphabet = byte_alphabet()
+        self.inner = [self.vocab[c] for c in self.alphabet]
+        self.last = [self.vocab[c + self.end] for c in self.alphabet]
         self.path = path
         self.library = None
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache = BoundedCache(CACHE_WORDS)
 
     def normalise(self, text: str) -> str:
+        """NFC and lower case; white space, which the split drops, stays as it is."""
         if not text.isascii():
             # Lower case goes by character here, so a final sigma is like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.space.sub(" ", text).lower()
+        return text.lower()
 
     def word(self, piece: str) -> tuple[bytes, str]:
         """The ids of a piece as little-endian bytes, and its decoded form."""
-        symbols = [self.alphabet[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.end
-        parts = (merge_word if len(symbols) <= SHORT else merge_long_word)(symbols, self.ranks)
-        ids = [self.vocab[p] for p in parts]
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(parts)
+        raw = piece.encode("utf-8")
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        ids = (merge_word if len(parts) <= SHORT else merge_long_word)(parts, self.merges)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
     def _split_by_library(self, text: str) -> list[str]:
         """The pieces of a text with code points newer than Python's tables, by the library's tables."""
@@ -129,17 +142,25 @@ class WordBpe:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(code[c] for c in p).decode("utf-8") for p, _ in pieces]
 
-    def _words(self, text: str) -> Iterator[tuple[bytes, str]]:
-        cache = self.cache
-        for piece in self._split_by_library(text) if has_unassigned(text) else self.pieces.findall(self.normalise(text)):
-            found = cache.get(piece)
-            if found is None:
-                found = self.word(piece)
-                if len(piece) <= CACHE_WORD_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[piece] = found
-            yield found
+    def _words(self, text: str) -> list[tuple[bytes, str]]:
+        if classes_alike(text):
+            pieces = self.plain.findall(self.normalise(text))
+        else:
+            pieces = self._split_by_library(text)
+        found = list(map(self.cache.get, pieces))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                piece = pieces[at]
+                held = self.cache.find(piece)
+                if held is None:
+                    held = self.word(piece)
+                    if len(piece) <= CACHE_WORD_CHARS:
+                        self.cache.put(piece, held)
+                found[at] = held
+        except ValueError:
+            return found
 
     def encode_bytes(self, text: str) -> tuple[bytes, list[str]]:
         """All ids of a text as little-endian unsigned 32-bit integers, and the decoded words."""
@@ -149,9 +170,9 @@ class WordBpe:
                 ids.append(self.special[segment].to_bytes(4, "little"))
                 words.append(segment)
             elif segment:
-                for i, w in self._words(segment):
-                    ids.append(i)
-                    words.append(w)
+                found = self._words(segment)
+                ids += [x[0] for x in found]
+                words += [x[1] for x in found]
         return b"".join(ids), words
 
     def encode(self, text: str) -> list[int]:

@@ -49,6 +49,43 @@ def whole_text(text_col: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def has_unassigned(text: str) -> bool:
-    """Whether a text holds code points that this Python's Unicode tables don't know; a library's may."""
-    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+_ALIKE: set[str] = set()
+
+
+def classes_alike(text: str) -> bool:
+    """Whether Python's ``re`` classes each character of a text as Unicode's letter, number and space properties do.
+
+    Letters, decimal digits, marks, punctuation and symbols are; other numbers,
+    the separators U+001C to U+001F and code points newer than Python's tables
+    are not.
+    """
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    new = set(text) - _ALIKE
+    for c in new:
+        kind = unicodedata.category(c)
+        if kind in ("No", "Nl", "Cn", "Co", "Cs") or "\x1c" <= c <= "\x1f":
+            return False
+        _ALIKE.add(c)
+    return True
+
+
+class BoundedCache(dict):
+    """A dict of at most ``2 * size`` entries: when the young half is full it becomes the old one, whose entries come back on use."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def find(self, key):
+        """The entry of a key that the young half lacks, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

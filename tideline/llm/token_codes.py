@@ -16,18 +16,20 @@ task leaves no half file and any store will do.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import has_unassigned, materialize, table, whole_text
+from .bpe import byte_alphabet
+from .common import BoundedCache, classes_alike, materialize, table, whole_text
 
 CHUNK_BITS = 8
 RANK_EVERY = 512
@@ -90,47 +92,79 @@ class Codes:
             live = live[goes]
         return out.astype(np.uint32)
 
+    def stretch(self, start: int, end: int) -> np.ndarray:
+        """The ids from ``start`` to before ``end``: their entries lie side by side on every level."""
+        out = np.zeros(end - start, np.uint32)
+        live: np.ndarray | None = None
+        for level, (chunks, more, _) in enumerate(self.levels):
+            if start >= end:
+                break
+            part = chunks[start:end].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
+            if live is None:
+                out = part
+            else:
+                out[live] |= part
+            goes = np.flatnonzero(np.unpackbits(more[start >> 3 : (end + 7) >> 3])[start & 7 : (start & 7) + end - start])
+            live = goes if live is None else live[goes]
+            if len(goes):
+                start = int(self._rank(level, np.array([start]))[0])
+            else:
+                break
+            end = start + len(goes)
+        return out
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    import public_tokenizers
+class PieceEncoder:
+    """Whole texts to ids with the library's own model, each distinct piece of its split encoded once while it is remembered.
 
-    loaded = Tokenizer.from_file(path)
-    special = [t.content for t in loaded.get_added_tokens_decoder().values()]
-    return loaded, regex.compile(public_tokenizers.PATTERN), special, {}
+    The model never merges across pieces, so their ids are joined.  Texts that
+    hold a special token's string, or characters that Python's classes sort
+    otherwise than the library's, go to the library as they are.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Fixed value: the split of byte-level BPE, with letters, digits and the rest in Python's classes.
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.cache = BoundedCache(CACHE_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        held = self.cache.find(piece)
+        if held is None:
+            if piece.isascii() and piece.isprintable():
+                coded = piece.replace(" ", self.alphabet[32])
+            else:
+                coded = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.model.tokenize(coded)]
+            held = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= 64:
+                self.cache.put(piece, held)
+        return held
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if any(s in text for s in self.special) or not classes_alike(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = self.split(text)
+        found = list(map(self.cache.get, pieces))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self._piece(pieces[at])
+        except ValueError:
+            return b"".join(found)
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts, as the library gives them, as little-endian unsigned 32-bit integers.
 
-    The model never merges across the pieces of its own split, so the library
-    encodes each distinct piece once and the pieces' ids are joined.  Texts that
-    hold a special token's string, or code points newer than the split's
-    tables, go to the library as they are.
-    """
-    tokenizer, split, special, cache = _tokenizer(path)
-    out = []
-    for text in texts:
-        if any(s in text for s in special) or has_unassigned(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        pieces = split.findall(text)
-        try:
-            out.append(b"".join([cache[p] for p in pieces]))
-        except KeyError:
-            new = [p for p in set(pieces) if p not in cache]
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache.clear()
-                new = list(set(pieces))
-            cache.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-            out.append(b"".join([cache[p] for p in pieces]))
-            for p in new:
-                if len(p) > 64:
-                    cache.pop(p, None)
-    return out
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, label: str = "token-codes") -> DataFrame:
@@ -144,6 +178,7 @@ def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids: list[bytes] = []
         doc_ids: list = []
         held = 0
+        encode = encoder(path).encode
 
         def flush():
             lengths = [len(x) // 4 for x in ids]
@@ -152,15 +187,15 @@ def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             batch_ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for k in range(0, len(batch), 64):
-                for doc_id, own in zip(batch_ids[k : k + 64], encode_texts(list(batch["text"].iloc[k : k + 64]), path), strict=True):
-                    ids.append(own + END_ID.to_bytes(4, "little"))
-                    doc_ids.append(doc_id)
-                    held += len(own) // 4 + 1
-                    if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
-                        yield flush()
-                        before += held
-                        ids, doc_ids, held, shard = [], [], 0, shard + 1
+            for doc_id, text in zip(batch_ids, batch["text"], strict=True):
+                own = encode(text)
+                ids.append(own + END_ID.to_bytes(4, "little"))
+                doc_ids.append(doc_id)
+                held += len(own) // 4 + 1
+                if held >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
+                    yield flush()
+                    before += held
+                    ids, doc_ids, held, shard = [], [], 0, shard + 1
         if ids:
             yield flush()
 
@@ -189,7 +224,7 @@ def read_codes(shards: DataFrame) -> DataFrame:
                 while k < len(lengths):
                     a = ends[k] - lengths[k]
                     last = max(k + 1, int(np.searchsorted(ends, a + READ_TOKENS, "right")))
-                    ids = codes.get(np.arange(a, ends[last - 1])).astype("<u4")
+                    ids = codes.stretch(int(a), int(ends[last - 1])).astype("<u4", copy=False)
                     for d in range(k, last):
                         crcs[d] = zlib.crc32(ids[ends[d] - lengths[d] - a : ends[d] - a].tobytes())
                     k = last
