@@ -7,7 +7,7 @@ sum of digests and a sum of check hashes.  Cells of two versions subtract; what
 both hold cancels, and peeling recovers the digests that only one of them has:
 a cell with count 1 or -1 whose check agrees names a digest, which then leaves
 its other cells.  Where peeling gets stuck, both sketches are built anew with
-four times the cells.  Likeness is Dice's: twice the shared pieces over all.
+twice the cells.  Likeness is Dice's: twice the shared pieces over all.
 
 Documents are dealt by range of their ids and sorted, so a document meets the
 next one within its task; only the first and last document of each task are
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, whole_text
 
 PIECE_WORDS = 8
-CELLS = 24
-GROWTH = 4
+CELLS = 12
+GROWTH = 2
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -59,34 +59,38 @@ def digests(text: str) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit finaliser (multiply and shift), other for each salt."""
-    with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(32))
+_FIELDS = np.array([[0], [21], [42]], np.uint64)
+_FIELD = np.uint64((1 << 21) - 1)
+_THIRDS = np.arange(3)[:, None]
 
 
 def _cells(keys: np.ndarray, size: int) -> np.ndarray:
-    third = np.uint64(size // 3)
-    return np.concatenate([(_mix(keys, j + 1) % third).astype(np.int64) + j * (size // 3) for j in range(3)])
+    """The three cells of each digest, (3, n): as digests are uniform, their bit fields choose them."""
+    return ((keys >> _FIELDS & _FIELD) % np.uint64(size // 3)).astype(np.int64) + _THIRDS * (size // 3)
+
+
+def _check(keys: np.ndarray) -> np.ndarray:
+    """A check hash that isn't linear, so that sums of digests don't pass for one."""
+    x = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(32)
 
 
 class Sketch:
     """Counts, digest sums and check sums of ``size`` cells (a multiple of three)."""
 
-    def __init__(self, keys: np.ndarray, size: int = CELLS):
+    def __init__(self, keys: np.ndarray, check: np.ndarray, size: int = CELLS):
         self.n, self.size = len(keys), size
-        at, check = _cells(keys, size), _mix(keys, 9) >> np.uint64(32)
-        self.count = np.bincount(at, minlength=size).astype(np.int64)
+        at = _cells(keys, size)
+        self.count = np.bincount(at.ravel(), minlength=size)
         self.keys = np.zeros(size, np.uint64)
         self.check = np.zeros(size, np.uint64)
-        np.add.at(self.keys, at, np.tile(keys, 3))
-        np.add.at(self.check, at, np.tile(check, 3))
+        for row in at:
+            np.add.at(self.keys, row, keys)
+            np.add.at(self.check, row, check)
 
     def text(self) -> str:
         """The fingerprint as text: the number of pieces and the cells."""
-        raw = self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.check.astype("<u8").tobytes()
+        raw = self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()
         return f"{self.n}:{base64.b64encode(raw).decode()}"
 
     def difference(self, other: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
@@ -94,22 +98,24 @@ class Sketch:
         count, keys, check = self.count - other.count, self.keys - other.keys, self.check - other.check
         mine, theirs = [], []
         while True:
-            single = np.flatnonzero(np.abs(count) == 1)
+            single = np.flatnonzero((count == 1) | (count == -1))
+            if not len(single):
+                break
             sign = count[single]
-            key = np.where(sign > 0, keys[single], np.uint64(0) - keys[single])
-            value = np.where(sign > 0, check[single], np.uint64(0) - check[single])
-            pure = value == _mix(key, 9) >> np.uint64(32)
+            unsigned = sign.astype(np.uint64)
+            key = keys[single] * unsigned
+            pure = check[single] * unsigned == _check(key)
             key, first = np.unique(key[pure], return_index=True)
             if not len(key):
                 break
             sign = sign[pure][first]
             mine.append(key[sign > 0])
             theirs.append(key[sign < 0])
-            at, signs = _cells(key, self.size), np.tile(sign, 3)
-            unsigned = signs.astype(np.uint64)
-            np.subtract.at(count, at, signs)
-            np.subtract.at(keys, at, np.tile(key, 3) * unsigned)
-            np.subtract.at(check, at, np.tile(_mix(key, 9) >> np.uint64(32), 3) * unsigned)
+            at, unsigned = _cells(key, self.size), sign.astype(np.uint64)
+            for row in at:
+                np.subtract.at(count, row, sign)
+                np.subtract.at(keys, row, key * unsigned)
+                np.subtract.at(check, row, _check(key) * unsigned)
         if count.any() or keys.any():
             return None
         none = np.zeros(0, np.uint64)
@@ -122,25 +128,31 @@ class Version:
     def __init__(self, text: str):
         self.text = text
         self.keys = digests(text)
+        self.check = _check(self.keys)
         self.sketches: dict[int, Sketch] = {}
 
     def sketch(self, size: int = CELLS) -> Sketch:
         if size not in self.sketches:
-            self.sketches[size] = Sketch(self.keys, size)
+            self.sketches[size] = Sketch(self.keys, self.check, size)
         return self.sketches[size]
 
 
 def differing(a: Version, b: Version) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only one version holds, from the smallest sketches that peel."""
-    size, least = CELLS, abs(len(a.keys) - len(b.keys))
-    while size < least:
+    """Digests that only one version holds.
+
+    A digest of either side adds 1 to the squared counts of three cells of the
+    difference, so the smallest sketches tell about how many there are, and the
+    first size to peel has room for those.  Where it gets stuck, the next is larger.
+    """
+    size = CELLS
+    about = float(np.square(a.sketch().count - b.sketch().count).sum()) / 3
+    while size < 1.4 * about:
+        size *= GROWTH
+    while (found := a.sketch(size).difference(b.sketch(size))) is None:
+        if size > 64 * (len(a.keys) + len(b.keys) + CELLS):
+            # Equal 64-bit digests of different pieces can't be told apart at any size.
+            return np.setdiff1d(a.keys, b.keys), np.setdiff1d(b.keys, a.keys)
         size *= GROWTH
-    with np.errstate(over="ignore"):
-        while (found := a.sketch(size).difference(b.sketch(size))) is None:
-            if size > 64 * (len(a.keys) + len(b.keys) + CELLS):
-                # Equal 64-bit digests of different pieces can't be told apart at any size.
-                return np.setdiff1d(a.keys, b.keys), np.setdiff1d(b.keys, a.keys)
-            size *= GROWTH
     return found
 
 
