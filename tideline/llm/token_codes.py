@@ -36,7 +36,7 @@ RANK_EVERY = 512
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 13
 READ_TOKENS = 1 << 18
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 END_ID = 0
 
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
