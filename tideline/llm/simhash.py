@@ -189,10 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with their columns; rows without an id stay where their component has none."""
+    """``docs`` without the rows whose id isn't their component's smallest, with their columns.
+
+    What goes is far less than what stays, so the rows are joined against the
+    ids that go.  Rows of one id count as one document; rows without an id stay.
+    """
     found = near_duplicates(docs, **settings)
-    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "simhash-stay")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct(), "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
