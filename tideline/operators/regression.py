@@ -38,7 +38,7 @@ def simple_ols(df: DataFrame, x: str, y: str, kind: str = L.HC1, day: str = "d",
     whole = Window.partitionBy(*keys)
     rows = df.where(S.is_num(a) & S.is_num(b)).select(*keys, F.datediff(F.col(day), F.lit("1970-01-01")).cast("long").alias("t"), a.alias("x"), b.alias("y"))
     mean = rows.withColumns({"n": F.count(F.lit(1)).over(whole), "dx": F.col("x") - F.avg("x").over(whole), "dy": F.col("y") - F.avg("y").over(whole)})
-    fit = mean.withColumn("sxx", F.sum(F.col("dx") * F.col("dx")).over(whole)).withColumn("b", F.sum(F.col("dx") * F.col("dy")).over(whole) / F.col("sxx"))
+    fit = mean.withColumn("sxx", F.sum(F.col("dx") * F.col("dx")).over(whole)).withColumn("b", F.try_divide(F.sum(F.col("dx") * F.col("dy")).over(whole), F.nullif("sxx", F.lit(0.0))))
     score = fit.withColumn("s", F.col("dx") * (F.col("dy") - F.col("b") * F.col("dx")))
     own = score.groupBy(*keys, "n", "sxx", "b").agg(F.sum(F.col("s") * F.col("s")).alias("meat"))
     if kind == L.HAC:
@@ -50,7 +50,7 @@ def simple_ols(df: DataFrame, x: str, y: str, kind: str = L.HC1, day: str = "d",
         own = own.withColumns({"meat": F.col("meat") + 2 * F.coalesce("cross", F.lit(0.0)), "bandwidth": newey_west_bandwidth(F.col("n"))})
     else:
         own = own.withColumn("bandwidth", F.lit(None).cast("long"))
-    se = F.sqrt(F.col("meat") * F.col("n") / (F.col("n") - 2)) / F.col("sxx")
+    se = F.try_divide(F.sqrt(F.try_divide(F.col("meat") * F.col("n"), F.nullif(F.col("n") - 2, F.lit(0)))), F.col("sxx"))
     return own.select(*keys, F.col("b").alias("coef"), se.alias("se"), "n", "bandwidth")
 
 

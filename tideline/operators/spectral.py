@@ -40,8 +40,8 @@ def lomb_scargle(
     s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("var"), F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span"))
     s = s.where((F.col("n") >= min_n) & (F.col("var") > 0) & (F.col("span") > 0))
     longest = F.lit(float(max_period)) if max_period else F.col("span") / 2
-    first, step = 1 / longest, 1 / (F.col("span") * oversample)
-    count = F.floor((1 / F.lit(float(min_period)) + 1e-12 - first) / step)
+    first, step = F.try_divide(F.lit(1.0), longest), F.try_divide(F.lit(1.0), F.col("span") * oversample)
+    count = F.floor(F.try_divide(1 / float(min_period) + 1e-12 - first, step))
     s = s.where(count >= 0)
     grid = s.select(*keys, "n", "m", "var", first.alias("f0"), step.alias("fs"), F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long"))).alias("k")).withColumn("w", 2 * math.pi * (F.col("f0") + F.col("k") * F.col("fs")))
     grid = F.broadcast(grid.drop("f0", "fs"))  # spans times oversampling, independent of the number of observations

@@ -36,8 +36,9 @@ def pearson_agg(x: str | Column, y: str | Column, min_n: int = 8) -> list[Column
     """Aggregates ``r`` (null below ``min_n`` pairs or without variance) and ``n`` of complete pairs."""
     a, b = _pair(x, y)
     n = F.count(a)
-    varied = (F.coalesce(F.stddev_samp(a), F.lit(0.0)) > 0) & (F.coalesce(F.stddev_samp(b), F.lit(0.0)) > 0)
-    return [F.when((n >= min_n) & varied, F.corr(a, b)).alias("r"), n.alias("n")]
+    # ``corr`` divides by zero where a column is constant.
+    r = F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+    return [F.when(n >= min_n, r).alias("r"), n.alias("n")]
 
 
 def pearson(df: DataFrame, x: str, y: str, min_n: int = 8, keys: Sequence[str] = NONE) -> DataFrame:
