@@ -7,7 +7,9 @@ import math
 import duckdb
 import pytest
 
-from tideline.plans import estimators, oracle, queries
+from tideline.plans import estimators, extras, oracle, queries
+
+assert extras  # registers its queries and SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 

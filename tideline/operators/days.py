@@ -27,6 +27,15 @@ def trailing(width: int, keys: Sequence[str] = NONE, day: str = "d"):
     return by_day(keys, day).rowsBetween(-(width - 1), Window.currentRow)
 
 
+def meet(rows: DataFrame, per_entity: DataFrame, keys: Sequence[str] = NONE) -> DataFrame:
+    """Rows beside what was aggregated for their entity.
+
+    Without keys that is one entity, whose few rows are broadcast; with keys
+    there may be any number, so the sides meet by an ordinary join.
+    """
+    return rows.join(per_entity, list(keys)) if keys else rows.join(F.broadcast(per_entity))
+
+
 def calendar_spine(df: DataFrame, day: str = "d", keys: Sequence[str] = NONE) -> DataFrame:
     """Every day from an entity's first to its last, with its row where it has one."""
     span = df.groupBy(*keys).agg(F.min(day).alias("__a"), F.max(day).alias("__b")).where(F.col("__a").isNotNull())
@@ -141,7 +150,7 @@ def select_window(days: DataFrame, size: int, day: str = "d", keys: Sequence[str
     last = days.groupBy(*keys).agg(F.max(day).alias("__last"), F.count(F.lit(1)).alias("__n"))
     back = F.datediff(F.col("__last"), F.col(day))
     whole = (F.lit(size) == 0) | (F.lit(size) >= F.col("__n"))
-    joined = days.join(last, list(keys)) if keys else days.join(F.broadcast(last))  # one row
+    joined = meet(days, last, keys)
     period = F.when(whole | (back < size), "current").when(back < 2 * size, "previous")
     return joined.withColumn("period", period).where(F.col("period").isNotNull()).drop("__last", "__n")
 

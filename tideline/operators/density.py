@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .days import meet
 
 NONE: Sequence[str] = ()
 MIN_BINS, MAX_BINS = 4, 60
@@ -41,10 +42,9 @@ def histogram(df: DataFrame, x: str, bins: int | None = None, keys: Sequence[str
     count = F.least(F.lit(MAX_BINS), F.greatest(F.lit(MIN_BINS), auto if bins is None else F.lit(bins))).cast("long")
     flat = F.col("hi") <= F.col("lo")
     shape = s.select(*keys, "n", "lo", F.when(flat, 1).otherwise(count).cast("long").alias("b"), F.when(flat, 0.0).otherwise((F.col("hi") - F.col("lo")) / count).alias("step"))
-    shape = F.broadcast(shape)  # a row for each entity, of a key the caller chose
     v = S.finite(F.col(x))
     rows = df.where(v.isNotNull()).select(*keys, v.alias("v"))
-    placed = rows.join(shape, list(keys)) if keys else rows.join(shape)
+    placed = meet(rows, shape, keys)
     index = F.when(F.col("step") > 0, F.least(F.col("b") - 1, F.floor((F.col("v") - F.col("lo")) / F.col("step")))).otherwise(0).cast("long")
     counts = placed.groupBy(*keys, index.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     every = shape.select(*keys, "n", "lo", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("bin"))
@@ -65,21 +65,20 @@ def kernel_density(df: DataFrame, x: str, bandwidth: float | None = None, points
     s = spread(df, x, keys)
     s = s.withColumn("h", F.lit(bandwidth) if bandwidth else F.col("h")).where("h > 0")
     shape = s.select(*keys, "h", (F.col("lo") - PAD * F.col("h")).alias("g0"), ((F.col("hi") - F.col("lo") + 2 * PAD * F.col("h")) / (points - 1)).alias("step"))
-    shape = F.broadcast(shape)  # a row for each entity
     v = S.finite(F.col(x))
     rows = df.where(v.isNotNull()).select(*keys, v.alias("v"))
-    placed = (rows.join(shape, list(keys)) if keys else rows.join(shape)).withColumn("pos", (F.col("v") - F.col("g0")) / F.col("step"))
+    placed = meet(rows, shape, keys).withColumn("pos", (F.col("v") - F.col("g0")) / F.col("step"))
     cell = F.least(F.lit(points - 2), F.floor("pos")).cast("long")
     halves = F.array(F.struct(cell.alias("c"), (1 - (F.col("pos") - cell)).alias("w")), F.struct((cell + 1).alias("c"), (F.col("pos") - cell).alias("w")))
     cells = placed.select(*keys, F.explode(halves).alias("one")).groupBy(*keys, "one.c").agg(F.sum("one.w").alias("w"))
     total = cells.groupBy(*keys).agg(F.sum("w").alias("total"))
     reach = F.ceil(CUT * F.col("h") / F.col("step")).cast("long")
-    near = (cells.join(shape, list(keys)) if keys else cells.join(shape)).withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("c") - reach), F.least(F.lit(points - 1), F.col("c") + reach))))
+    near = meet(cells, shape, keys).withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("c") - reach), F.least(F.lit(points - 1), F.col("c") + reach))))
     u = (F.col("i") - F.col("c")) * F.col("step") / F.col("h")
     sums = near.groupBy(*keys, "i").agg(F.sum(F.col("w") * F.exp(-0.5 * u * u)).alias("mass"))
     grid = shape.select(*keys, "h", "g0", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("i"))
     out = grid.join(sums, [*keys, "i"], "left")
-    out = out.join(total, list(keys)) if keys else out.join(F.broadcast(total))  # one row
+    out = meet(out, total, keys)
     y = F.coalesce("mass", F.lit(0.0)) / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))
     return out.select(*keys, "i", (F.col("g0") + F.col("i") * F.col("step")).alias("x"), y.alias("y"))
 

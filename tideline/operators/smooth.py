@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .days import meet
 
 NONE: Sequence[str] = ()
 
@@ -44,7 +45,7 @@ def loess(df: DataFrame, x: str, y: str, bandwidth: float = 0.3, points: int = 6
     step = (F.col("__b") - F.col("__a")) / (points - 1)
     size = F.greatest(F.lit(2), F.least(F.col("__n"), F.floor(bandwidth * F.col("__n") + 0.5)))
     grid = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"), "__a", step.alias("__s"), size.alias("__size")).select(*keys, "g", (F.col("__a") + F.col("g") * F.col("__s")).alias("gx"), "__size")
-    both = pairs.join(F.broadcast(grid), list(keys)) if keys else pairs.join(F.broadcast(grid))  # ``points`` rows an entity
+    both = meet(pairs, grid, keys)
     near = Window.partitionBy(*keys, "g").orderBy("__d", "x", "ord")
     reach = Window.partitionBy(*keys, "g")
     picked = both.withColumn("__d", F.abs(F.col("x") - F.col("gx"))).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= F.col("__size"))

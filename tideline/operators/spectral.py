@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .days import meet
 
 NONE: Sequence[str] = ()
 
@@ -44,8 +45,7 @@ def lomb_scargle(
     count = F.floor(F.try_divide(1 / float(min_period) + 1e-12 - first, step))
     s = s.where(count >= 0)
     grid = s.select(*keys, "n", "m", "var", first.alias("f0"), step.alias("fs"), F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long"))).alias("k")).withColumn("w", 2 * math.pi * (F.col("f0") + F.col("k") * F.col("fs")))
-    grid = F.broadcast(grid.drop("f0", "fs"))  # spans times oversampling, independent of the number of observations
-    both = rows.join(grid, list(keys)) if keys else rows.join(grid)
+    both = meet(rows, grid.drop("f0", "fs"), keys)  # the grid is the span times oversampling, whatever the number of observations
     phase = both.groupBy(*keys, "k").agg(F.sum(F.sin(2 * F.col("w") * F.col("t"))).alias("s2"), F.sum(F.cos(2 * F.col("w") * F.col("t"))).alias("c2"))
     at = both.join(phase, [*keys, "k"]).withColumn("a", F.col("w") * F.col("t") - F.atan2("s2", "c2") / 2).withColumn("r", F.col("v") - F.col("m"))
     c, sn = F.cos("a"), F.sin("a")
