@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import BoundedCache, classes_alike, table, whole_text
 
 SHORT = 128
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 CACHE_WORD_CHARS = 64
 #: (rank, id) of a boundary that no merge crosses.
 NO_MERGE = (1 << 60, -1)
