@@ -410,7 +410,7 @@ def test_blocks():
     page = "<html><head><title>T &amp; t</title><script>var a='<p>no</p>'</script></head><body><!-- <p>no --><p>one<br>two <b>three<p>four<ul><li>a<li>b</ul><div class='x y' id=z>five&nbsp;&lt;6</div>tail"
     got = blocks.parse(page)
     assert [b.text for b in got] == ["T & t", "one two three", "four", "a", "b", "five <6", "tail"]
-    assert got[5].path[-1] == "div.x.y#z" and got[3].path[-2:] == ("ul", "li")
+    assert got[5].path[-1] == "div.x.y.z" and got[3].path[-2:] == ("ul", "li")
     assert blocks.parse(None) == blocks.parse("") == blocks.parse("<script>never closed") == []
 
 

@@ -35,7 +35,7 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"\w+")
 
-TAG_DIM = 96
+TAG_DIM = 160
 WORD_DIM = 24
 DIM = TAG_DIM + WORD_DIM + 8
 
@@ -48,7 +48,7 @@ class Block:
 
 
 def _label(tag: str, attributes: str) -> str:
-    """An element's path entry: its name, then ``.word`` for class and role words and ``#word`` for its id."""
+    """An element's path entry: its name, then ``.word`` for each word of its class, id and role, in the singular."""
     if not attributes or attributes.isspace():
         return tag
     words = []
@@ -57,7 +57,7 @@ def _label(tag: str, attributes: str) -> str:
         if name in ("hidden", "aria-hidden") and value != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             words.append("!hidden")
         elif name in ("class", "role", "id"):
-            words += [("#" if name == "id" else ".") + w for w in re.split(r"[\s_-]+", value) if w]
+            words += ["." + (w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w) for w in re.split(r"[\s_-]+", value) if w]
     return tag + "".join(words)
 
 
@@ -129,8 +129,8 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """The path's element names, classes and ids, hashed; inner elements weigh more and neighbours pair up."""
     v = np.zeros(TAG_DIM, np.float32)
     for depth, entry in enumerate(reversed(path)):
-        tag, *words = re.split(r"(?=[.#!])", entry)
-        for k, w in enumerate([tag, *words]):
+        tag, *words = re.split(r"(?=[.!])", entry)
+        for k, w in enumerate([tag, *dict.fromkeys(words)]):
             i, s = _signed(w if k else f"<{tag}>", TAG_DIM)
             v[i] += s * max(0.35, 0.85**depth)
     return v / max(1.0, float(np.sqrt((v * v).sum())) / 2)

@@ -11,8 +11,8 @@ import numpy as np
 from .blocks import DIM, parse, vector
 
 HIDDEN = 20
-TRAIN_PAGES = 1000
-EPOCHS = 14
+TRAIN_PAGES = 1800
+EPOCHS = 12
 SEED = 5
 #: Cells (pages times the longest page's blocks) that are labelled at once.
 CELLS = 1 << 15
