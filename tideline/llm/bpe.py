@@ -26,7 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, classes_alike, table, whole_text
+from .common import LATIN_LETTERS, BoundedCache, classes_alike, plain_latin, table, whole_text
 
 SHORT = 128
 CACHE_WORDS = 120_000
@@ -107,8 +107,7 @@ class WordBpe:
         self.pieces = regex.compile(split["pattern"]["Regex"])
         # The same split in Python's own classes, for texts whose characters those sort alike.
         self.plain = re.compile(split["pattern"]["Regex"].replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"))
-        if "\\p" in self.plain.pattern:
-            self.plain = self.pieces
+        self.latin = re.compile(rf"[{LATIN_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LATIN_LETTERS}0-9]+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
         self.inner = [self.vocab[c] for c in self.alphabet]
@@ -143,7 +142,10 @@ class WordBpe:
         return [bytes(code[c] for c in p).decode("utf-8") for p, _ in pieces]
 
     def _words(self, text: str) -> list[tuple[bytes, str]]:
-        if classes_alike(text):
+        if plain_latin(text):
+            # NFC leaves Latin-1 as it is.
+            pieces = self.latin.findall(text.lower())
+        elif classes_alike(text):
             pieces = self.plain.findall(self.normalise(text))
         else:
             pieces = self._split_by_library(text)

@@ -49,6 +49,20 @@ def whole_text(text_col: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+#: The letters of Latin-1, as a class body.
+LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+#: Latin-1 without the numbers that are no digits and the separators that aren't Unicode white space.
+_LATIN = bytes(b for b in range(256) if chr(b) not in "²³¹¼½¾\x1c\x1d\x1e\x1f")
+
+
+def plain_latin(text: str) -> bool:
+    """Whether a text is Latin-1 of which letters, ASCII digits and white space are all that needs telling apart."""
+    try:
+        return not text.encode("latin-1").translate(None, _LATIN)
+    except UnicodeEncodeError:
+        return False
+
+
 _ALIKE: set[str] = set()
 
 

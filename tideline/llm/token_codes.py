@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import BoundedCache, classes_alike, materialize, table, whole_text
+from .common import LATIN_LETTERS, BoundedCache, classes_alike, materialize, plain_latin, table, whole_text
 
 CHUNK_BITS = 8
 RANK_EVERY = 512
@@ -37,8 +37,12 @@ SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 13
 READ_TOKENS = 1 << 18
 CACHE_PIECES = 400_000
+#: Longer pieces rarely come again.
+CACHE_CHARS = 24
 END_ID = 0
 
+_PACK = [struct.Struct(f"<{n}I") for n in range(64)]
+
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary>"
 SHARD = f"part int, shard int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, levels array<{LEVEL}>"
 _POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
@@ -46,14 +50,16 @@ _POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1
 
 def pack(ids: np.ndarray) -> list[dict[str, bytes]]:
     """The levels of a sequence of unsigned ids."""
-    levels, rest = [], np.asarray(ids, np.uint64)
+    levels, rest = [], np.asarray(ids)
+    rest = rest.astype(np.uint32 if not len(rest) or rest.max() < 1 << 32 else np.uint64, copy=False)
     while len(rest) or not levels:
-        chunk = (rest & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint8)
-        rest = rest >> np.uint64(CHUNK_BITS)
-        more = rest > 0
-        starts = np.r_[0, np.cumsum(more)][: len(more) : RANK_EVERY] if len(more) else np.zeros(0, int)
-        levels.append({"chunks": chunk.tobytes(), "more": np.packbits(more).tobytes(), "ranks": starts.astype("<u4").tobytes()})
-        rest = rest[more]
+        more = rest >> CHUNK_BITS > 0
+        bitmap = np.packbits(more)
+        ones = np.zeros(-(-len(bitmap) // (RANK_EVERY // 8)) * (RANK_EVERY // 8), np.uint8)
+        ones[: len(bitmap)] = _POPCOUNT[bitmap]
+        each = ones.reshape(-1, RANK_EVERY // 8).sum(axis=1, dtype=np.uint32)
+        levels.append({"chunks": rest.astype(np.uint8).tobytes(), "more": bitmap.tobytes(), "ranks": (np.cumsum(each, dtype=np.uint32) - each).astype("<u4").tobytes()})
+        rest = rest[more] >> CHUNK_BITS
         if not len(rest):
             break
     return levels
@@ -130,7 +136,8 @@ class PieceEncoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Fixed value: the split of byte-level BPE, with letters, digits and the rest in Python's classes.
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.split = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.split_latin = re.compile(rf" ?[{LATIN_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LATIN_LETTERS}0-9]+|\s+(?!\S)|\s+").findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.cache = BoundedCache(CACHE_PIECES)
 
@@ -142,16 +149,17 @@ class PieceEncoder:
             else:
                 coded = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.model.tokenize(coded)]
-            held = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 64:
+            held = _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+            if len(piece) <= CACHE_CHARS:
                 self.cache.put(piece, held)
         return held
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special) or not classes_alike(text):
+        latin = plain_latin(text)
+        if any(s in text for s in self.special) or not (latin or classes_alike(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.split(text)
+        pieces = self.split_latin(text) if latin else self.split(text)
         found = list(map(self.cache.get, pieces))
         at = -1
         try:
