@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import student
 from ..operators import breaks, density, layout, regression
 from ..operators.days import build_days
-from ..sources import exports
+from ..sources import exports, headers
 from ..sources.anonymise import anonymise
 from ..sources.bindings import daily, journal, sessions
 from ..sources.demo import demo_export
@@ -179,3 +183,25 @@ def q_inline_days(spark, sf):
     for name, text in (("physiological_cycles.csv", _CYCLES), ("sleeps.csv", _SLEEPS), ("workouts.csv", _WORKOUTS), ("journal_entries.csv", _JOURNAL)):
         into, _ = exports.ingest_text(spark, name, text, into)
     return build_days(into).select("day", "recovery", "sleepHours", "asleep", "napMinutes", "workoutMinutes", "workoutCount", "recoveryNext", "strainPrev", F.map_values("journal").alias("answers"))
+
+
+@query
+def q_src_zip_csv(spark, sf):
+    """The inline files as an archive, read back into the day panel."""
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        for name, text in (("d/physiological_cycles.csv", _CYCLES), ("d/sleeps.csv", _SLEEPS), ("d/workouts.csv", _WORKOUTS), ("__MACOSX/d/._sleeps.csv", "junk"), ("d/other.csv", "a,b\n1,2\n")):
+            z.writestr(name, text)
+    into, _ = exports.ingest_zip(spark, blob.getvalue(), exports.empty_export(spark))
+    return build_days(into).select("day", "recovery", "asleep", "workoutMinutes")
+
+
+@query
+def q_header_map(spark, sf):
+    """What each header of the inline files is read as, and the kind of its file."""
+    rows = []
+    for name, text in (("physiological_cycles.csv", _CYCLES), ("sleeps.csv", _SLEEPS), ("workouts.csv", _WORKOUTS), ("journal_entries.csv", _JOURNAL)):
+        heads = next(csv.reader([text.split("\n", 1)[0]]))
+        by = {h: f for f, h in headers.map_headers(heads).items()}
+        rows += [(name, headers.detect_kind(name, heads), h, by.get(h)) for h in heads]
+    return spark.createDataFrame(rows, "file string, kind string, header string, field string")

@@ -168,6 +168,7 @@ put(
     "SELECT o_orderkey, CASE WHEN v = 0 THEN 0.0 ELSE round(round(v * s) / s, 6) + 0.0 END AS sig FROM (SELECT o_orderkey, v, CASE WHEN v <> 0 THEN pow(10.0::DOUBLE, 2 - floor(log10(abs(v)))) END AS s FROM (SELECT o_orderkey, floor(o_totalprice / pow(10.0::DOUBLE, o_orderkey % 7) * 1000) / 1000 AS v FROM orders))",
 )
 put("fmt_duration", "SELECT id, CAST(minute // 60 AS VARCHAR) || 'h ' || lpad(CAST(minute % 60 AS VARCHAR), 2, '0') || 'm' AS out FROM e", SESSIONS)
+over_daily("fmt_day", "SELECT d, strftime(d, '%-d %b') AS short, strftime(d, '%a %-d %b %Y') AS long FROM daily")
 put("fmt_clock", "SELECT id, lpad(CAST(minute // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute % 60 AS VARCHAR), 2, '0') AS out FROM e", SESSIONS)
 put("category_slot", "SELECT CAST(k AS BIGINT) AS c_nationkey, CASE WHEN n < 8 THEN CAST(n AS VARCHAR) ELSE 'other' END AS slot FROM (SELECT c_nationkey AS k, row_number() OVER (ORDER BY count(*) * 1000 - c_nationkey DESC) - 1 AS n FROM customer GROUP BY c_nationkey)")
 

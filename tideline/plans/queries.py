@@ -393,6 +393,11 @@ def q_fmt_duration(spark, sf):
     return sessions(spark, sf).select("id", S.fmt_duration(S.minute_of_day(F.col("ts"))).alias("out"))
 
 
+@query
+def q_fmt_day(spark, sf):
+    return daily(spark, sf).select("d", S.fmt_day(F.col("d")).alias("short"), S.fmt_day(F.col("d"), "EEE d MMM yyyy").alias("long"))
+
+
 @query
 def q_fmt_clock(spark, sf):
     return sessions(spark, sf).select("id", S.fmt_clock(S.bedtime_minute(F.col("ts"))).alias("out"))

@@ -96,17 +96,25 @@ def ingest_text(spark: SparkSession, name: str, text: str, into: Export) -> tupl
     return replace(into, **{kind: typed(raw, kind)}), kind
 
 
+def ingest_zip(spark: SparkSession, blob: bytes, into: Export) -> tuple[Export, list[str]]:
+    """Every CSV of an archive in its order; folders and junk are left out."""
+    found = []
+    with zipfile.ZipFile(io.BytesIO(blob)) as archive:
+        for name in archive.namelist():
+            if not name.endswith("/") and name.lower().endswith(".csv") and not H.is_junk(name):
+                into, kind = ingest_text(spark, name, archive.read(name).decode("utf-8-sig"), into)
+                found += [kind] if kind else []
+    return into, found
+
+
 def read_export_files(spark: SparkSession, paths: Iterable[str]) -> tuple[Export, list[str]]:
-    """CSV files and ZIP archives of them, in order; archive entries that are folders or junk are left out."""
+    """CSV files and ZIP archives of them, in order."""
     into, found = empty_export(spark), []
     for path in paths:
         if path.lower().endswith(".zip"):
             blob = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-            with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                for name in archive.namelist():
-                    if not name.endswith("/") and name.lower().endswith(".csv") and not H.is_junk(name):
-                        into, kind = ingest_text(spark, name, archive.read(name).decode("utf-8-sig"), into)
-                        found += [kind] if kind else []
+            into, kinds = ingest_zip(spark, blob, into)
+            found += kinds
         elif path.lower().endswith(".csv") and not H.is_junk(path):
             into, kind = ingest_csv(spark, path, into)
             found += [kind] if kind else []
