@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 from tideline.operators import multiplicity
 from tideline.plans import queries
+from tideline.sources.bindings import daily
 
 
 def brute_bh(rows):
@@ -43,3 +46,28 @@ def test_bh_of_every_order(spark, sf):
     for x in got:
         q, rank = want[x["id"]]
         assert x["rank"] == rank and (q is None or x["q"] == pytest.approx(q, abs=1e-7))
+
+
+def brute_periodogram(t, v):
+    """Scargle's normalised power of ``t, v`` by period."""
+    n, span, var = len(t), t.max() - t.min(), v.var(ddof=1)
+    first, step = 2 / span, 1 / (5 * span)
+    out = []
+    for k in range(math.floor((0.5 + 1e-12 - first) / step) + 1):
+        w = 2 * math.pi * (first + k * step)
+        a = w * t - math.atan2(np.sin(2 * w * t).sum(), np.cos(2 * w * t).sum()) / 2
+        c, s, r = np.cos(a), np.sin(a), v - v.mean()
+        out.append((2 * math.pi / w, ((r @ c) ** 2 / (c @ c) + (r @ s) ** 2 / (s @ s)) / (2 * var)))
+    return sorted(out), n
+
+
+def test_periodogram_of_every_day(spark, sf):
+    rows = [x for x in daily(spark, sf).select("d", "y").orderBy("d").collect()]
+    t = np.array([(x["d"] - rows[0]["d"]).days for x in rows if x["y"] is not None], float)
+    want, _ = brute_periodogram(t, np.array([x["y"] for x in rows if x["y"] is not None]))
+    got = sorted((x["period"], x["power"]) for x in queries.QUERIES["lomb_scargle_all"](spark, sf).collect())
+    assert len(got) == len(want) and got[-1][0] > 1000
+    assert np.allclose(np.array(got), np.array(want), rtol=1e-6, atol=2e-6)
+    best = max(want, key=lambda x: (round(x[1], 9), -x[0]))
+    peak = {x["series"]: x for x in queries.QUERIES["rhythms_all"](spark, sf).collect()}
+    assert set(peak) == {"y", "x"} and peak["y"]["power"] == pytest.approx(best[1], abs=2e-6)

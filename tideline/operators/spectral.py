@@ -47,7 +47,9 @@ def lomb_scargle(
     grid = s.select(*keys, "n", "m", "var", first.alias("f0"), step.alias("fs"), F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long"))).alias("k")).withColumn("w", 2 * math.pi * (F.col("f0") + F.col("k") * F.col("fs")))
     both = meet(rows, grid.drop("f0", "fs"), keys)  # the grid is the span times oversampling, whatever the number of observations
     phase = both.groupBy(*keys, "k").agg(F.sum(F.sin(2 * F.col("w") * F.col("t"))).alias("s2"), F.sum(F.cos(2 * F.col("w") * F.col("t"))).alias("c2"))
-    at = both.join(phase, [*keys, "k"]).withColumn("a", F.col("w") * F.col("t") - F.atan2("s2", "c2") / 2).withColumn("r", F.col("v") - F.col("m"))
+    # The grid with its phases meets the observations anew: the product of both is only ever summed, not shuffled.
+    phased = grid.drop("f0", "fs").join(phase, [*keys, "k"])
+    at = meet(rows, phased, keys).withColumn("a", F.col("w") * F.col("t") - F.atan2("s2", "c2") / 2).withColumn("r", F.col("v") - F.col("m"))
     c, sn = F.cos("a"), F.sin("a")
     sums = at.groupBy(*keys, "k", "w", "n", "var").agg(F.sum(F.col("r") * c).alias("rc"), F.sum(F.col("r") * sn).alias("rs"), F.sum(c * c).alias("cc"), F.sum(sn * sn).alias("ss"))
     term = lambda a, b: F.coalesce(F.try_divide(F.col(a) * F.col(a), F.nullif(b, F.lit(0.0))), F.lit(0.0))

@@ -512,6 +512,18 @@ def q_rhythms(spark, sf):
     return metrics.rhythms(daily(spark, sf).where(F.year("d") == 1996), ["y", "x"], day="d").select("series", r("period", 6), r("power", 6), r("fap", 6), r("q", 6), "weekly")
 
 
+@query
+def q_lomb_scargle_all(spark, sf):
+    """``lomb_scargle`` has the one year of its SQL; this has every day."""
+    d = spectral.unpivot_series(daily(spark, sf), ["y"])
+    return spectral.lomb_scargle(d, "t", "v").select(r("period", 6), r("power", 6), r("fap", 6))
+
+
+@query
+def q_rhythms_all(spark, sf):
+    return metrics.rhythms(daily(spark, sf), ["y", "x"], day="d").select("series", r("period", 6), r("power", 6), r("fap", 6), r("q", 6), "weekly")
+
+
 @query
 def q_clock_quartiles(spark, sf):
     e = sessions(spark, sf).withColumns({"bedtime": S.bedtime_minute(F.col("ts")).cast("double"), "wake": S.minute_of_day(F.col("ts")).cast("double")})
