@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tideline.operators import multiplicity
-from tideline.plans import queries
+from tideline.plans import estimators, queries
 from tideline.sources.bindings import daily
 
 
@@ -71,3 +71,11 @@ def test_periodogram_of_every_day(spark, sf):
     best = max(want, key=lambda x: (round(x[1], 9), -x[0]))
     peak = {x["series"]: x for x in queries.QUERIES["rhythms_all"](spark, sf).collect()}
     assert set(peak) == {"y", "x"} and peak["y"]["power"] == pytest.approx(best[1], abs=2e-6)
+
+
+def test_modality_of_every_day(spark, sf):
+    n = daily(spark, sf).where("x is not null").count()
+    got = estimators.QUERIES["modality"](spark, sf).first()
+    assert got["n"] == n > 2000
+    assert got["p"] is None or abs(got["p"] * 201 - round(got["p"] * 201)) < 1e-9
+    assert sum(x["cnt"] for x in estimators.QUERIES["strain_distribution"](spark, sf).collect()) == n

@@ -96,12 +96,12 @@ def q_changepoints(spark, sf):
 
 @query
 def q_modality(spark, sf):
-    return density.modality(_scaled(spark, sf).where(F.year("d") == 1996), "x", replicates=60)
+    return density.modality(_scaled(spark, sf), "x")
 
 
 @query
 def q_strain_distribution(spark, sf):
-    return metrics.strain_distribution(_scaled(spark, sf).where(F.year("d") == 1997), "x")
+    return metrics.strain_distribution(_scaled(spark, sf), "x")
 
 
 @query
