@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from tideline.operators import multiplicity
+from tideline.operators import layout, multiplicity
 from tideline.plans import estimators, queries
 from tideline.sources.bindings import daily
 
@@ -79,3 +80,14 @@ def test_modality_of_every_day(spark, sf):
     assert got["n"] == n > 2000
     assert got["p"] is None or abs(got["p"] * 201 - round(got["p"] * 201)) < 1e-9
     assert sum(x["cnt"] for x in estimators.QUERIES["strain_distribution"](spark, sf).collect()) == n
+
+
+def test_pack_rows_packs_every_event(spark, sf):
+    pages = defaultdict(list)
+    got = estimators.QUERIES["pack_rows"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count()
+    for x in got:
+        pages[x["user_id"], x["day"]].append(x)
+    for page in pages.values():
+        page.sort(key=lambda x: x["ord"])
+        assert [(x["row"], x["width"]) for x in page] == layout.pack([x["span"] for x in page], [x["is_on"] for x in page])

@@ -132,8 +132,9 @@ def q_anonymise(spark, sf):
 
 @query
 def q_pack_rows(spark, sf):
-    items = sessions(spark, sf).where("id < 400").select("user_id", F.col("id").alias("ord"), (F.lit(3) + F.col("id") % 3 * 3).cast("int").alias("span"), (F.col("id") % 4 != 0).alias("is_on"))
-    return layout.pack_rows(items, ["user_id"])
+    """A page for each user and day: a user's events have no bound, those of one day do."""
+    items = sessions(spark, sf).select("user_id", F.col("d").alias("day"), F.col("id").alias("ord"), (F.lit(3) + F.col("id") % 3 * 3).cast("int").alias("span"), (F.col("id") % 4 != 0).alias("is_on"))
+    return layout.pack_rows(items, ["user_id", "day"])
 
 
 _CYCLES = """Cycle start time,Cycle end time,Cycle timezone,Recovery score %,Resting heart rate (bpm),Heart rate variability (ms),Day Strain,Sleep onset,Wake onset,Asleep duration (min),REM duration (min)
