@@ -91,3 +91,11 @@ def test_pack_rows_packs_every_event(spark, sf):
     for page in pages.values():
         page.sort(key=lambda x: x["ord"])
         assert [(x["row"], x["width"]) for x in page] == layout.pack([x["span"] for x in page], [x["is_on"] for x in page])
+
+
+def test_whole_texts_are_shortened(spark, sf):
+    texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {x["doc_id"]: x["out"] for x in queries.QUERIES["shorten_text_all"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    assert all(out is None or len(out) <= 34 for out in got.values())
+    assert all(out.endswith("…") for i, out in got.items() if texts[i] and len(texts[i]) > 60)

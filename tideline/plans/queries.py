@@ -371,6 +371,12 @@ def q_shorten_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.shorten_question(text).alias("out"))
 
 
+@query
+def q_shorten_text_all(spark, sf):
+    """``shorten_text`` has the prefixes and the squeezing of its SQL; this has the whole texts as they are."""
+    return table(spark, sf, "documents").select("doc_id", S.shorten_question(F.col("text")).alias("out"))
+
+
 @query
 def q_normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.normalize_text(F.col("text")).alias("out"))
