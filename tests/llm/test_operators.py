@@ -271,6 +271,35 @@ def test_links_of_chosen_fingerprints(spark):
     assert {s: roots.get(s, s) for s in signed} == want
 
 
+@pytest.mark.parametrize("few", [1, 4, simhash.FEW])
+def test_clusters_of_fingerprints_lose_no_link(spark, few):
+    """A cluster that fills postings, so that they are split, among others that meet in small ones."""
+    r = random.Random(9)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    hub = r.getrandbits(64)
+    fps = {hub, *(flip(hub, r.randrange(1, 5)) for _ in range(250))}
+    for _ in range(30):
+        b = r.getrandbits(64)
+        fps |= {b, flip(b, 1), flip(b, 2), flip(b, 3), flip(b, 5)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.index_links(df, few=few)).collect()}
+    want = brute_components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert {s: roots.get(s, s) for s in signed} == want
+
+
+def test_every_pair_of_documents_that_links_is_found(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    fps = np.unique(np.array([r["fp"] for r in simhash.fingerprints(docs).collect()], np.int64))
+    pairs = set()
+    for a in range(0, len(fps), 500):
+        i, j = np.nonzero(np.bitwise_count(fps[a : a + 500, None] ^ fps[None, :]) <= 2)
+        pairs |= {(int(fps[a + x]), int(fps[y])) for x, y in zip(i, j, strict=True) if a + x < y}
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.index_links(spark.createDataFrame([(int(f),) for f in fps], "fp long"))).collect()}
+    assert pairs and all(root.get(a, a) == root.get(b, b) for a, b in pairs)
+    assert set(root) <= {x for p in pairs for x in p}
+
+
 def test_large_postings_look_up_neighbours():
     free = np.unique(np.random.default_rng(7).integers(0, 1 << 16, 400))
     pairs = simhash.posting_links(free)

@@ -2,18 +2,24 @@
 
 A 64-bit fingerprint is eight bytes at eight positions.  Two fingerprints that
 differ in at most ``MAX_BITS`` = 2 bits differ in at most two bytes, so they
-share at least six positional bytes; that is the guaranteed minimum of the count
-filter.  Tallying pairs from postings of single bytes would walk postings that
-each hold 1/256 of all fingerprints, a count of pairs that grows with the
-square of the input, so the index is keyed by the sets of positions that reach
-the minimum: 28 keys a fingerprint, each six positions and their bytes.  A
-posting then is a list of fingerprints with at least six shared positional
-bytes, it has at most 2**16 members (two bytes are free), and its pairs are
-verified by the bits of those two bytes.
-
-Equal fingerprints are one entry of the index.  A posting gives the links of a
-spanning forest of its verified pairs, fewer links than it has members, and the
-components of all links come from alternating large-star and small-star steps.
+share at least six positional bytes: the guaranteed minimum of the count filter.
+
+1. Postings.  Those of a single positional byte would hold 1/256 of all
+   fingerprints each, so positional bytes are posted ``KEY_BYTES`` = 5 at a
+   time: 56 sets of positions, each with its five bytes.  A pair that shares
+   six bytes meets in 6 postings, one that shares seven in 21, one that shares
+   five in a single one.
+2. Tally.  The pairs of every posting of up to ``FEW`` members are counted, and
+   those with the guaranteed number of meetings are kept.
+3. A larger posting (a cluster of near copies) yields no pairs.  Its members
+   are posted again by the 28 sets of six positions; a posting then leaves two
+   bytes free, so it has at most 65,536 members, and gives the links of a
+   spanning forest.  A pair that shares six bytes either meets in such a
+   posting at least once, and is found here, or in six small ones.
+4. Verification by the number of differing bits.
+
+Equal fingerprints are one entry of the index; the components of all links come
+from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -33,6 +40,8 @@ from .common import SPACE, materialize, table, whole_text
 
 WORDS = 3
 MAX_BITS = 2
+KEY_BYTES = 5
+FEW = 16
 SEED = 42
 HASH_CHUNK = 1 << 16
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,33 +117,43 @@ def posting_links(free: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     return np.stack([member, root[member]], 1)
 
 
-def index_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``u, v``: links between distinct fingerprints, from the postings with more than one member."""
-    if max_bits > 2:
-        raise ValueError("the position sets guarantee at most two differing bytes")
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(0xFF)
+def _posted(prints: DataFrame, size: int) -> DataFrame:
+    """``at, rest, fp``: each fingerprint under every set of ``size`` positions (``at`` is its number, ``rest`` has its bytes)."""
     keys = []
-    for a, b in combinations(range(8), 2):
-        fixed = int(np.uint64((1 << 64) - 1 ^ (0xFF << 8 * a) ^ (0xFF << 8 * b)).astype(np.int64))
-        free = F.shiftleft(byte(b), 8).bitwiseOR(byte(a)).cast("int")
-        keys.append(F.struct(F.lit(8 * a + b).cast("byte").alias("free_at"), F.col("fp").bitwiseAND(F.lit(fixed)).alias("rest"), free.alias("free")))
-    postings = (
-        prints.select(F.explode(F.array(*keys)).alias("k"))
-        .groupBy("k.free_at", "k.rest")
-        .agg(F.collect_list("k.free").alias("free"))
-        .where(F.size("free") > 1)
-    )
+    for number, places in enumerate(combinations(range(8), size)):
+        mask = np.uint64(sum(0xFF << 8 * p for p in places)).astype(np.int64)
+        keys.append(F.struct(F.lit(number).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(int(mask))).alias("rest")))
+    return prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.at", "k.rest", "fp")
+
+
+def tallied_links(shared: DataFrame, max_bits: int) -> DataFrame:
+    """``u, v`` of the pairs that meet often enough in the postings ``at, rest, fp`` and are verified."""
+    a, b = (shared.select("at", "rest", F.col("fp").alias(name)) for name in "uv")
+    tally = a.join(b, ["at", "rest"]).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("meetings"))
+    return tally.where(F.col("meetings") >= comb(8 - max_bits, KEY_BYTES)).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+
+
+def split_links(members: DataFrame, max_bits: int) -> DataFrame:
+    """``u, v``: a spanning forest of the verified pairs of each posting of six positions of ``fp``."""
+    held = [p for p in combinations(range(8), 6)]
+    free_at = [sorted(set(range(8)) - set(p)) for p in held]
+
+    def byte(k: int):
+        return F.element_at(F.array(*[F.shiftrightunsigned("fp", 8 * free[k]).bitwiseAND(0xFF) for free in free_at]), F.col("at").cast("int") + 1)
+
+    free = F.shiftleft(byte(1), 8).bitwiseOR(byte(0)).cast("int")
+    postings = _posted(members, 6).groupBy("at", "rest").agg(F.collect_list(free).alias("free")).where(F.size("free") > 1)
 
     def run_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             us, vs = [], []
-            for at, rest, values in zip(batch["free_at"], batch["rest"], batch["free"], strict=True):
-                free = np.sort(np.asarray(values, np.int64))
-                links = posting_links(free, max_bits)
+            for at, rest, values in zip(batch["at"], batch["rest"], batch["free"], strict=True):
+                own = np.sort(np.asarray(values, np.int64))
+                links = posting_links(own, max_bits)
                 if len(links):
-                    a, b = np.uint64(8 * (at // 8)), np.uint64(8 * (at % 8))
-                    u = free.astype(np.uint64)
-                    whole = (np.uint64(int(rest) & (1 << 64) - 1) | ((u & np.uint64(0xFF)) << a) | ((u >> np.uint64(8)) << b)).view(np.int64)
+                    low, high = (np.uint64(8 * p) for p in free_at[at])
+                    u = own.astype(np.uint64)
+                    whole = (np.uint64(int(rest) & (1 << 64) - 1) | ((u & np.uint64(0xFF)) << low) | ((u >> np.uint64(8)) << high)).view(np.int64)
                     us.append(whole[links[:, 0]])
                     vs.append(whole[links[:, 1]])
             if us:
@@ -143,7 +162,20 @@ def index_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return postings.mapInPandas(run_task, "u long, v long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def index_links(prints: DataFrame, max_bits: int = MAX_BITS, few: int = FEW) -> DataFrame:
+    """``u, v``: links between the distinct fingerprints ``fp`` that reach as far as all pairs of up to ``max_bits`` differing bits do."""
+    if not 1 <= max_bits <= 2:
+        raise ValueError("five shared positions are guaranteed to be met for one or two differing bits")
+    # The explode needs tasks of its own: the table of fingerprints is a few small files.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = _posted(dealt, KEY_BYTES)
+    met = materialize(cells.groupBy("at", "rest").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "simhash-met")
+    shared = materialize(cells.join(met, ["at", "rest"]), "simhash-postings")
+    tallied = tallied_links(shared.where(F.col("members") <= few), max_bits)
+    return tallied.unionByName(split_links(shared.where(F.col("members") > few).select("fp").distinct(), max_bits))
+
+
+def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable over ``u, v``, for every node that is not its own root.
 
     Large-star and small-star steps alternate until the links are stars around
@@ -151,8 +183,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     gathered anywhere.  Each round is a written table.
     """
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links-0")
-    before = None
-    for step in range(1, max_rounds + 1):
+    before, step = None, 0
+    while True:
+        step += 1
         # Large star: every node's larger neighbours go to the least node around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -166,8 +199,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
