@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, table, whole_text
@@ -168,9 +168,8 @@ def index_links(prints: DataFrame, max_bits: int = MAX_BITS, few: int = FEW) ->
         raise ValueError("five shared positions are guaranteed to be met for one or two differing bits")
     # The explode needs tasks of its own: the table of fingerprints is a few small files.
     dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    cells = _posted(dealt, KEY_BYTES)
-    met = materialize(cells.groupBy("at", "rest").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "simhash-met")
-    shared = materialize(cells.join(met, ["at", "rest"]), "simhash-postings")
+    members = F.count(F.lit(1)).over(Window.partitionBy("at", "rest"))
+    shared = materialize(_posted(dealt, KEY_BYTES).withColumn("members", members).where("members > 1"), "simhash-postings")
     tallied = tallied_links(shared.where(F.col("members") <= few), max_bits)
     return tallied.unionByName(split_links(shared.where(F.col("members") > few).select("fp").distinct(), max_bits))
 
