@@ -1,13 +1,15 @@
 """Operator 3: document fingerprints as invertible Bloom lookup sketches.
 
-A text is its paragraphs (lines), long ones cut into pieces of ``PIECE_WORDS``
-words.  Every piece has a 64-bit digest, a repeated piece one for each time it
-occurs.  A sketch adds each digest to three cells, one in each third: a count, a
+A text is its paragraphs (lines), cut by content: a piece ends after a word whose
+hash says so, one word in ``PIECE_WORDS``, so words put in or left out change the
+pieces around them and no others.  Every piece has a 64-bit digest, a repeated
+piece one for each time it occurs.  A sketch adds each digest to three cells, one in each third: a count, a
 sum of digests and a sum of check hashes.  Cells of two versions subtract; what
 both hold cancels, and peeling recovers the digests that only one of them has:
 a cell with count 1 or -1 whose check agrees names a digest, which then leaves
 its other cells.  Where peeling gets stuck, both sketches are built anew with
-twice the cells.  Likeness is Dice's: twice the shared pieces over all.
+twice the cells, and where that doesn't help (two pieces of one digest), with
+other digests.  Likeness is Dice's: twice the shared pieces over all.
 
 Documents are dealt by range of their ids and sorted, so a document meets the
 next one within its task; only the first and last document of each task are
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,30 +35,46 @@ from .common import materialize, table, whole_text
 PIECE_WORDS = 8
 CELLS = 12
 GROWTH = 2
+#: Added to the seeds of the digests where two pieces had the same.
+SALT = 1 << 32
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: Whether a word ends a piece, for the words seen lately.
+_ENDS: dict[str, bool] = {}
+CACHED_WORDS = 200_000
+
+
+def _ends(word: str) -> bool:
+    if len(_ENDS) >= CACHED_WORDS:
+        _ENDS.clear()
+    _ENDS[word] = end = zlib.crc32(word.encode("utf-8")) % PIECE_WORDS == 0
+    return end
+
+
 def pieces(text: str) -> list[str]:
     out = []
+    known = _ENDS.get
     for line in text.split("\n"):
         words = line.split(" ")
-        if len(words) <= PIECE_WORDS:
-            if line:
-                out.append(line)
-        else:
-            out += [" ".join(words[i : i + PIECE_WORDS]) for i in range(0, len(words), PIECE_WORDS)]
-    return out
+        a = 0
+        for b, w in enumerate(words, 1):
+            end = known(w)
+            if (_ends(w) if end is None else end) or b == len(words):
+                out.append(" ".join(words[a:b]))
+                a = b
+    return [p for p in out if p]
 
 
-def digests(text: str) -> np.ndarray:
+def digests(text: str, salt: int = 0) -> np.ndarray:
     """The digests of all pieces; the n-th occurrence of a piece has its own."""
     seen: dict[str, int] = {}
     out = []
     for p in pieces(text):
         n = seen.get(p, 0)
         seen[p] = n + 1
-        out.append(xxhash.xxh64_intdigest(p, n))
+        out.append(xxhash.xxh64_intdigest(p, n + salt))
     return np.array(out, np.uint64)
 
 
@@ -125,9 +144,9 @@ class Sketch:
 class Version:
     """A text's digests and its sketches by size, the larger ones made when they are asked for."""
 
-    def __init__(self, text: str):
-        self.text = text
-        self.keys = digests(text)
+    def __init__(self, text: str, salt: int = 0):
+        self.text, self.salt = text, salt
+        self.keys = digests(text, salt)
         self.check = _check(self.keys)
         self.sketches: dict[int, Sketch] = {}
 
@@ -150,8 +169,8 @@ def differing(a: Version, b: Version) -> tuple[np.ndarray, np.ndarray]:
         size *= GROWTH
     while (found := a.sketch(size).difference(b.sketch(size))) is None:
         if size > 64 * (len(a.keys) + len(b.keys) + CELLS):
-            # Equal 64-bit digests of different pieces can't be told apart at any size.
-            return np.setdiff1d(a.keys, b.keys), np.setdiff1d(b.keys, a.keys)
+            # Pieces of one digest can't be told apart at any size; other digests tell them apart.
+            return differing(Version(a.text, a.salt + SALT), Version(b.text, b.salt + SALT))
         size *= GROWTH
     return found
 
