@@ -35,6 +35,8 @@ CHUNK_BITS = 8
 RANK_EVERY = 512
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 13
+#: Up to so many writing tasks their starts (16 bytes each) are broadcast.
+BROADCAST_PARTS = 1 << 18
 READ_TOKENS = 1 << 18
 CACHE_PIECES = 400_000
 #: Longer pieces rarely come again.
@@ -175,8 +177,12 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, label: str = "token-codes") -> DataFrame:
-    """Encode ``docs`` in ascending id order into a shard table and return that table, read back."""
+def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, to: str | None = None) -> DataFrame:
+    """Encode ``docs`` in ascending id order into a shard table and return that table, read back.
+
+    The table is kept in the folder ``to``, which must be new; without one it is
+    a scratch table that goes when the application ends.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -209,7 +215,11 @@ def write_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInPandas(run_task, SHARD), label)
+    coded = ordered.mapInPandas(run_task, SHARD)
+    if to is None:
+        return materialize(coded, "token-codes")
+    coded.write.parquet(to)
+    return docs.sparkSession.read.schema(SHARD).parquet(to)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -240,7 +250,10 @@ def read_codes(shards: DataFrame) -> DataFrame:
                     "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"), "start": row.part_start + row.before + ends - lengths, "n_tokens": lengths, "ids_crc32": crcs,
                 })
 
-    return shards.join(shard_starts(shards), "part").select("part_start", "before", "doc_ids", "lengths", "levels").mapInPandas(run_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = materialize(shard_starts(shards), "token-starts")
+    # One short row a writing task: they go to the shards, which stay where they are.
+    beside = F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts
+    return shards.join(beside, "part").select("part_start", "before", "doc_ids", "lengths", "levels").mapInPandas(run_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
