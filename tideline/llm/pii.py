@@ -15,7 +15,9 @@ count for each distinct feature vector, of which the bins allow a fixed number.
 Positions come from two scans with one expression: the matches, and the gaps
 that ``split`` leaves between them, whose lengths add up to starts and ends in
 code points.  No expression loops over a group, so long texts can't exhaust the
-matcher's stack.
+matcher's stack.  Sums, coverage and the choice among overlapping spans are
+sweeps in order of position (``sweep``), so work stays in proportion to the
+matches of a text, times their logarithm.
 """
 
 from __future__ import annotations
@@ -67,25 +69,107 @@ CONTEXT = {
 #: The binned features of a candidate, small integers all.
 FEATURES = ("kind", "digits", "separators", "glued", "context", "other", "checksum")
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
+SPAN = "struct<start:bigint,end:bigint,match:string,before:string,after:string>"
+#: Outputs that a sweep appends to one array before it starts the next.
+CHUNK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sweep(items: Column, state: Column, step, out_type: str) -> Column:
+    """``struct<state, outs>`` of a fold over an array: ``step`` takes a state and an item and gives the next state and an output.
+
+    Appending copies an array, so outputs are gathered in chunks that are joined once.
+    """
+    empty = F.array().cast(f"array<{out_type}>")
+
+    def one(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["outs"], F.array(out)).alias("outs"))
+
+    def over(held: Column) -> Column:
+        def chunk(acc, i):
+            inner = F.aggregate(F.slice(held, i, CHUNK), F.struct(acc["state"].alias("state"), empty.alias("outs")), one)
+            return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(held)), F.lit(CHUNK))
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs"))
+        return F.aggregate(starts, begin, chunk, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["outs"]).alias("outs")))
+
+    return let(items, over)
 
 
 def located(text: Column, pattern: str, gate: str | None = None) -> Column:
-    """All leftmost, non-overlapping matches with their places in code points."""
-    found = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("match"), F.length(gap).cast("long").alias("gap"))
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    """All leftmost, non-overlapping matches with their places in code points, the text before and the character after."""
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
+    def pairs(parts: Column) -> Column:
         # The last gap has no match after it.
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+        m, g = parts["m"], parts["g"]
+        after = lambda i: F.left(F.concat(g[i + 1], F.coalesce(F.get(m, i + 1), F.lit(""))), F.lit(1))
+        return F.transform(m, lambda match, i: F.struct(match.alias("match"), F.length(g[i]).cast("long").alias("gap"), F.right(g[i], F.lit(CONTEXT_CHARS)).alias("lead"), after(i).alias("after")))
+
+    def step(state, x):
+        begin = state["at"] + x["gap"]
+        end = begin + F.length(x["match"])
+        before = F.right(F.concat(state["tail"], x["lead"]), F.lit(CONTEXT_CHARS))
+        state = F.struct(end.alias("at"), F.right(F.concat(before, x["match"]), F.lit(CONTEXT_CHARS)).alias("tail"))
+        return state, F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), before.alias("before"), x["after"].alias("after"))
 
     held = text.rlike(pattern) if gate is None else text.rlike(gate) & text.rlike(pattern)
-    return F.when(held, F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    found = let(F.struct(matches.alias("m"), gaps.alias("g")), pairs)
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"))
+    return F.when(held, sweep(found, begin, step, SPAN)["outs"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def uncovered(candidates: Column, spans: Column) -> Column:
+    """The candidates that overlap none of the spans: one sweep each way tells how far spans from before reach, and where the next one starts."""
+    event = lambda kind, x, at: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), at.cast("int").alias("at"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda x: event(0, x, F.lit(-1))), F.transform(candidates, lambda x, i: event(1, x, i))))
+
+    def reached(reach, x):
+        return F.when(x["kind"] == 0, F.greatest(reach, x["end"])).otherwise(reach), F.struct(x["at"].alias("at"), (reach > x["start"]).alias("hit"))
+
+    def ahead(following, x):
+        return F.when(x["kind"] == 0, x["start"]).otherwise(following), F.struct(x["at"].alias("at"), (following < x["end"]).alias("hit"))
+
+    hits = lambda outs: F.sort_array(F.filter(outs, lambda x: x["at"] >= 0))
+    flag = "struct<at:int,hit:boolean>"
+    swept = let(events, lambda e: F.struct(
+        hits(sweep(e, F.lit(0).cast("long"), reached, flag)["outs"]).alias("a"), hits(sweep(F.reverse(e), F.lit((1 << 63) - 1), ahead, flag)["outs"]).alias("b"),
+    ))
+    free = let(swept, lambda s: F.zip_with(s["a"], s["b"], lambda a, b: ~(a["hit"] | b["hit"])))
+    marked = F.zip_with(candidates, free, lambda x, f: F.struct(x.alias("x"), f.alias("free")))
+    return F.when((F.size(spans) == 0) | (F.size(candidates) == 0), candidates).otherwise(F.transform(F.filter(marked, lambda m: m["free"]), lambda m: m["x"]))
+
+
+RANKED = "struct<loss:double,start:bigint,back:bigint,kind:int>"
+
+
+def best_apart(spans: Column) -> Column:
+    """Of ``RANKED`` spans those chosen greedily by score, then earlier start, later end and kind, so that none overlap.
+
+    A sweep cuts the spans where no span lies across; a stretch holds at most a
+    few of each kind, and the choice is made stretch by stretch.
+    """
+    none = F.array().cast(f"array<{RANKED}>")
+    ends = lambda x: -x["back"]
+
+    def chosen(held: Column) -> Column:
+        apart = lambda kept, x: ~F.exists(kept, lambda k: (x["start"] < ends(k)) & (k["start"] < ends(x)))
+        return F.aggregate(F.sort_array(held), none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+    def step(state, x):
+        cut = x["start"] >= state["reach"]
+        after = F.struct(F.when(cut, ends(x)).otherwise(F.greatest(state["reach"], ends(x))).alias("reach"), F.when(cut, F.array(x)).otherwise(F.concat(state["held"], F.array(x))).alias("held"))
+        return after, F.when(cut, chosen(state["held"])).otherwise(none)
+
+    in_order = F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x.alias("x")))), lambda e: e["x"])
+    swept = sweep(in_order, F.struct(F.lit(0).cast("long").alias("reach"), none.alias("held")), step, f"array<{RANKED}>")
+    return F.when(F.size(spans) < 2, spans).otherwise(let(swept, lambda s: F.concat(F.flatten(s["outs"]), chosen(s["state"]["held"]))))
 
 
 def digits_of(match: Column) -> Column:
@@ -129,15 +213,15 @@ def candidates(text: Column) -> Column:
     """The proposals of all generators, overlapping as they are, with their kind's number."""
 
     def proposed(k: int, pattern: str, gate: str) -> Column:
-        return F.transform(located(text, pattern, gate), lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match")))
+        return F.transform(located(text, pattern, gate), lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
 
     return F.concat(*[proposed(k, pattern, gate) for k, (pattern, gate) in enumerate(GENERATORS.values())])
 
 
-def with_features(x: Column, text: Column) -> Column:
+def with_features(x: Column) -> Column:
     """A candidate with its binned features."""
-    before = F.lower(text.substr(F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)).cast("int")))
-    around = F.concat(text.substr(x["start"].cast("int"), F.when(x["start"] > 0, 1).otherwise(0)), F.lit("|"), text.substr(x["end"].cast("int") + 1, F.lit(1)))
+    before = F.lower(x["before"])
+    around = F.concat(F.right(x["before"], F.lit(1)), F.lit("|"), x["after"])
     digits = F.length(digits_of(x["match"]))
     own = F.coalesce(*[F.when(x["kind"] == k, before.rlike(CONTEXT[name])) for k, name in enumerate(MORE_KINDS)])
     other = before.rlike("|".join(CONTEXT.values()))
@@ -251,7 +335,7 @@ def _fitted(session_id: str, rows: int) -> tuple[list[tuple], list[float]]:
     spark = SparkSession.active()
     values = ", ".join(f"('{text}', {kind}, {label}, {i // (2 * len(MORE_KINDS)) % 2})" for i, (text, kind, label) in enumerate(snippets(rows)))
     made = spark.sql(f"SELECT * FROM VALUES {values} AS t(text, of, label, fold)")
-    found = made.withColumn("c", F.explode(candidates(F.col("text")))).select("of", "label", "fold", with_features(F.col("c"), F.col("text")).alias("x"))
+    found = made.withColumn("c", F.explode(candidates(F.col("text")))).select("of", "label", "fold", with_features(F.col("c")).alias("x"))
     truth = ((F.col("x.kind") == F.col("of")) & (F.col("label") == 1)).cast("int")
     counted = found.groupBy("fold", truth.alias("y"), *[F.col(f"x.{f}").alias(f) for f in FEATURES]).count().orderBy("fold", "y", *FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in counted])
@@ -267,8 +351,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are ``kind:start:end`` in code points, end exclusive, by kind as
     listed in ``KINDS`` and then start.  Counts and digest are of the base kinds.
-    Of overlapping added spans the one with the higher score stays, then the
-    earlier.  A null text counts as empty: no spans and the digest of nothing.
+    Of overlapping added spans the one with the highest score stays, then of those
+    that don't overlap it the one with the highest, and so on; ties go to the
+    earlier start, then to the later end.  A null text counts as empty: no spans and the digest of nothing.
     Other columns are not read.
     """
     spark = docs.sparkSession
@@ -276,27 +361,25 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("__text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("__text"))
     based = rows.select("doc_id", "__text", *[s.alias(k) for k, s in base_spans(text).items()])
-    covered = lambda x: F.exists(F.concat(*[F.col(k) for k in BASE_KINDS]), lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
-    proposed = based.select("doc_id", *BASE_KINDS, "__text", F.filter(candidates(text), lambda x: ~covered(x)).alias("__open"))
-    featured = proposed.select("doc_id", *BASE_KINDS, F.transform("__open", lambda x: with_features(x, text)).alias("__x"))
+    proposed = based.select("doc_id", *BASE_KINDS, "__text", candidates(text).alias("__all")).select(
+        "doc_id", *BASE_KINDS, "__text", uncovered(F.col("__all"), F.concat(*[F.col(k) for k in BASE_KINDS])).alias("__open")
+    )
+    featured = proposed.select("doc_id", *BASE_KINDS, F.transform("__open", with_features).alias("__x"))
 
     def scored(x):
         total = F.lit(0.0)
         for tree in trees:
             total = total + tree_expression(tree, x)
-        return F.struct(total.alias("score"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+        return F.struct((-total).alias("loss"), x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].cast("int").alias("kind"))
 
     threshold = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(t)) for k, t in enumerate(least)])
-    judged = featured.select("doc_id", *BASE_KINDS, F.filter(F.transform("__x", scored), lambda x: x["score"] >= threshold(x)).alias("__in"))
-    beats = lambda y, x: (y["score"] > x["score"]) | (y["score"] == x["score"]) & ((y["start"] < x["start"]) | (y["start"] == x["start"]) & ((y["end"] > x["end"]) | (y["end"] == x["end"]) & (y["kind"] < x["kind"])))
-    chosen = judged.select(
-        "doc_id", *BASE_KINDS, F.filter("__in", lambda x: ~F.exists("__in", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]) & beats(y, x))).alias("__more")
-    )
+    judged = featured.select("doc_id", *BASE_KINDS, F.filter(F.transform("__x", scored), lambda x: -x["loss"] >= threshold(x)).alias("__in"))
+    chosen = judged.select("doc_id", *BASE_KINDS, best_apart(F.col("__in")).alias("__more"))
     written = lambda spans, kind: F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"], x["end"]))
 
     def added(k: int, name: str) -> Column:
-        own = F.transform(F.filter("__more", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-        return written(F.array_sort(own), name)
+        own = F.transform(F.filter("__more", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end")))
+        return written(F.sort_array(own), name)
 
     base = F.concat(*[written(F.col(k), k) for k in BASE_KINDS])
     more = F.concat(*[added(k, name) for k, name in enumerate(MORE_KINDS)])
