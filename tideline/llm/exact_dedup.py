@@ -2,14 +2,17 @@
 
 1. Each task hashes its documents (SHA-256 of the normalised text) and fills
    memtables of bounded size: digest -> smallest id, count.  A full memtable is
-   flushed as a run, sorted by digest and cut by digest range into blocks, each
-   with a Bloom filter of its digests.
-2. Compaction takes the blocks of one digest range.  A digest that no other
-   block's filter may hold is unique and bypasses the merge; the others are
-   merged and the smallest identifier and the summed count are kept.
-3. Hits, digests with more than one row, receive byte verification: the rows
-   under a hit are regrouped by their whole normalised bytes, and only equal
-   bytes stay together.
+   flushed as a run of level 0: one block, sorted by digest, with a Bloom filter.
+2. Compaction, level by level.  ``FAN`` runs of a level become one of the next,
+   which is cut by digest into ``FAN`` times as many blocks, so a block has
+   about a memtable's entries on every level, and a compaction reads about
+   ``FAN`` blocks of one digest range.  A digest that no other block's filter
+   may hold bypasses the merge; of the others the smallest identifier and the
+   summed count are kept.  Blocks grow in proportion to the rows, and levels
+   with the logarithm of the memtables.
+3. When ``FAN`` runs are left, the last compaction gives the hits, digests with
+   more than one row.  They receive byte verification: the rows under a hit are
+   regrouped by their whole normalised bytes, and only equal bytes stay together.
 
 A group of copies reaches the compaction as one entry for each memtable and the
 verification as one row for each task (partial aggregation), however many
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, table, whole_text
 
 MEMTABLE_ROWS = 1 << 17
-RANGE_ROWS = 1 << 17
+FAN = 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_PROBES = 6
 DIGEST_BYTES = 16
 #: Null ids come last: they are kept only where no document of the group has an id.
 NO_ID = np.iinfo(np.int64).max
 
-BLOCK = "range int, run string, digests binary, ids binary, counts binary, at_least binary, bloom binary"
+BLOCK = "run long, range long, digests binary, ids binary, counts binary, at_least binary, bloom binary"
 ENTRY = "digest binary, keep_id long, group_size long, n_least long"
 
 
@@ -60,32 +63,36 @@ def may_hold(bloom: bytes, keys: np.ndarray) -> np.ndarray:
     return held[_probes(keys, len(held))].all(axis=1)
 
 
-def _flush(memtable: dict, run: str, ranges: int) -> Iterator[dict]:
-    keys = np.frombuffer(b"".join(sorted(memtable)), dtype="S16") if memtable else np.zeros(0, "S16")
-    raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, 16)
-    entries = np.array([memtable[k.tobytes()] for k in raw], np.int64).reshape(-1, 3)
+def _block(run: int, of: int, raw: np.ndarray, entries: np.ndarray) -> dict:
+    """A block of entries sorted by digest: ids, counts, and how many of the count have that id."""
+    raw = np.ascontiguousarray(raw)
+    return {
+        "run": run, "range": of, "digests": raw.tobytes(), "ids": entries[:, 0].tobytes(), "counts": entries[:, 1].tobytes(), "at_least": entries[:, 2].tobytes(), "bloom": bloom_of(raw),
+    }
+
+
+def _ranges(raw: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each digest, of ``ranges`` equal ones."""
     lead = raw[:, :4].copy().view(">u4").ravel().astype(np.int64)
-    of = lead * ranges >> 32
-    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(0, int)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        block = np.ascontiguousarray(raw[a:b])
-        yield {
-            "range": int(of[a]), "run": run, "digests": block.tobytes(), "ids": entries[a:b, 0].tobytes(), "counts": entries[a:b, 1].tobytes(),
-            "at_least": entries[a:b, 2].tobytes(), "bloom": bloom_of(block),
-        }
+    return lead * ranges >> 32
 
 
-def flush_runs(ranges: int, memtable_rows: int = MEMTABLE_ROWS):
-    """A function for mapInPandas: rows ``digest, doc_id`` to blocks of sorted runs."""
+def flush_runs(memtable_rows: int = MEMTABLE_ROWS):
+    """A function for mapInPandas: rows ``digest, doc_id`` to the blocks of runs, one a memtable."""
+
+    def flush(memtable: dict, run: int) -> pd.DataFrame:
+        keys = sorted(memtable)
+        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, DIGEST_BYTES)
+        return pd.DataFrame([_block(run, 0, raw, np.array([memtable[k] for k in keys], np.int64).reshape(-1, 3))])
 
     def run_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, flushed, memtable = TaskContext.get().partitionId(), 0, {}
+        task, flushed, memtable = TaskContext.get().partitionId() << 24, 0, {}
         for batch in batches:
             for digest, doc_id in zip(batch["digest"], batch["doc_id"].fillna(NO_ID).astype("int64"), strict=True):
                 held = memtable.get(digest)
                 if held is None:
                     if len(memtable) >= memtable_rows:
-                        yield pd.DataFrame(_flush(memtable, f"{task}-{flushed}", ranges))
+                        yield flush(memtable, task + flushed)
                         memtable, flushed = {}, flushed + 1
                     memtable[digest] = [doc_id, 1, 1]
                 else:
@@ -95,39 +102,63 @@ def flush_runs(ranges: int, memtable_rows: int = MEMTABLE_ROWS):
                     elif doc_id == held[0]:
                         held[2] += 1
         if memtable:
-            yield pd.DataFrame(_flush(memtable, f"{task}-{flushed}", ranges))
+            yield flush(memtable, task + flushed)
 
     return run_task
 
 
-def compact(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Merge the blocks of one digest range; return its hits, the digests of more than one row."""
-    keys = [np.frombuffer(x, np.uint8).reshape(-1, 16) for x in blocks["digests"]]
+def _merged(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and entries of blocks of one range, sorted and each digest once."""
+    keys = [np.frombuffer(x, np.uint8).reshape(-1, DIGEST_BYTES) for x in blocks["digests"]]
     entries = [np.stack([np.frombuffer(x, np.int64) for x in row], 1) for row in zip(blocks["ids"], blocks["counts"], blocks["at_least"], strict=True)]
-    go, merged = [], []
-    for i, (own, entry) in enumerate(zip(keys, entries, strict=True)):
+    alone, go = [], []
+    for i, own in enumerate(keys):
         elsewhere = np.zeros(len(own), bool)
         for j, bloom in enumerate(blocks["bloom"]):
             if j != i and not elsewhere.all():
                 rest = np.flatnonzero(~elsewhere)
                 elsewhere[rest] = may_hold(bloom, np.ascontiguousarray(own[rest]))
-        take = elsewhere | (entry[:, 1] > 1)
-        go.append(own[take])
-        merged.append(entry[take])
-    raw = np.ascontiguousarray(np.concatenate(go)) if go else np.zeros((0, 16), np.uint8)
-    if not len(raw):
-        return pd.DataFrame({"digest": [], "keep_id": [], "group_size": [], "n_least": []})
-    values = np.concatenate(merged)
-    key = raw.view([("a", ">u8"), ("b", ">u8")]).ravel()
-    order = np.lexsort((values[:, 0], key["b"], key["a"]))
-    key, values, raw = key[order], values[order], raw[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    least = values[starts, 0]
-    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-    sizes = np.add.reduceat(values[:, 1], starts)
-    n_least = np.bincount(group, np.where(values[:, 0] == least[group], values[:, 2], 0), len(starts)).astype(np.int64)
-    hit = sizes > 1
-    return pd.DataFrame({"digest": [x.tobytes() for x in raw[starts][hit]], "keep_id": least[hit], "group_size": sizes[hit], "n_least": n_least[hit]})
+        alone.append((own[~elsewhere], entries[i][~elsewhere]))
+        go.append((own[elsewhere], entries[i][elsewhere]))
+    raw = np.ascontiguousarray(np.concatenate([k for k, _ in go]))
+    values = np.concatenate([e for _, e in go])
+    order = _order(raw, values[:, 0])
+    raw, values = raw[order], values[order]
+    if len(raw):
+        new = np.r_[True, (raw[1:] != raw[:-1]).any(axis=1)]
+        starts = np.flatnonzero(new)
+        least = values[starts, 0]
+        group = np.cumsum(new) - 1
+        n_least = np.bincount(group, np.where(values[:, 0] == least[group], values[:, 2], 0), len(starts)).astype(np.int64)
+        raw, values = raw[starts], np.stack([least, np.add.reduceat(values[:, 1], starts), n_least], 1)
+    raw = np.concatenate([raw, *(k for k, _ in alone)])
+    values = np.concatenate([values, *(e for _, e in alone)])
+    order = _order(raw, values[:, 0])
+    return raw[order], values[order]
+
+
+def _order(raw: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    key = np.ascontiguousarray(raw).view([("a", ">u8"), ("b", ">u8")]).ravel()
+    return np.lexsort((ids, key["b"], key["a"]))
+
+
+def compact(ranges: int):
+    """A function for applyInPandas: the blocks of one range of a group of runs to blocks of one run, cut into ``ranges`` ranges."""
+
+    def run_group(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        raw, entries = _merged(blocks)
+        of = _ranges(raw, ranges)
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+        return pd.DataFrame([_block(int(key[0]), int(of[a]), raw[a:b], entries[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    return run_group
+
+
+def hits(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The digests of more than one row among the blocks of one range."""
+    raw, entries = _merged(blocks)
+    many = entries[:, 1] > 1
+    return pd.DataFrame({"digest": [x.tobytes() for x in raw[many]], "keep_id": entries[many, 0], "group_size": entries[many, 1], "n_least": entries[many, 2]})
 
 
 def normalised(text_col: str = "text"):
@@ -141,11 +172,24 @@ def _index_key(sha, digest_bytes: int):
     return F.unhex(F.substring(F.sha2(F.substring(sha, 1, 2 * digest_bytes), 256), 1, 2 * DIGEST_BYTES))
 
 
-def merge_index(keyed: DataFrame, rows: int, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """``digest, keep_id, group_size, n_least`` of the digests that more than one row of ``keyed`` has."""
-    ranges = max(1, -(-rows // RANGE_ROWS))
-    blocks = keyed.select("digest", "doc_id").mapInPandas(flush_runs(ranges, memtable_rows), BLOCK)
-    return blocks.groupBy("range").applyInPandas(compact, ENTRY)
+def merge_index(keyed: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fan: int = FAN, levels: list[int] | None = None) -> DataFrame:
+    """``digest, keep_id, group_size, n_least`` of the digests that more than one row of ``keyed`` has.
+
+    ``levels``, where it is given, receives the number of blocks of each level.
+    """
+    blocks = materialize(keyed.select("digest", "doc_id").mapInPandas(flush_runs(memtable_rows), BLOCK), "dedup-run-0")
+    runs, ranges, level = blocks.count(), 1, 0
+    seen = [runs]
+    while runs > fan:
+        runs, ranges, level = -(-runs // fan), ranges * fan, level + 1
+        # The runs of level 0 are named by their tasks; from then on they are numbered.
+        into = F.pmod(F.xxhash64("run"), F.lit(runs)) if level == 1 else F.floor(F.col("run") / fan)
+        merged = blocks.withColumn("into", into.cast("long")).groupBy("into", "range").applyInPandas(compact(ranges), BLOCK)
+        blocks = materialize(merged, f"dedup-run-{level}")
+        seen.append(blocks.count())
+    if levels is not None:
+        levels += seen
+    return blocks.groupBy("range").applyInPandas(hits, ENTRY)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -159,10 +203,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sha = F.sha2(F.col("norm"), 256)
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm")).withColumn("sha", sha).withColumn("digest", _index_key(F.col("sha"), digest_bytes))
     keyed = materialize(whole.select("doc_id", "sha", "digest"), "dedup-digests")
-    hits = materialize(merge_index(keyed, keyed.count(), memtable_rows), "dedup-hits")
+    found = materialize(merge_index(keyed, memtable_rows), "dedup-hits")
     order = F.coalesce("doc_id", F.lit(int(NO_ID)))
     classes = (
-        whole.join(hits.select("digest"), "digest", "left_semi")
+        whole.join(found.select("digest"), "digest", "left_semi")
         .groupBy("norm", "sha")
         .agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("n"))
         .select("sha", "keep", "n")
@@ -176,7 +220,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Several rows can share the smallest id; only for such groups are rows counted off.
-    repeated = hits.where("n_least > 1").select(F.col("digest").alias("d"))
+    repeated = found.where("n_least > 1").select(F.col("digest").alias("d"))
     tied = keyed.join(repeated, keyed["digest"] == repeated["d"], "left_semi").select(F.col("sha").alias("tied_sha")).distinct()
     if tied.isEmpty():
         return marked.select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
@@ -188,16 +232,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of equal texts the one with the smallest id, of repeated rows one."""
-    marked = materialize(exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "dedup-kept")
+    """The rows of ``docs`` that stay, with their columns: of equal texts the one with the smallest id, of repeated rows one.
+
+    What goes is far less than what stays, so rows are joined against what goes.
+    Null texts count as empty, null ids come last; rows that repeat both id and
+    text count as one row, whatever their other columns hold, and any of them
+    stays.  An empty table stays empty.
+    """
+    marked = materialize(exact_duplicates(docs), "dedup-marked")
+    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    gone = materialize(named(marked.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))), "dedup-gone")
+    # Rows that repeat the id and text of the one that stays.
+    repeats = materialize(named(marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))), "dedup-repeats")
     hashed = docs.withColumn("__own", F.sha2(normalised(), 256))
-    stay = hashed.join(marked, hashed["doc_id"].eqNullSafe(marked["__id"]) & (hashed["__own"] == marked["__sha"]), "left_semi")
-    repeats = materialize(
-        docs.select("doc_id", F.sha2(normalised(), 256).alias("sha")).groupBy("doc_id", "sha").count().where("count > 1"), "dedup-repeats"
-    )
-    if not repeats.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "__own"])
-    return stay.drop("__own")
+    same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["__id"]) & (hashed["__own"] == other["__sha"])
+    stay = hashed.join(gone, same(gone), "left_anti")
+    if repeats.isEmpty():
+        return stay.drop("__own")
+    once = hashed.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", "__own"])
+    return stay.join(repeats, same(repeats), "left_anti").unionByName(once).drop("__own")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
