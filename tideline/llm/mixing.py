@@ -33,9 +33,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """The leading 60 bits of the id's MD5; a null id hashes as the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """The leading 60 bits of the id's MD5; where the id is null, of ``text:`` and the text."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text))
+    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -95,7 +96,7 @@ def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole_text(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash")
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(whole_text(text_col)).alias("size"), doc_hash(F.col(id_col), whole_text(text_col)).alias("hash")
     )
 
 
@@ -103,7 +104,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, size, source_size, target, taken, copies``, a row for each document.
 
     A null text has size 0; a null source is a source of its own, last in order;
-    documents of one id are taken or left together; an empty table gives no rows.
+    documents of one id are taken or left together, and so are those without an id
+    that have one text; an empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
@@ -115,11 +117,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def repeat_to_mix(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0 to 2 times), with the same columns."""
+    """The rows of ``docs`` as often as the mix takes them (0 to 2 times), with the same columns.
+
+    Nulls, ties and repeated rows count as in ``mix_sources``; an empty table stays empty.
+    """
     sized = _sized(docs, "doc_id", "text", "source")
     cuts = materialize(thresholds(materialize(sized.drop("doc_id"), "mix-sizes"), **settings), "mix-cuts")
     cuts = cuts.select(F.col("source").alias("__of"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    times = F.col("__passes") + F.when(doc_hash(docs["doc_id"]) < F.col("__cut"), 1).otherwise(0)
+    times = F.col("__passes") + F.when(doc_hash(docs["doc_id"], whole_text()) < F.col("__cut"), 1).otherwise(0)
     return (
         docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__of"]))
         .withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
@@ -134,7 +139,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 ranked AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
