@@ -27,6 +27,8 @@ FEATURES = (
 )
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
+#: About how many labelled rows ``keep_good`` learns from, where there are more.
+FIT_ROWS = 1 << 16
 TO_POOLED = 0.10
 TO_IDENTITY = 0.1
 
@@ -98,7 +100,7 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_out: bool = False) -> DataFrame:
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), len(FEATURES))
@@ -108,10 +110,14 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInPandas(run_task, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def _marks(labels: DataFrame, target: str) -> DataFrame:
+    """``doc_id, __y``: one label an id, the largest of several."""
+    return labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("int").alias("__y"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", **settings) -> Discriminant:
     """Fit on the rows of ``stats`` that ``labels`` marks and that are not held out: one row of moments for each class."""
-    marks = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("__y"))
-    rows = stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id")
+    rows = stats.where(~held_out(F.col("doc_id"))).join(_marks(labels, target), "doc_id")
     pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
     sums = [F.count(F.lit(1)).cast("double"), *(F.sum(a) for a in FEATURES), *(F.sum(F.col(a) * F.col(b)) for a, b in pairs)]
     moments = {r[0]: np.array(r[1]) for r in rows.groupBy("__y").agg(F.array(*sums)).collect()}
@@ -148,13 +154,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return apply_model(stats, fit(stats, labels, **settings), threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target: str = "quality", fit_rows: int = FIT_ROWS, **settings) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns.
 
-    The rows are scored where they lie, so equal ids need no join back.
+    The model learns from the labelled rows that are not held out; of more than
+    ``fit_rows`` about so many, chosen by a hash of the id, so that their ids fit
+    a broadcast and their statistics alone are made for it.  All rows are then
+    scored where they lie, so equal ids need no join back.  Null texts count as
+    empty, rows with a null id are scored like others, several labels of one id
+    count as their largest, without two labelled rows of each class every row
+    scores the share of class 1, and an empty table stays empty.
     """
-    stats = materialize(with_statistics(docs), "quality-statistics")
-    model = fit(stats, labels, **settings)
+    known = _marks(labels, target).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"))
+    chosen = materialize(known.where(F.pmod(F.xxhash64("__id"), F.lit(max(1, known.count()))) < fit_rows), "quality-learnt")
+    learnt = docs.select("doc_id", "text").join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["__id"], "left_semi")
+    model = fit(with_statistics(learnt), labels, target, **settings)
     good = F.pandas_udf(lambda text: pd.Series(model.score(np.array([statistics(t) for t in text]).reshape(len(text), len(FEATURES))) >= threshold), "boolean")
     return docs.where(good(whole_text()))
 
