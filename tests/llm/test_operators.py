@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,40 @@ def test_sketches_recover_differences():
     assert stuck.sketch(12).difference(sketch.Version("").sketch(12)) is None
 
 
+def brute_likeness(a, b):
+    a, b = Counter(sketch.pieces(a)), Counter(sketch.pieces(b))
+    total = sum(a.values()) + sum(b.values())
+    return 2 * sum((a & b).values()) / total if total else 1.0
+
+
+def test_likenesses_are_those_of_the_pieces(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
+    got = {r["doc_id"]: r for r in sketch.fingerprint_documents(docs).collect()}
+    for (i, t), (_, following) in zip(texts, texts[1:] + texts[:1], strict=True):
+        assert got[i]["near_next"] == pytest.approx(brute_likeness(t, following))
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(t, sketch.edited(t, following)))
+
+
+def test_pieces_follow_the_content():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    text = " ".join(words)
+    assert " ".join(sketch.pieces(text)) == text and 30 < len(sketch.pieces(text)) < 90
+    for other in ("first " + text, text + " last", " ".join(words[:200] + ["between"] + words[200:])):
+        like = brute_likeness(text, other)
+        assert like > 0.9 and sketch.likeness(sketch.Version(text), sketch.Version(other)) == pytest.approx(like)
+
+
+def test_pieces_of_one_digest_are_told_apart(monkeypatch):
+    """Two pieces of a text share their first digest, so no size of sketch peels."""
+    real = sketch.digests
+    monkeypatch.setattr(sketch, "digests", lambda text, salt=0: real(text, salt) if salt else np.full(len(sketch.pieces(text)), 7, np.uint64))
+    a, b = sketch.Version("one\ntwo\nthree"), sketch.Version("one")
+    mine, theirs = sketch.differing(a, b)
+    assert len(mine) == 2 and len(theirs) == 0
+
+
 def test_fingerprints_of_odd_rows(odd_docs, no_docs, plain_docs):
     got = by_id(sketch.fingerprint_documents(odd_docs))
     order = sorted(((i, t or "") for i, t in plain_docs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
@@ -118,6 +153,13 @@ def test_codes_round_trip(top):
     assert all((c.stretch(x, y) == a[x:y]).all() for x, y in ((0, 5000), (7, 9), (511, 1030), (4999, 5000), (5, 5)))
 
 
+def test_codes_are_kept_where_they_are_asked_for(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "two words"), (1, None)], "doc_id long, text string")
+    token_codes.write_codes(docs, to=f"file://{tmp_path}/codes")
+    again = spark.read.parquet(f"file://{tmp_path}/codes")
+    assert [(r["doc_id"], r["start"]) for r in sorted(token_codes.read_codes(again).collect(), key=lambda r: r["start"])] == [(1, 0), (2, 1)]
+
+
 def test_token_codes_of_odd_rows(odd_docs, no_docs, plain_docs):
     from tokenizers import Tokenizer
 
@@ -168,6 +210,69 @@ def test_private_method_adds_told_spans_and_leaves_prose(spark):
     assert got[3] == got[4] == ""
 
 
+def brute_added(text, trees, least):
+    """The added spans of a text, one at a time: candidates, features, trees, thresholds and the choice by score."""
+    base = [(m.start(), m.end()) for _, p, ok in BASE for m in re.finditer(p, text) if ok(m[0])]
+    java = lambda p: p.replace(r"\z", r"\Z")
+    accepted = []
+    for k, (kind, (pattern, _)) in enumerate(pii.GENERATORS.items()):
+        for m in re.finditer(java(pattern), text):
+            a, b, match = m.start(), m.end(), m[0]
+            if any(a < y and x < b for x, y in base):
+                continue
+            before = text[max(0, a - pii.CONTEXT_CHARS) : a].lower()
+            around = f"{text[a - 1 : a] if a else ''}|{text[b : b + 1]}"
+            if kind == "iban":
+                plain = match.replace(" ", "")
+                checked = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+            else:
+                checked = kind == "ssn" and bool(re.match("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", match))
+            row = [
+                k, min(20, len(re.sub("[^0-9]", "", match))), min(3, len(re.sub(r"[^\x20().-]", "", match))), int(bool(re.search("^[A-Za-z0-9_/=#]|[A-Za-z0-9_/=]$", around))),
+                int(bool(re.search(pii.CONTEXT[kind], before))), int(bool(re.search("|".join(pii.CONTEXT.values()), before))), int(checked),
+            ]
+            score = 0.0
+            for t in trees:
+                score += pii.tree_value(t, row)
+            if score >= least[k]:
+                accepted.append((-score, a, -b, k))
+    kept = []
+    for x in sorted(accepted):
+        if not any(x[1] < -y[2] and y[1] < -x[2] for y in kept):
+            kept.append(x)
+    return [f"{kind}:{a}:{b}" for k, kind in enumerate(pii.MORE_KINDS) for a, b in sorted((x[1], -x[2]) for x in kept if x[3] == k)]
+
+
+def test_added_spans_against_brute_force(spark, sf):
+    r = random.Random(8)
+    bits = ["call ", "phone: ", "ssn ", "iban: ", "212-555-0123", "(212) 555 0123", "123-45-6789", "55512345", " ", " ", "\n", "DE89370400440532013000", "joe [at] site.example", "1.2.3.4", "4111 1111 1111 1111", "+1 212 555 0123", "é", "a@b.c", ",", "passport: 123456789 "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 60))) for _ in range(300)] + ["123-45-6789 55512345", "call 2125550123 or 1.2.3.4, " * 900]
+    texts += [x["text"] or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    trees, least = pii._fitted(spark.sparkContext.applicationId, pii.TRAIN_ROWS)
+    got = {x["doc_id"]: x["spans"] for x in pii.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        more = brute_added(t, trees, least)
+        assert got[i] == ",".join(sum(base_of(t), []) + more), t
+        added += len(more)
+    assert added > 300
+
+
+def test_best_spans_of_a_chain(spark):
+    """The middle one of three loses to the first, and then doesn't keep the last one out."""
+    rows = [([(-3.0, 10, -20, 0), (-2.0, 15, -30, 1), (-1.0, 25, -40, 2), (-1.0, 50, -60, 0)],), ([],), ([(-1.0, 0, -5, 0), (-2.0, 3, -9, 1), (-3.0, 8, -12, 2)],), ([(-1.0, 2, -5, 1), (-1.0, 2, -5, 0), (-1.0, 2, -7, 3)],)]
+    got = [x[0] for x in spark.createDataFrame(rows, f"spans array<{pii.RANKED}>").coalesce(1).select(pii.best_apart(F.col("spans"))).collect()]
+    assert [sorted((s["start"], s["kind"]) for s in g) for g in got] == [[(10, 0), (25, 2), (50, 0)], [], [(0, 0), (8, 2)], [(2, 3)]]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time in proportion to the matches: 50,000 in one text."""
+    began = time.monotonic()
+    row = pii.find_private(spark.createDataFrame([(1, "call 2125550123 or 1.2.3.4, " * 25_000)], "doc_id long, text string")).first()
+    assert row["n_ip"] == 25_000 and row["spans"].count(",") >= 24_999
+    assert time.monotonic() - began < 60
+
+
 # --- 6 mixing ---------------------------------------------------------------------------------
 
 
@@ -215,6 +320,13 @@ def test_mixture_comes_near_its_targets(spark):
         assert abs(s["taken"] - s["target"]) <= s["most"]
 
 
+def test_rows_without_an_id_are_spread(spark):
+    """A source whose ids are all null comes as near to its target as any other."""
+    rows = [(None if s == "none" else i, f"w{i} " * (1 + i % 20), s) for i in range(1500) for s in ("a", "none")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    assert all(abs(g["taken"] - g["target"]) <= g["most"] for g in got)
+
+
 # --- 7 SimHash -----------------------------------------------------------------------------------
 
 
@@ -419,6 +531,32 @@ def test_exact_dedup(odd_docs, no_docs, plain_docs, digest_bytes, memtable):
     assert exact_dedup.exact_duplicates(no_docs).count() == 0
 
 
+def test_blocks_of_the_index_grow_with_the_rows(spark):
+    """Three quarters of the keys are unique; a fifth of the rows is one key."""
+    rows = 40_000
+    keyed = spark.range(rows, numPartitions=8).selectExpr("id AS doc_id", "CASE WHEN id % 5 = 4 THEN 'hot' WHEN id % 20 < 2 THEN 'k' || (id DIV 20) ELSE 'u' || id END AS k")
+    keyed = keyed.select("doc_id", "k", F.unhex(F.substring(F.sha2("k", 256), 1, 32)).alias("digest"))
+    want = {(bytes(r["digest"]), r["a"], r["n"]) for r in keyed.groupBy("digest").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").collect()}
+    blocks = {}
+    for memtable in (2000, 500):
+        seen = []
+        got = exact_dedup.merge_index(keyed, memtable, 4, seen)
+        assert {(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in got.collect()} == want
+        blocks[memtable] = seen
+    assert len(blocks[2000]) > 1 and len(blocks[500]) > len(blocks[2000])
+    # A block has about a memtable's entries on every level: four times the memtables, about four times the blocks.
+    assert all(b <= 2.5 * s[0] for s in blocks.values() for b in s) and max(blocks[500]) <= 8 * max(blocks[2000])
+
+
+def test_drop_copies_of_repeated_ids(spark):
+    rows = [(1, "a  b", "x"), (1, "a b", "y"), (1, "c", "x"), (2, "a b", "x"), (None, "c", "x"), (None, "d", "x"), (None, "d", "y"), (3, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    df = df.withColumnRenamed("__id", "source")
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").replace("  ", " ")) for r in exact_dedup.drop_copies(df).collect())
+    assert got == [(0, "d"), (1, "a b"), (1, "c"), (3, "")]
+    assert exact_dedup.drop_copies(df.where("false")).count() == 0
+
+
 def test_drop_copies(odd_docs, plain_docs):
     stay = exact_dedup.drop_copies(odd_docs)
     assert stay.columns == odd_docs.columns
