@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -581,6 +583,106 @@ def test_blocks():
     assert blocks.parse(None) == blocks.parse("") == blocks.parse("<script>never closed") == []
 
 
+class _Plain(HTMLParser):
+    """Block texts by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.out, self.held, self.skip = [], [], None
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        self.out += [text] if text else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip = tag
+        elif tag == "br":
+            self.held.append(" ")
+        elif tag in blocks.BLOCK_TAGS:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = None
+        elif tag in blocks.BLOCK_TAGS:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.held.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(html.unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(html.unescape(f"&#{name};"))
+
+
+def test_blocks_against_the_standard_library(spark, sf):
+    writer = labeller.PageWriter(31)
+    pages = [r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()] + [writer.page() for _ in range(300)]
+    for page in pages:
+        assert [b.text for b in blocks.parse(page)] == _Plain(page).out, page
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<article><p>a</p><script src='a.js'/>var adslot = loadAds(1);</script><p>b</p></article>", ["a", "b"]),
+        ("<p title=it's>hello</p><p>more</p>", ["hello", "more"]),
+        ("<p>one<p class=", ["one"]),
+        ("<p>one<p class='never closed>two</p>", ["one"]),
+        ("<p a='>'>one<p b=\">\" c=d>two<p e = '>' f>three", ["one", "two", "three"]),
+        ("a <math><mi>x</mi></math> b", ["a x b"]),
+        ("<noscript><p>shown</p></noscript>", ["shown"]),
+        ("1 < 2 &lt; 3 &<b>amp;</b> </ no> x", ["1 < 2 < 3 &amp; x"]),
+        ("a<!-->b<!-- c --!>d<!doctype x>e<?php f ?>g", ["abdeg"]),
+        ("<textarea><p>raw</p></textarea><title>T <b> t</title>", ["<p>raw</p>", "T <b> t"]),
+        ("<svg><text>icon</text></svg>one<svg/>two<svg>three", ["onetwothree"]),
+        ("<head><title>t</title><p>x", ["t", "x"]),
+        ("<STYLE>p{}</STYLE ><script>if (a<b) '</p>'</script\n>y<iframe><p>no</iframe>", ["y"]),
+    ],
+)
+def test_markup_is_no_text(page, texts):
+    assert [b.text for b in blocks.parse(page)] == texts
+    if "head" in page:
+        assert blocks.parse(page)[1].path == ("p",)
+
+
+def test_pages_without_telling_elements():
+    """Handmade pages that say by no class and no article where their main text is."""
+    model = labeller.trained()
+    lines = ["How rivers shape valleys", "Rivers carry sand and stones over long distances, and they cut into rock.", "Over thousands of years the valley grows wider, and its floor becomes flat.", "People have always settled near rivers, because the soil is rich."]
+    h, *paragraphs = lines
+    body = f"<h1>{h}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    plain = f"<html><body><div>Acme Site</div><div><a href='/'>Home</a> <a href='/n'>News</a> <a href='/c'>Contact</a></div><div>{body}</div><div>Copyright 2024 Acme Corp. All rights reserved.</div></body></html>"
+    listed = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Terms explained</h1><dl><dt>Term</dt><dd>A long text that says what the term means in a full sentence.</dd></dl><p>And a paragraph follows it.</p></article><footer>&copy; x</footer></body></html>"
+    script = f"<html><body><article>{body}<script src='a.js'/>var adslot = loadAds(1);</script></article></body></html>"
+    texts = extraction.main_texts([plain, listed, script, f"<p>{paragraphs[0]}</p>", paragraphs[0]], model)
+    assert texts[0] == "\n".join(lines) == texts[2]
+    assert texts[1].split("\n")[1:] == ["Term", "A long text that says what the term means in a full sentence.", "And a paragraph follows it."]
+    assert texts[3] == texts[4] == paragraphs[0]
+
+
+def test_deep_and_unclosed_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    model = labeller.trained()
+    tracemalloc.start()
+    extraction.main_texts(["<div>x" * 100_000], model)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    began = time.monotonic()
+    for page in ("<a '" * 50_000, "<center>x</p>" * 50_000, "<svg>" * 50_000, "<!--" * 50_000, "<p a=\"" * 50_000, "<" * 200_000, "</" * 100_000):
+        blocks.parse(page)
+    assert time.monotonic() - began < 20
+
+
 def test_labeller_gradients():
     model = labeller.Labeller(1)
     writer = labeller.PageWriter(2)

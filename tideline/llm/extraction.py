@@ -35,7 +35,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A null or empty page, and one without main text, has an empty text; text
     outside any element is a block like others; unclosed elements end where
-    the HTML rules or the page end them.  Other columns are not read.
+    the HTML rules or the page end them, and a tag that never ends takes the rest
+    of the page with it.  Long and deeply nested pages take memory in proportion
+    to their length; repeated rows are rows of their own, and an empty table
+    gives none.  Other columns are not read.
     """
     model = trained(train_pages)
 

@@ -11,11 +11,11 @@ import numpy as np
 from .blocks import DIM, parse, vector
 
 HIDDEN = 20
-TRAIN_PAGES = 1800
+TRAIN_PAGES = 2000
 EPOCHS = 12
 SEED = 5
 #: Cells (pages times the longest page's blocks) that are labelled at once.
-CELLS = 1 << 15
+CELLS = 1 << 14
 #: Before each piece of main text of a generated page, until its label is read; a private-use character.
 MARK = "\ue000"
 
@@ -36,10 +36,13 @@ class Lstm:
         steps, pages, _ = x.shape
         h, c = np.zeros((2, pages, HIDDEN), np.float32)
         out, saved = np.zeros((steps, pages, HIDDEN), np.float32), []
-        inner = x.reshape(steps * pages, -1) @ self.w[:DIM] + self.b
-        inner = inner.reshape(steps, pages, -1)
+        # So many steps at once that their inputs are weighed in one product of bounded size.
+        span = max(1, CELLS // pages)
         for t in range(steps):
-            z = inner[t] + h @ self.w[DIM:]
+            if t % span == 0:
+                part = x[t : t + span]
+                inner = (part.reshape(len(part) * pages, -1) @ self.w[:DIM] + self.b).reshape(len(part), pages, -1)
+            z = inner[t % span] + h @ self.w[DIM:]
             i, f, o = _sigmoid(z[:, :HIDDEN]), _sigmoid(z[:, HIDDEN : 2 * HIDDEN]), _sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
@@ -104,8 +107,9 @@ class Labeller:
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(pages))
-            for a in range(0, len(order), batch):
+            # Pages of like length share a batch; lengths a little blurred, batches in random order.
+            order = np.argsort([len(p) * rng.uniform(0.8, 1.25) for p, _ in pages])
+            for a in rng.permutation(range(0, len(order), batch)):
                 chosen = [pages[k] for k in order[a : a + batch]]
                 x, mask = stack([p for p, _ in chosen])
                 y = stack([y[:, None] for _, y in chosen])[0][:, :, 0]
@@ -130,6 +134,8 @@ class Labeller:
 def stack(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pages side by side, (time, page, columns), and where they have blocks."""
     steps = max(1, max((len(p) for p in pages), default=1))
+    if len(pages) == 1 and len(pages[0]):
+        return pages[0][:, None, :], np.ones((steps, 1), bool)
     x = np.zeros((steps, len(pages), pages[0].shape[1] if pages else DIM), np.float32)
     mask = np.zeros((steps, len(pages)), bool)
     for j, p in enumerate(pages):
@@ -139,7 +145,10 @@ def stack(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(blocks) -> np.ndarray:
-    return np.array([vector(b) for b in blocks], np.float32).reshape(len(blocks), DIM)
+    out = np.zeros((len(blocks), DIM), np.float32)
+    for i, b in enumerate(blocks):
+        out[i] = vector(b)
+    return out
 
 
 class PageWriter:
@@ -147,6 +156,8 @@ class PageWriter:
 
     def __init__(self, seed: int = SEED):
         self.r = random.Random(seed)
+        #: Whether the page has no class, id or role words, and few elements that tell what they are.
+        self.plain = False
 
     def word(self) -> str:
         return "".join(self.r.choice("er th on la de ung re st ment os qu ei sch tion ing ca ra".split()) for _ in range(self.r.randint(1, 4)))
@@ -167,12 +178,14 @@ class PageWriter:
 
     def attribute(self, words: list[str]) -> str:
         r = self.r
+        if self.plain:
+            return ""
         w = r.choice(words)
         w = r.choice([w, w, f"{w} {self.word()}", f"site-{w}", f"{w}-box", f"{w}s", f"{self.word()} {w}"])
         return r.choice([f' class="{w}"', f' class="{w}"', f" class='{w}'", f' id="{w}"', f' role="{w}"'])
 
     def wrap(self, tags: list[str], words: list[str], inner: str) -> str:
-        tag = self.r.choice(tags)
+        tag = "div" if self.plain and self.r.random() < 0.8 else self.r.choice(tags)
         if tag in ("div", "section"):
             return f"<{tag}{self.attribute(words)}>{inner}</{tag}>"
         return f"<{tag}{self.attribute(words) if self.r.random() < 0.4 else ''}>{inner}</{tag}>"
@@ -195,6 +208,8 @@ class PageWriter:
         if kind == "side":
             return self.wrap(["aside", "aside", "div"], ["sidebar", "related", "widget", "recommended", "trending", "popular", "rail"], f"<h3>{self.words(1, 4)}</h3>" + (self.links() if r.random() < 0.6 else f"<p>{self.sentence_block(3, 40)}</p>"))
         if kind == "notice":
+            if r.random() < 0.15:
+                return f"<noscript>{r.choice(['<p>', '<div>', ''])}{r.choice(['Please enable JavaScript ', 'JavaScript '])}{self.words(1, 12)}.</noscript>"
             return self.wrap(["div", "div", "section", "dialog"], ["cookie", "consent", "notice", "banner", "alert", "gdpr", "popup", "modal"], f"<p>{r.choice(['We use cookies ', 'Cookies ', 'Privacy ', ''])}{self.sentence_block(3, 30)}</p><button>{r.choice(['Accept', 'OK', 'Close', self.words(1, 2)])}</button>")
         if kind == "form":
             return self.wrap(["form", "form", "div"], ["newsletter", "subscribe", "search", "login", "signup", "form"], f"<form><label>{self.words(1, 4)}</label><input type='text'><button>{r.choice(['Subscribe', 'Send', 'Search', self.words(1, 2)])}</button></form>" if r.random() < 0.5 else f"<label>{self.words(1, 5)}</label><select><option>{self.word()}</option><option>{self.word()}</option></select>")
@@ -224,13 +239,21 @@ class PageWriter:
                 parts.append(f"<pre>{self.mark(self.sentence_block())}</pre>")
             elif k < 0.94:
                 parts.append("<table>" + "".join(f"<tr><td>{self.mark(self.words(1, 4))}</td><td>{self.mark(self.words(1, 4))}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>")
-            elif k < 0.96:
+            elif k < 0.95:
+                parts.append("<dl>" + "".join(f"<dt>{self.mark(self.words(1, 5))}</dt><dd>{self.mark(self.sentence_block(2, 30))}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
+            elif k < 0.955:
+                parts.append(f"<noscript><p>{self.mark(self.sentence_block())}</p></noscript>")
+            elif k < 0.965:
+                parts.append(f"<video controls>{self.words(2, 9)}</video>")
+            elif k < 0.975:
                 parts.append(f"<figure><img src='x'><figcaption>{self.mark(self.sentence_block(2, 12))}</figcaption></figure>")
-            else:
+            elif not self.plain:
                 parts.append(self.boilerplate(r.choice(["ad", "ad", "share", "side", "form", "notice"])))
         if r.random() < 0.12:
             parts.append(self.boilerplate("comments"))
         inner = "".join(parts)
+        if self.plain:
+            return r.choice([f"<div>{inner}</div>", f"<div>{inner}</div>", f"<table><tr><td>{inner}</td></tr></table>", inner])
         if r.random() < 0.3:
             inner = f"<div{self.attribute(['content', 'body', 'text', 'entry'])}>{inner}</div>"
         if r.random() < 0.65:
@@ -241,8 +264,26 @@ class PageWriter:
     def mark(text: str) -> str:
         return MARK + text
 
+    def plain_page(self) -> str:
+        """Site name, links, main text and an imprint in elements that say nothing."""
+        r = self.r
+        name = f"<{(t := r.choice(['div', 'div', 'p', 'td']))}>{self.words(1, 5)}</{t}>" if r.random() < 0.8 else ""
+        links = self.wrap(["div", "nav"], [], self.links()) if r.random() < 0.75 else ""
+        imprint = self.wrap(["div", "footer"], [], r.choice([f"&copy; {self.words(1, 5)}", f"Copyright {r.randint(1995, 2026)} {self.words(1, 5)}", f"{self.words(1, 3)} {r.randint(1995, 2026)} All rights reserved"])) if r.random() < 0.8 else ""
+        more = "".join(self.boilerplate(k) for k in ("notice", "form", "comments") if r.random() < 0.12)
+        k = r.random()
+        if k < 0.15:
+            return self.article() if r.random() < 0.7 else self.mark(self.sentence_block(3, 60))
+        if k < 0.4:
+            rows = [name, links, self.article() + more, imprint]
+            return "<body><table>" + "".join(f"<tr><td>{x}</td></tr>" for x in rows if x) + "</table></body>"
+        return f"<html><head><title>{self.words(1, 9)}</title></head><body>{name}{links}{self.article()}{more}{links if r.random() < 0.15 else ''}{imprint}</body></html>"
+
     def page(self) -> str:
         r = self.r
+        self.plain = r.random() < 0.25
+        if self.plain:
+            return self.plain_page()
         some = lambda kinds, p: "".join(self.boilerplate(k) for k in kinds if r.random() < p)
         top = some(["notice", "header", "nav", "ad", "form", "share", "side"], 0.35)
         end = some(["share", "ad", "side", "comments", "form", "nav", "notice"], 0.25) + (self.boilerplate("footer") if r.random() < 0.85 else "")
