@@ -234,7 +234,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of equal texts the one with the smallest id, of repeated rows one.
 
-    What goes is far less than what stays, so rows are joined against what goes.
+    What goes is far less than what stays, so rows are joined against what goes,
+    by a shuffle at every size, as what goes grows with the documents.
     Null texts count as empty, null ids come last; rows that repeat both id and
     text count as one row, whatever their other columns hold, and any of them
     stays.  An empty table stays empty.
@@ -246,7 +247,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     repeats = materialize(named(marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))), "dedup-repeats")
     hashed = docs.withColumn("__own", F.sha2(normalised(), 256))
     same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["__id"]) & (hashed["__own"] == other["__sha"])
-    stay = hashed.join(gone, same(gone), "left_anti")
+    stay = hashed.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
     if repeats.isEmpty():
         return stay.drop("__own")
     once = hashed.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", "__own"])
