@@ -16,8 +16,8 @@ def pack(spans: Sequence[int], on: Sequence[bool]) -> list[tuple[int, int]]:
     """``(row, width)`` of each panel.
 
     A row closes when the next panel doesn't fit or is in the other state.
-    Switched-off runs are of even width; what a row leaves over is shared, the
-    rest of it going to the leftmost.
+    Switched-off runs are of even width; what a row leaves over is shared, and
+    what can't be shared evenly goes one each to the first of its panels.
     """
     n, wide = len(spans), list(spans)
     i = 0
@@ -28,19 +28,20 @@ def pack(spans: Sequence[int], on: Sequence[bool]) -> list[tuple[int, int]]:
         if not on[i]:
             wide[i:j] = [OFF_WIDTHS.get(j - i, 4)] * (j - i)
         i = j
+    taken = lambda m: min(COLUMNS, max(1, wide[m]))
     rows: list[list[int]] = []
     for k in range(n):
-        fits = rows and on[rows[-1][0]] == on[k] and sum(wide[m] for m in rows[-1]) + wide[k] <= COLUMNS
+        fits = rows and on[rows[-1][0]] == on[k] and sum(taken(m) for m in rows[-1]) + taken(k) <= COLUMNS
         if fits:
             rows[-1].append(k)
         else:
             rows.append([k])
     out: list[tuple[int, int]] = [(0, 0)] * n
     for r, members in enumerate(rows):
-        slack = COLUMNS - sum(wide[m] for m in members)
+        slack = COLUMNS - sum(taken(m) for m in members)
         each, rest = divmod(slack, len(members))
         for place, m in enumerate(members):
-            out[m] = (r, wide[m] + each + (rest if place == 0 else 0))
+            out[m] = (r, wide[m] + each + (place < rest))
     return out
 
 
