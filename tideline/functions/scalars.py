@@ -31,24 +31,27 @@ def finite(c: Column) -> Column:
 def parse_timestamp(raw: Column) -> Column:
     """Local wall-clock time of an ISO-like prefix, a US date with an optional AM/PM, or a bare date; else null.
 
-    What follows the matched prefix (a zone, fractions) is ignored.
+    What follows the matched prefix (a zone, fractions) is ignored.  Times are
+    put together from their parts, so no time zone has a say in them.
     """
     t = F.trim(raw)
-    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2}(?::\d{2})?)", 0)
-    iso = F.regexp_replace(iso, "T", " ")
-    us = F.upper(F.regexp_extract(t, r"(?i)^\d{1,2}/\d{1,2}/\d{4},? +\d{1,2}:\d{2}(?::\d{2})?(?: *[AP]M)?", 0))
-    us = F.regexp_replace(F.regexp_replace(us, ",", ""), " +", " ")
-    half = F.regexp_extract(us, "([AP])M$", 1)
-    clock = F.trim(F.regexp_replace(us, "[AP]M$", ""))
-    at = F.coalesce(F.try_to_timestamp(clock, F.lit("M/d/yyyy H:mm:ss")), F.try_to_timestamp(clock, F.lit("M/d/yyyy H:mm")))
-    shift = F.when((half == "P") & (F.hour(at) < 12), 12).when((half == "A") & (F.hour(at) == 12), -12).otherwise(0)
-    us_time = F.timestamp_seconds(F.unix_timestamp(at) + shift * 3600)
-    day = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})$", 0)
-    return F.coalesce(
-        F.when(iso != "", F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd H:mm")))),
-        F.when(us != "", us_time),
-        F.when(day != "", F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))),
-    ).cast("timestamp_ntz")
+    iso = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
+    us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}),? +(\d{1,2}):(\d{2})(?::(\d{2}))?(?: *([AP])M)?"
+    bare = r"^(\d{4})-(\d{2})-(\d{2})$"
+    zero = F.lit(0)
+
+    def part(pattern: str, group: int) -> Column:
+        text = F.regexp_extract(t, pattern, group)
+        return F.when(text != "", text.cast("int")).otherwise(0)
+
+    half, hour = F.upper(F.regexp_extract(t, us, 7)), part(us, 4)
+    hour = F.when((half == "P") & (hour < 12), hour + 12).when((half == "A") & (hour == 12), 0).otherwise(hour)
+    made = lambda *parts: F.try_make_timestamp_ntz(*parts[:5], parts[5].cast("decimal(16,6)"))
+    return (
+        F.when(t.rlike(iso), made(*[part(iso, g) for g in range(1, 7)]))
+        .when(t.rlike(us), made(part(us, 3), part(us, 1), part(us, 2), hour, part(us, 5), part(us, 6)))
+        .when(t.rlike(bare), made(*[part(bare, g) for g in range(1, 4)], zero, zero, zero))
+    )
 
 
 def parse_number(raw: Column) -> Column:
@@ -193,7 +196,12 @@ def significant(v: Column, digits: int = 3) -> Column:
 
 
 def fmt_p(p: Column) -> Column:
-    return F.when(~is_num(p), MISSING).when(p < 0.001, "<0.001").otherwise(significant(p, 2).cast("string"))
+    return F.when(~is_num(p), MISSING).when(p < 0.001, "< 0.001").otherwise(significant(p, 2).cast("string"))
+
+
+def fmt_p_relation(p: Column) -> Column:
+    """The p-value behind its sign, for use in a sentence."""
+    return F.when(is_num(p) & (p < 0.001), fmt_p(p)).otherwise(F.concat(F.lit("= "), fmt_p(p)))
 
 
 def fmt_duration(minutes: Column) -> Column:
