@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ def spread(df: DataFrame, x: str, keys: Sequence[str] = NONE) -> DataFrame:
     out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("sd"), F.percentile(v, [0.25, 0.75]).alias("q"))
     iqr = F.coalesce(F.element_at("q", 2) - F.element_at("q", 1), F.lit(0.0))
     sd = F.coalesce("sd", F.lit(0.0))
-    least = F.when(iqr > 0, F.least(sd, iqr / 1.34)).otherwise(sd)
+    least = F.least(sd, iqr / 1.34)
     return out.select(*keys, "n", "lo", "hi", sd.alias("sd"), iqr.alias("iqr"), F.when(F.col("n") > 0, 0.9 * least * F.pow("n", -0.2)).otherwise(0.0).alias("h"))
 
 
@@ -84,124 +85,162 @@ def kernel_density(df: DataFrame, x: str, bandwidth: float | None = None, points
 
 
 def density_peaks(curve: DataFrame, keys: Sequence[str] = NONE, floor: float = 1e-3) -> DataFrame:
-    """Local maxima above a thousandth of the highest, plateaus at their middle: ``x, y, rank`` by height."""
+    """Local maxima above a thousandth of the highest, plateaus at their middle, ends of the curve left out: ``x, y, rank`` by height."""
     w = Window.partitionBy(*keys).orderBy("i")
     runs = curve.withColumn("__new", F.coalesce((F.col("y") != F.lag("y").over(w)).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(w))
     flat = runs.groupBy(*keys, "__run").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.first("y").alias("y"))
     o = Window.partitionBy(*keys).orderBy("__run")
     top = F.max("y").over(Window.partitionBy(*keys))
     marked = flat.withColumns({"__l": F.lag("y").over(o), "__r": F.lead("y").over(o), "__t": top})
-    peaks = marked.where((F.col("y") > F.coalesce("__l", F.lit(0.0))) & (F.col("y") > F.coalesce("__r", F.lit(0.0))) & (F.col("y") > floor * F.col("__t")))
+    peaks = marked.where((F.col("y") > F.col("__l")) & (F.col("y") > F.col("__r")) & (F.col("y") > floor * F.col("__t")))
     out = peaks.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("x"), "y")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("y").desc(), "x")).cast("long"))
 
 
 def support_gaps(df: DataFrame, x: str, min_share: float = 0.1, keys: Sequence[str] = NONE) -> DataFrame:
-    """Stretches without values that are wide against the range: ``lo, hi, width, share``, the widest first."""
+    """Stretches without values that are wide against the range: ``lo, hi, width, share``, the widest first.
+
+    Values are aggregated to cells narrower than the least gap asked for, so a
+    gap lies between the highest value of a cell and the lowest of the next, and
+    windows see cells, of which ``min_share`` allows a fixed number.
+    """
     v = S.finite(F.col(x))
-    # Copies of a value make no gap, so a window sees distinct values only.
-    rows = df.where(v.isNotNull()).select(*keys, v.alias("lo")).distinct()
-    whole = Window.partitionBy(*keys)
-    gaps = rows.withColumns({"hi": F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo")), "__range": F.max("lo").over(whole) - F.min("lo").over(whole)})
-    gaps = gaps.where(F.col("hi").isNotNull() & (F.col("__range") > 0)).select(*keys, "lo", "hi", (F.col("hi") - F.col("lo")).alias("width"), ((F.col("hi") - F.col("lo")) / F.col("__range")).alias("share"))
+    cells = max(64, math.ceil(1 / min_share) + 1)
+    span = df.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi")).where("__hi > __lo")
+    placed = meet(df.where(v.isNotNull()).select(*keys, v.alias("v")), span, keys)
+    cell = F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells)).cast("int")
+    held = placed.groupBy(*keys, cell.alias("cell"), (F.col("__hi") - F.col("__lo")).alias("__range")).agg(F.min("v").alias("first"), F.max("v").alias("lo"))
+    gaps = held.withColumn("hi", F.lead("first").over(Window.partitionBy(*keys).orderBy("cell"))).where("hi is not null")
+    gaps = gaps.select(*keys, "lo", "hi", (F.col("hi") - F.col("lo")).alias("width"), ((F.col("hi") - F.col("lo")) / F.col("__range")).alias("share"))
     return gaps.where(F.col("share") >= min_share).orderBy(*keys, F.desc("width"), "lo")
 
 
+# The offset and prime of the 32-bit FNV-1a hash that seeds the stream, the multiplier and increment of
+# the congruential stream, the least uniform that a logarithm is taken of, and the scale at which values are hashed.
+FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+LCG_TIMES, LCG_PLUS = 1664525, 1013904223
+LEAST_UNIFORM = 1e-12
+HASH_SCALE = 1e6
+# Where the search for the critical bandwidth begins and ends, its steps and its tolerance, as multiples of the bandwidth or the deviation.
+SEARCH_FROM, SEARCH_TO, SEARCH_STEPS, SEARCH_TOLERANCE = 1 / 64, 4, 40, 1e-4
+
+
 class SeededNormals:
-    """Normals from a linear congruential stream that the data seed, so a sample always gives the same test."""
+    """Normals from a congruential stream that the values seed in their order, so a sample always gives the same test."""
 
     def __init__(self, data: np.ndarray):
-        h = 2166136261
-        for v in data:
-            h = ((h ^ (int(math.floor(v * 1e6 + 0.5)) & 0xFFFFFFFF)) * 16777619) & 0xFFFFFFFF
-        self.state, self.spare = h or 1, None
+        state = FNV_OFFSET
+        for scaled in np.floor(np.asarray(data, float) * HASH_SCALE + 0.5).tolist():
+            state = (state ^ (int(scaled) & 0xFFFFFFFF)) * FNV_PRIME & 0xFFFFFFFF
+        self.state, self.held = state, []
 
     def uniform(self) -> float:
-        self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFF
-        return self.state / 4294967296
+        self.state = (self.state * LCG_TIMES + LCG_PLUS) & 0xFFFFFFFF
+        return self.state / 2**32
 
     def normal(self) -> float:
-        if self.spare is not None:
-            out, self.spare = self.spare, None
-            return out
-        u = 0.0
-        while u == 0.0:
-            u = self.uniform()
-        r, a = math.sqrt(-2 * math.log(u)), 2 * math.pi * self.uniform()
-        self.spare = r * math.sin(a)
-        return r * math.cos(a)
-
-
-def _curve(v: np.ndarray, h: float, g0: float, step: float, points: int) -> np.ndarray:
-    pos = (v - g0) / step
-    pos = pos[(pos >= 0) & (pos <= points - 1)]
-    cell = np.minimum(points - 2, np.floor(pos)).astype(int)
-    w = np.bincount(cell, 1 - (pos - cell), points) + np.bincount(cell + 1, pos - cell, points)
-    reach = min(points, int(math.ceil(CUT * h / step)))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) * step / h) ** 2)
-    return np.convolve(w, kernel)[reach : reach + points] / (max(1e-300, w.sum()) * h * math.sqrt(2 * math.pi))
-
-
-def _peaks(y: np.ndarray, floor: float = 1e-3) -> list[int]:
-    change = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-    ends = np.r_[change[1:], len(y)] - 1
-    flat = y[change]
-    left, right = np.r_[0, flat[:-1]], np.r_[flat[1:], 0]
-    top = (flat > left) & (flat > right) & (flat > floor * y.max())
-    return sorted(((change + ends) // 2)[top].tolist(), key=lambda i: (-y[i], i))
-
-
-def modality_of(v: np.ndarray, replicates: int = 200, points: int = GRID) -> dict:
-    """Modes at the rule-of-thumb bandwidth and the smoothed-bootstrap p-value of there being one."""
-    v = np.sort(v)
+        if not self.held:
+            length, turn = math.sqrt(-2 * math.log(max(LEAST_UNIFORM, self.uniform()))), 2 * math.pi * self.uniform()
+            self.held = [length * math.sin(turn), length * math.cos(turn)]
+        return self.held.pop()
+
+
+@dataclass(frozen=True)
+class Grid:
+    """An even grid over a sample and some room beside it."""
+
+    g0: float
+    step: float
+    points: int
+
+    @classmethod
+    def around(cls, v: np.ndarray, pad: float, points: int) -> Grid:
+        low, high = float(v.min()) - pad, float(v.max()) + pad
+        return cls(low, (high - low if high > low else 1.0) / (points - 1), points)
+
+    def curve(self, v: np.ndarray, h: float) -> np.ndarray:
+        """The density of a sample; of values beside the grid's ends the share that falls on it counts."""
+        n = self.points
+        pos = (v - self.g0) / self.step
+        pos = pos[(pos >= -1) & (pos < n)]
+        cell = np.floor(pos).astype(int)
+        right = pos - cell
+        w = np.bincount(cell + 1, 1 - right, n + 2)[1 : n + 1] + np.bincount(cell + 1, right, n + 1)[:n]
+        reach = max(1, math.ceil(CUT * h / self.step))
+        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) * self.step / h) ** 2)
+        return np.convolve(w, kernel)[reach : reach + n] / (w.sum() * h * math.sqrt(2 * math.pi))
+
+    def modes(self, v: np.ndarray, h: float) -> int:
+        return len(_peaks(self.curve(v, h)))
+
+
+def _peaks(y: np.ndarray, floor: float = 1e-3) -> list[float]:
+    """Places of the local maxima, the highest first; a plateau's is its middle, and the ends are none."""
+    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    last = np.r_[first[1:], len(y)] - 1
+    flat = y[first]
+    inner = np.zeros(len(flat), bool)
+    inner[1:-1] = (flat[1:-1] > flat[:-2]) & (flat[1:-1] > flat[2:]) & (flat[1:-1] > floor * y.max())
+    at = ((first + last) / 2)[inner]
+    return at[np.argsort(-flat[inner], kind="stable")].tolist()
+
+
+def modality_of(v: np.ndarray, replicates: int = 200, points: int = GRID) -> dict | None:
+    """Modes at the rule-of-thumb bandwidth and the smoothed-bootstrap p-value of there being one; None without spread.
+
+    ``v`` is in the order of its days, which the random stream and its draws depend on.
+    """
     n, sd = len(v), float(np.std(v, ddof=1))
     iqr = float(np.subtract(*np.percentile(v, [75, 25])))
-    h0 = 0.9 * (min(sd, iqr / 1.34) if iqr > 0 else sd) * n**-0.2
-    if h0 <= 0:
-        return {"modes": 1, "antimode": None, "separation": None, "critical": 0.0, "p": 1.0, "replicates": 0}
-    pad = PAD * h0
-    g0, step = v[0] - pad, (v[-1] - v[0] + 2 * pad) / (points - 1)
-    modes = lambda x, h: len(_peaks(_curve(x, h, g0, step, points)))
-    y = _curve(v, h0, g0, step, points)
+    h0 = 0.9 * min(sd, iqr / 1.34) * n**-0.2
+    if not (h0 > 0 and sd > 0):
+        return None
+    drawn = Grid.around(v, PAD * h0, points)
+    y = drawn.curve(v, h0)
     top = _peaks(y)
     out = {"modes": len(top), "antimode": None, "separation": None}
     if len(top) >= 2:
-        a, b = sorted(top[:2])
-        low = a + int(np.argmin(y[a : b + 1]))
-        out |= {"antimode": g0 + low * step, "separation": 1 - y[low] / min(y[a], y[b])}
-    lo, hi = h0 / 64, 4 * max(h0, sd)
-    if modes(v, hi) > 1:
-        hi *= 4
-        if modes(v, hi) > 1:
+        left, right = sorted(top[:2])
+        between = np.arange(math.floor(left) + 1, math.ceil(right))
+        low = int(between[np.argmin(y[between])])
+        shorter = min(y[math.floor(left)], y[math.floor(right)])
+        out |= {"antimode": drawn.g0 + low * drawn.step, "separation": 1 - y[low] / shorter}
+    wide = Grid.around(v, PAD * max(h0, sd), points)
+    lo, hi = SEARCH_FROM * h0, SEARCH_TO * max(h0, sd)
+    if wide.modes(v, hi) > 1:
+        hi *= SEARCH_TO
+        if wide.modes(v, hi) > 1:
             return out | {"critical": hi, "p": 0.0, "replicates": 0}
-    for _ in range(40):
-        if hi - lo <= 1e-4 * h0:
+    for _ in range(SEARCH_STEPS):
+        if hi - lo <= SEARCH_TOLERANCE * h0:
             break
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if modes(v, mid) > 1 else (lo, mid)
-    normals, mean, shrink = SeededNormals(v), float(v.mean()), 1 / math.sqrt(1 + hi * hi / (sd * sd))
-    exceed = 0
+        lo, hi = (mid, hi) if wide.modes(v, mid) > 1 else (lo, mid)
+    stream, mean, shrink = SeededNormals(v), float(v.mean()), 1 / math.sqrt(1 + hi * hi / (sd * sd))
+    values, exceed = v.tolist(), 0
     for _ in range(replicates):
-        draw = np.array([mean + (v[min(n - 1, int(normals.uniform() * n))] - mean + hi * normals.normal()) * shrink for _ in range(n)])
-        exceed += modes(draw, hi) > 1
+        drawn_at = [(values[min(n - 1, int(stream.uniform() * n))], stream.normal()) for _ in range(n)]
+        picked, noise = np.array(drawn_at).T
+        exceed += wide.modes(mean + (picked - mean + hi * noise) * shrink, hi) > 1
     return out | {"critical": hi, "p": (exceed + 1) / (replicates + 1), "replicates": replicates}
 
 
-def modality(df: DataFrame, x: str, min_n: int = 60, replicates: int = 200, points: int = GRID, keys: Sequence[str] = NONE) -> DataFrame:
+def modality(df: DataFrame, x: str, min_n: int = 60, replicates: int = 200, points: int = GRID, keys: Sequence[str] = NONE, day: str = "d") -> DataFrame:
     """The test for each entity: ``ok, n, min_n, missing, modes, antimode, separation, critical, p, replicates``.
 
-    The stream of random numbers is sequential, so an entity is one group.
+    The stream of random numbers is sequential and goes through the days in
+    order, so an entity is one group.  Values without spread are insufficient.
     """
     v = S.finite(F.col(x))
-    rows = df.where(v.isNotNull()).select(*keys, v.alias("v"))
+    rows = df.where(v.isNotNull()).select(*keys, F.col(day).alias("__at"), v.alias("v"))
     names = list(keys)
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
     empty = {"modes": None, "antimode": None, "separation": None, "critical": None, "p": None, "replicates": None}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
-        base = {"ok": n >= min_n, "n": n, "min_n": min_n, "missing": max(0, min_n - n)}
-        result = pd.DataFrame([base | (modality_of(pdf["v"].to_numpy(), replicates, points) if n >= min_n else empty)])
+        found = modality_of(pdf.sort_values("__at", kind="stable")["v"].to_numpy(), replicates, points) if n >= min_n else None
+        result = pd.DataFrame([{"ok": found is not None, "n": n, "min_n": min_n, "missing": max(0, min_n - n)} | (found or empty)])
         for k in reversed(names):
             result.insert(0, k, pdf[k].iloc[0])
         return result

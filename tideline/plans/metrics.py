@@ -31,7 +31,7 @@ def impulse_response(days: DataFrame, outcome: str = "recovery", driver: str = "
     """Distributed lags with weekday and month effects, q-values over the lags, and the last lag that lowers the outcome."""
     d, dow = regression.weekday_dummies(days, day)
     d, month = regression.month_dummies(d, day)
-    fit = regression.distributed_lag(d, outcome, driver, max_lag, 1, [*controls, *dow, *month], L.HAC, None, day, (), min_n)
+    fit = regression.distributed_lag(d, outcome, driver, max_lag, 1, [*controls, *dow, *month], L.HAC, None, day, (), min_n, effects=[dow, month])
     tested = benjamini_hochberg(fit, "p", "lag")
     bites = F.when((F.col("coef") < 0) & (F.col("q") <= 0.05), F.col("lag"))
     last = tested.agg(F.max(bites).alias("last_lag"))
@@ -68,7 +68,8 @@ def adjusted_habits(
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf[target].to_numpy(float), pdf[columns].to_numpy(float), columns, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
+        own = regression.estimable(pdf, columns, [dow, month])
+        fit = L.ols(pdf[target].to_numpy(float), pdf[own].to_numpy(float), own, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
         base = {"ok": fit.ok, "n": fit.n, "min_n": fit.min_n, "missing": fit.missing}
         habits = sorted((t for t in fit.terms if t["term"] in back), key=lambda t: -abs(t["coef"]))
         rest = [t for t in fit.terms if t["term"] in controls]
@@ -93,7 +94,8 @@ def elasticities(days: DataFrame, target: str = "recovery", sleep: str = "sleepH
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf[target].to_numpy(float), pdf[columns].to_numpy(float), columns, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
+        own = regression.estimable(pdf, columns, [dow, month])
+        fit = L.ols(pdf[target].to_numpy(float), pdf[own].to_numpy(float), own, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
         terms = [t for t in fit.terms if t["term"] in shown]
         rows = [{"ok": True, "n": fit.n, "q": q, "reason": None} | {c: t[c] for c in ("term", "coef", "se", "p", "ci_low", "ci_high")} for t, q in zip(terms, bh_values([t["p"] for t in terms]), strict=True)]
         if fit.ok:
@@ -109,10 +111,10 @@ def dose_response(days: DataFrame, x: str, y: str, min_n: int = 60, day: str = "
     return smooth.binscatter(days, x, y, order=day).join(F.broadcast(n)).where(F.col("__n") >= min_n).drop("__n")  # one row
 
 
-def strain_distribution(days: DataFrame, x: str = "strain", min_n: int = 30, modality_min_n: int = 60) -> DataFrame:
+def strain_distribution(days: DataFrame, x: str = "strain", min_n: int = 30, modality_min_n: int = 60, day: str = "day") -> DataFrame:
     """Histogram bins beside the mean and the modality test, which may lack days of its own."""
     s = days.agg(F.count(S.finite(F.col(x))).alias("n_all"), F.avg(S.finite(F.col(x))).alias("mean")).where(F.col("n_all") >= min_n)
-    test = density.modality(days, x, modality_min_n).select(F.col("ok").alias("modality_ok"), "modes", "p")
+    test = density.modality(days, x, modality_min_n, day=day).select(F.col("ok").alias("modality_ok"), "modes", "p")
     return density.histogram(days, x).join(F.broadcast(s)).join(F.broadcast(test))  # one row each
 
 
