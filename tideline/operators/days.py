@@ -8,6 +8,7 @@ holds an entity's days and never its facts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,10 +70,15 @@ def lagged(x: Column, lag: int, scale: float = 1.0, keys: Sequence[str] = NONE,
 
 
 def latest_per_day(df: DataFrame, day: str, order: str | Column, keys: Sequence[str] = NONE) -> DataFrame:
-    """Of a day's rows the last one with all its columns, nulls included."""
+    """Of a day's rows the last one with all its columns, nulls included; an aggregate, so facts are not sorted."""
     order = F.col(order) if isinstance(order, str) else order
-    nth = F.row_number().over(Window.partitionBy(*keys, day).orderBy(order.desc()))
-    return df.withColumn("__n", nth).where("__n = 1").drop("__n")
+    return _chosen(df, F.max_by(F.struct(*df.columns), F.struct(order)), day, keys)
+
+
+def _chosen(df: DataFrame, row: Column, day: str, keys: Sequence[str]) -> DataFrame:
+    on = [*keys, day]
+    picked = df.groupBy(*[F.col(c).alias(f"__{c}") for c in on]).agg(row.alias("__row"))
+    return picked.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
 def nap_minutes(sleeps: DataFrame, keys: Sequence[str] = NONE) -> DataFrame:
@@ -81,9 +87,10 @@ def nap_minutes(sleeps: DataFrame, keys: Sequence[str] = NONE) -> DataFrame:
 
 def first_with(df: DataFrame, value: str, day: str, order: str, keys: Sequence[str] = NONE) -> DataFrame:
     """Of a day's rows the first that has the value, else the last: what filling in order until it is there leaves."""
+    whole = F.struct(*df.columns)
     has = F.col(value).isNotNull()
-    w = Window.partitionBy(*keys, day).orderBy(has.desc(), F.when(has, F.col(order)), F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    first = F.min_by(F.when(has, whole), F.when(has, F.struct(order)))
+    return _chosen(df, F.coalesce(first, F.max_by(whole, F.struct(order))), day, keys)
 
 
 def journal_last(journal: DataFrame, keys: Sequence[str] = NONE, day: str = "day", order: str = "ord") -> DataFrame:
@@ -95,6 +102,11 @@ def question_counts(journal: DataFrame, order: str = "ord") -> DataFrame:
     return journal.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").drop("first")
 
 
+def known_days(tables: Sequence[DataFrame], keys: Sequence[str] = NONE, day: str = "day") -> DataFrame:
+    """Every day that any of the tables has, once."""
+    return reduce(DataFrame.unionByName, [t.select(*keys, day) for t in tables]).distinct()
+
+
 def build_days(export: Export, keys: Sequence[str] = NONE) -> DataFrame:
     """The day panel of an export: raw, derived and rolling columns on a gap-free calendar."""
     cycles = latest_per_day(export.cycles, "day", "ord", keys).drop("ord")
@@ -105,9 +117,7 @@ def build_days(export: Export, keys: Sequence[str] = NONE) -> DataFrame:
     workouts = export.workouts.groupBy(*keys, "day").agg(F.array_sort(F.collect_list(F.struct("ord", *parts))).alias("workouts"))
     answers = journal_last(export.journal, keys).groupBy(*keys, "day").agg(F.map_from_entries(F.collect_list(F.struct("question", "yes"))).alias("journal"))
     on = [*keys, "day"]
-    known = [t.select(*on) for t in (export.cycles, export.sleeps, export.workouts, export.journal)]
-    every = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(known[3]).distinct()
-    joined = calendar_spine(every, "day", keys)
+    joined = calendar_spine(known_days((export.cycles, export.sleeps, export.workouts, export.journal), keys), "day", keys)
     for part in (cycles, nights, nap_minutes(export.sleeps, keys), workouts, answers):
         joined = joined.join(part, on, "left")
     # A night from the sleep table stands in wherever the cycle has no sleep.
@@ -118,6 +128,7 @@ def build_days(export: Export, keys: Sequence[str] = NONE) -> DataFrame:
         "weekday": S.weekday(F.col("day")), "month": S.month0(F.col("day")), "sleepHours": F.col("asleep") / 60,
         "remShare": S.share(F.col("rem"), F.col("asleep")), "deepShare": S.share(F.col("deep"), F.col("asleep")), "lightShare": S.share(F.col("light"), F.col("asleep")),
         "bedtime": S.bedtime_minute(F.col("sleepOnset")).cast("double"), "wakeTime": S.minute_of_day(F.col("wakeOnset")).cast("double"),
+        "bedtimeHours": S.bedtime_minute(F.col("sleepOnset")) / 60, "wakeAdjusted": (S.minute_of_day(F.col("wakeOnset")) + S.DAY_MINUTES).cast("double"),
         "workoutMinutes": total("duration"), "workoutCount": F.when(F.col("workouts").isNull(), 0).otherwise(F.size("workouts")),
     })
     return attach_windows(derived, keys)
@@ -136,6 +147,12 @@ def attach_windows(days: DataFrame, keys: Sequence[str] = NONE) -> DataFrame:
     })
 
 
+def bedtime_variability(days: DataFrame, bed: str = "bedtime", keys: Sequence[str] = NONE) -> DataFrame:
+    """``n, sd``: how much bedtimes spread, in minutes."""
+    v = S.finite(F.col(bed))
+    return days.groupBy(*keys).agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"))
+
+
 def by_week(days: DataFrame, metrics: Sequence[str], day: str = "d", keys: Sequence[str] = NONE) -> DataFrame:
     """Means and row counts of Monday weeks; a total is mean times count."""
     return days.groupBy(*keys, S.iso_week(F.col(day)).alias("week")).agg(F.count(F.lit(1)).alias("count"), *[F.avg(S.finite(F.col(m))).alias(m) for m in metrics])

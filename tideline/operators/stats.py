@@ -92,9 +92,12 @@ def habit_effects(days: DataFrame, journal: DataFrame, target: str, day: str = "
     return out.where((F.col("n_yes") >= min_group) & (F.col("n_no") >= min_group)).orderBy(F.abs("delta").desc(), "question")
 
 
-def activity_summary(sessions: DataFrame, activity: str = "activity", minutes: str = "minutes", strain: str = "strain") -> DataFrame:
+def activity_summary(sessions: DataFrame, activity: str = "activity", minutes: str = "minutes", strain: str = "strain", rate: str = "avgHr", calories: str = "calories") -> DataFrame:
+    """Sessions, minutes and energy of each activity, and its mean strain and heart rate over the sessions that have them."""
+    total = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
     return sessions.groupBy(activity).agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum(F.coalesce(F.col(minutes), F.lit(0.0))).alias("minutes"), F.avg(finite(F.col(strain))).alias("mean_strain")
+        F.count(F.lit(1)).alias("sessions"), total(minutes).alias("minutes"), F.avg(finite(F.col(strain))).alias("mean_strain"), F.avg(finite(F.col(rate))).alias("mean_rate"),
+        total(calories).alias("calories"),
     ).orderBy(F.desc("minutes"), activity)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.days import calendar_spine
+from .exports import SCHEMAS, Export
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,22 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sessions: ``id, user_id, d, ts, activity, strain``."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), "user_id", F.to_date("ts").alias("d"), "ts", F.col("event_type").alias("activity"), F.col("value").alias("strain"))
+
+
+def event_export(spark: SparkSession, sf_dir: str) -> Export:
+    """Events as the four tables of an export for each user: purchases as cycles, views as naps and nights, clicks as workouts, the others as answers."""
+    e = table(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "ord": F.col("event_id")})
+
+    def fit(df: DataFrame, kind: str, **columns) -> DataFrame:
+        parts = [f.strip().split(" ") for f in SCHEMAS[kind].split(",")]
+        return df.select("user_id", *[(columns[n] if n in columns else F.col(n) if n in ("day", "ord") else F.lit(None)).cast(t).alias(n) for n, t in parts])
+
+    of = lambda *kinds: e.where(F.col("event_type").isin(*kinds))
+    later = lambda minutes: F.col("ts") + F.make_dt_interval(mins=minutes.cast("int"))
+    value = F.col("value")
+    odd = F.col("event_id") % 2 == 1
+    cycles = fit(of("purchase"), "cycles", start=F.col("ts"), end=later(F.lit(1440)), sleepOnset=F.col("ts"), wakeOnset=later(value), recovery=value, strain=value / 10, asleep=F.when(odd, value * 2), rem=value / 2)
+    sleeps = fit(of("view"), "sleeps", isNap=odd, sleepOnset=F.col("ts"), wakeOnset=later(value), asleep=F.when(F.col("event_id") % 3 != 0, value), rem=value / 4)
+    workouts = fit(of("click"), "workouts", start=F.col("ts"), end=later(value), duration=value, activity=F.lit("click"), strain=value / 20, calories=value * 3, maxHr=value, avgHr=value / 2)
+    journal = fit(of("signup", "error"), "journal", question=F.col("event_type"), yes=odd, notes=F.lit(""))
+    return Export(cycles, sleeps, workouts, journal)
