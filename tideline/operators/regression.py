@@ -55,11 +55,9 @@ def simple_ols(df: DataFrame, x: str, y: str, kind: str = L.HC1, day: str = "d",
 
 
 def dummies(df: DataFrame, category: Column, prefix: str, values: Sequence[int]) -> tuple[DataFrame, list[str]]:
-    """0/1 columns of all but the first of the categories present, in the order given."""
-    present = {r[0] for r in df.select(category.alias("c")).distinct().where("c is not null").collect()}  # at most twelve
-    ordered = [v for v in values if v in present][1:]
-    names = [f"{prefix}_{v}" for v in ordered]
-    return df.withColumns({n: (category == v).cast("double") for n, v in zip(names, ordered, strict=True)}) if names else df, names
+    """0/1 columns of all categories, in the order given; a fit leaves out those that it must (``estimable``)."""
+    names = [f"{prefix}_{v}" for v in values]
+    return df.withColumns({n: F.coalesce((category == v).cast("double"), F.lit(0.0)) for n, v in zip(names, values, strict=True)}), names
 
 
 def weekday_dummies(df: DataFrame, day: str = "d") -> tuple[DataFrame, list[str]]:
@@ -70,6 +68,13 @@ def month_dummies(df: DataFrame, day: str = "d") -> tuple[DataFrame, list[str]]:
     return dummies(df, S.month0(F.col(day)), "month", range(12))
 
 
+def estimable(pdf: pd.DataFrame, columns: Sequence[str], effects: Sequence[Sequence[str]]) -> list[str]:
+    """The columns without the categories of ``effects`` that no day has, nor the first of those that some day has."""
+    present = [[c for c in group if pdf[c].any()] for group in effects]
+    out = {c for group in effects for c in group} - {c for group in present for c in group[1:]}
+    return [c for c in columns if c not in out]
+
+
 def term_rows(fit: L.Fit) -> pd.DataFrame:
     base = {
         "ok": fit.ok, "n": fit.n, "min_n": fit.min_n, "missing": fit.missing, "k": fit.k if fit.ok else None, "df": fit.df if fit.ok else None, "r2": fit.r2, "r2_adjusted": fit.r2_adjusted,
@@ -99,13 +104,17 @@ def with_clock(df: DataFrame, day: str = "d", keys: Sequence[str] = NONE) -> Dat
     return df.withColumn("__t", F.datediff(F.col(day), F.min(day).over(Window.partitionBy(*keys))))
 
 
-def ols(df: DataFrame, y: str, x: Sequence[str], kind: str = L.HC1, bandwidth: int | None = None, day: str = "d", keys: Sequence[str] = NONE, intercept: bool = True, min_n: int | None = None, level: float = 0.95) -> DataFrame:
-    """The general fit, ``TERMS`` with a row for each term; an entity with too few days is one row with ``ok`` false."""
+def ols(df: DataFrame, y: str, x: Sequence[str], kind: str = L.HC1, bandwidth: int | None = None, day: str = "d", keys: Sequence[str] = NONE, intercept: bool = True, min_n: int | None = None, level: float = 0.95, effects: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """The general fit, ``TERMS`` with a row for each term; an entity with too few days is one row with ``ok`` false.
+
+    ``effects`` are groups of 0/1 columns among ``x``, each of which loses its first category.
+    """
     x = list(x)
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
-        return term_rows(L.ols(pdf[y].to_numpy(float), pdf[x].to_numpy(float), x, kind, bandwidth, pdf["__t"].to_numpy(float), intercept, min_n, level))
+        own = estimable(pdf, x, effects)
+        return term_rows(L.ols(pdf[y].to_numpy(float), pdf[own].to_numpy(float), own, kind, bandwidth, pdf["__t"].to_numpy(float), intercept, min_n, level))
 
     return fit_groups(with_clock(df, day, keys), keys, ["__t", y, *x], make, TERMS)
 
@@ -120,7 +129,7 @@ LAGS = "ok boolean, n long, min_n long, missing long, lag long, coef double, se
 
 def distributed_lag(
     df: DataFrame, y: str, x: str, max_lag: int, min_lag: int = 1, controls: Sequence[str] = (), kind: str = L.HAC, bandwidth: int | None = None, day: str = "d", keys: Sequence[str] = NONE,
-    min_n: int | None = None, level: float = 0.95,
+    min_n: int | None = None, level: float = 0.95, effects: Sequence[Sequence[str]] = (),
 ) -> DataFrame:
     """Effects of x some days before, and their running sums with errors from the whole lag block.
 
@@ -132,7 +141,8 @@ def distributed_lag(
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf[y].to_numpy(float), pdf[names + controls].to_numpy(float), names + controls, kind, bandwidth, pdf["__t"].to_numpy(float), True, min_n, level) if names else L.Fit(False, 0, min_n or 1)
+        own = names + estimable(pdf, controls, effects)
+        fit = L.ols(pdf[y].to_numpy(float), pdf[own].to_numpy(float), own, kind, bandwidth, pdf["__t"].to_numpy(float), True, min_n, level) if names else L.Fit(False, 0, min_n or 1)
         kept = [n for n in names if n in fit.names()]
         base = {"ok": bool(fit.ok and kept), "n": fit.n, "min_n": fit.min_n, "missing": fit.missing}
         rows, so_far = [], {}

@@ -42,7 +42,7 @@ def q_student_t_p(spark, sf):
 @query
 def q_ols_full(spark, sf):
     d, dow = regression.weekday_dummies(_scaled(spark, sf))
-    return regression.ols(d, "y", ["x", "disc", "n_orders", "twice", *dow], "hac")
+    return regression.ols(d, "y", ["x", "disc", "n_orders", "twice", *dow], "hac", effects=[dow])
 
 
 @query
@@ -101,7 +101,7 @@ def q_modality(spark, sf):
 
 @query
 def q_strain_distribution(spark, sf):
-    return metrics.strain_distribution(_scaled(spark, sf), "x")
+    return metrics.strain_distribution(_scaled(spark, sf), "x", day="d")
 
 
 @query

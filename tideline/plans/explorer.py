@@ -89,18 +89,21 @@ def run_specification(days: DataFrame, spec: Specification, ledger: list[tuple[s
     name = {t: f"{t.field}_lag{t.lag}" for t in (*s.regressors, *s.controls)}
     d = days.withColumns({n: lagged(F.col(t.field), t.lag, SCALES.get(t.field, 1.0), (), day) for t, n in name.items()} | {"__y": lagged(F.col(s.dependent), 0, SCALES.get(s.dependent, 1.0), (), day)})
     fixed: list[str] = []
+    effects: list[list[str]] = []
     for wanted, make_dummies in ((s.weekday_effects, regression.weekday_dummies), (s.month_effects, regression.month_dummies)):
         if wanted:
             d, names = make_dummies(d, day)
             fixed += names
+            effects.append(names)
     columns = [*name.values(), *fixed]
-    least = max(LEAST_ROWS, ROWS_PER_TERM * (len(columns) + 1))
     roles = {name[t]: "regressor" for t in s.regressors} | {name[t]: "control" for t in s.controls}
     key, history = s.key(), [x for x in ledger if x[0] != s.key()]
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf["__y"].to_numpy(float), pdf[columns].to_numpy(float), columns, L.HAC, None, pdf["__t"].to_numpy(float), True, least)
+        asked = regression.estimable(pdf, columns, effects)
+        least = max(LEAST_ROWS, ROWS_PER_TERM * (len(asked) + 1))
+        fit = L.ols(pdf["__y"].to_numpy(float), pdf[asked].to_numpy(float), asked, L.HAC, None, pdf["__t"].to_numpy(float), True, least)
         own = [t for t in fit.terms if roles.get(t["term"]) == "regressor"]
         q = bh_values([x[2] for x in history] + [t["p"] for t in own])[len(history) :]
         by = dict(zip((t["term"] for t in own), q, strict=True))
