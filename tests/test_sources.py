@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars as S
-from tideline.operators.days import build_days
+from tideline.operators.days import bedtime_variability, build_days
 from tideline.plans import estimators as E
+from tideline.plans import extras, metrics
 from tideline.sources import anonymise, demo, exports
 from tideline.sources import headers as H
 
@@ -105,19 +106,81 @@ def test_tsv(spark, tmp_path):
 
 
 def test_demo_is_fixed_and_its_panel_contiguous(spark):
-    assert demo.demo_rows(30) == demo.demo_rows(30)
+    one, two = (sorted(map(str, demo.demo_export(spark, 30).cycles.repartition(n).collect())) for n in (1, 3))
+    assert one == two
     d = build_days(demo.demo_export(spark, 60)).orderBy("day").collect()
     assert len(d) == 60 and all((b["day"] - a["day"]).days == 1 for a, b in zip(d, d[1:], strict=False))
     assert all(a["recoveryNext"] == b["recovery"] for a, b in zip(d, d[1:], strict=False))
     assert d[40]["strain28"] is not None and d[40]["acwr"] is not None
 
 
+def test_demo_effects_are_recovered(spark):
+    """What the generator plants, the composite metrics find with their default columns."""
+    export = demo.demo_export(spark, 720)
+    days = build_days(export)
+    habits = {r["question"]: r for r in metrics.adjusted_habits(days, export.journal).where("kind = 'habit'").collect()}
+    planted = demo.EFFECTS["recovery"]
+    for question, name in demo.QUESTIONS.items():
+        r = habits[question]
+        assert r["ok"] and r["ci_low"] - 0.5 < planted.get(name, 0.0) < r["ci_high"] + 0.5
+    assert habits["Drink any alcohol?"]["q"] < 0.01 and habits["Read before sleep?"]["q"] > 0.01
+    found = {r["term"]: r for r in metrics.elasticities(days).collect()}
+    assert found["strainPrev"]["ci_low"] - 0.2 < planted["strainPrev"] < found["strainPrev"]["ci_high"] + 0.2
+    assert found["bedtimeHours"]["p"] is not None and found["substitution"]["ok"]
+    wave = metrics.rhythms(days, ["hrv"]).first()
+    assert abs(wave["period"] - demo.WAVE_DAYS) < 1 and wave["q"] < 0.01
+    shift = metrics.regime_breaks(days, "rhr").orderBy("d").collect()
+    first = days.agg(F.min("day")).first()[0]
+    assert any(abs((s["d"] - first).days - demo.SHIFT_AT * 720) < 15 for s in shift if s["d"])
+    nights = days.select("day", "bedtime", "wakeAdjusted")
+    assert -100 <= extras.regularity_index(nights).first()["sri"] <= 100 and extras.social_jet_lag(nights).first()["lag_minutes"] > 20
+    spread = bedtime_variability(days).first()
+    assert spread["n"] == 720 and 30 < spread["sd"] < 90
+
+
+def test_every_field_is_anonymised(spark):
+    """No field of the anonymised export keeps its source's values, but for some that round back."""
+    source = demo.demo_export(spark, 90)
+    main = source.cycles.select([F.lit(False).alias(c) if c == "isNap" else (F.col(c) + 1000).alias(c) if c == "ord" else F.col(c) for c in source.sleeps.columns])
+    source = exports.Export(source.cycles, source.sleeps.unionByName(main), source.workouts, source.journal)
+    out = anonymise.anonymise(source, ["alcohol", "breathe"], 60)
+    for table in ("cycles", "sleeps", "workouts"):
+        a, b = ({r["ord"]: r for r in getattr(x, table).where("ord is not null").collect()} for x in (source, out))
+        assert b
+        for field in set(anonymise.NOISE) | set(anonymise.SLEEP_BLOCK) | {"zones", "start", "end", "sleepOnset", "wakeOnset"}:
+            pairs = [(a[k][field], b[k][field]) for k in b if field in getattr(source, table).columns and a[k][field] not in (None, 0.0)]
+            assert sum(x == y for x, y in pairs) <= 0.25 * len(pairs) + 1, (table, field)
+        assert all((b[k]["day"] - a[k]["day"]).days % 7 == 0 for k in b)
+    both = out.sleeps.where("not isNap").select("day", F.col("asleep").alias("x")).join(out.cycles.select("day", F.col("asleep").alias("y")), "day").collect()
+    assert len(both) == 60 and all(r["x"] == r["y"] for r in both)
+    total = out.cycles.select((F.col("light") + F.col("deep") + F.col("rem")).alias("a"), "asleep").collect()
+    assert all(abs(r["a"] - r["asleep"]) < 0.01 for r in total)
+    assert {r["notes"] for r in out.journal.collect()} == {""}
+
+
+def test_decimals_follow_the_source(spark):
+    df = spark.createDataFrame([(1.23456, 71.0), (1.23456, 71.5), (1.23456, 0.25), (-1.5, 3.0), (12345.678, 1.125)], "v double, source double")
+    assert [r[0] for r in df.coalesce(1).select(anonymise.rounded_like(F.col("v"), F.col("source"))).collect()] == [1.0, 1.2, 1.23, -1.0, 12345.678]
+
+
+def test_local_times_have_no_zone(spark):
+    """An hour that daylight saving leaves out is a time like any other."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for raw in ("2026-03-08 02:30:00", "3/8/2026 2:30 AM"):
+            assert one(spark, S.parse_timestamp(F.lit(raw)).cast("string")) == "2026-03-08 02:30:00"
+        assert one(spark, S.parse_timestamp(F.lit("2026-13-08 02:30"))) is None and one(spark, S.parse_timestamp(F.lit("2026-02-30"))) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_anonymise_is_keyed_and_keeps_days(spark):
     source = demo.demo_export(spark, 80)
     a, b = (anonymise.anonymise(x, ["alcohol"]) for x in (source, exports.Export(source.cycles.repartition(5), source.sleeps, source.workouts, source.journal)))
     rows = lambda e: sorted((str(r["day"]), r["recovery"], r["hrv"]) for r in e.cycles.collect())
     assert rows(a) == rows(b) and len(rows(a)) == 60
-    assert {r["question"] for r in a.journal.collect()} == {"Have any alcoholic drinks?"}
+    assert {r["question"] for r in a.journal.collect()} == {"Drink any alcohol?"}
     shifted = a.cycles.agg(F.min("day")).first()[0]
     assert abs((shifted - anonymise.TARGET).days) <= 3
     assert a.workouts.join(a.cycles.select("day").distinct(), "day", "left_anti").count() == 0
