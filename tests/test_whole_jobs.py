@@ -93,6 +93,13 @@ def test_pack_rows_packs_every_event(spark, sf):
         assert [(x["row"], x["width"]) for x in page] == layout.pack([x["span"] for x in page], [x["is_on"] for x in page])
 
 
+def test_slack_goes_one_each_to_the_first():
+    assert [w for _, w in layout.pack([3, 3, 4], [True] * 3)] == [4, 4, 4]
+    assert [w for _, w in layout.pack([4, 6], [True] * 2)] == [5, 7] and [w for _, w in layout.pack([3, 3, 3, 3, 3], [True] * 5)] == [3, 3, 3, 3, 12]
+    assert layout.pack([3, 3, 4, 4, 12], [True, False, True, False, False]) == [(0, 12), (1, 12), (2, 12), (3, 6), (3, 6)]
+    assert [w for _, w in layout.pack([3, 3, 3, 2], [True] * 4)] == [4, 3, 3, 2]
+
+
 def test_whole_texts_are_shortened(spark, sf):
     texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = {x["doc_id"]: x["out"] for x in queries.QUERIES["shorten_text_all"](spark, sf).collect()}

@@ -41,10 +41,40 @@ over_daily("calendar_spine", "SELECT d, round(y, 4) + 0.0 AS y, n_orders FROM da
 put("full_outer_days", "SELECT coalesce(a.d, b.d) AS d, a.d IS NOT NULL AS has_order, b.d IS NOT NULL AS has_ship FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) a FULL JOIN (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) b ON a.d = b.d")
 put("latest_per_day", "SELECT d, o_orderkey, y FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey, round(o_totalprice, 4) + 0.0 AS y, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 put("nap_minutes", "SELECT d, round(sum(coalesce(strain, 0)), 4) + 0.0 AS nap FROM e WHERE activity = 'view' GROUP BY d", SESSIONS)
-over_daily("fallback_coalesce", "SELECT d, round(coalesce(y, x), 4) + 0.0 AS v, CASE WHEN y IS NOT NULL THEN 'orders' WHEN x IS NOT NULL THEN 'shipments' END AS src FROM daily")
+put(
+    "fallback_coalesce",
+    """SELECT d, o_orderkey, round(y, 4) + 0.0 AS y FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY y IS NULL, CASE WHEN y IS NOT NULL THEN o_orderkey END, o_orderkey DESC) AS n
+FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END AS y FROM orders)) WHERE n = 1""",
+)
 put("journal_last", "SELECT d, question, yes FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS question, o_orderstatus = 'F' AS yes, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE), o_orderpriority ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 put("question_counts", "SELECT o_orderpriority AS question, count(*) AS n FROM orders GROUP BY 1")
-put("day_record", "SELECT s.d, round(coalesce(sum(e.strain), 0), 4) + 0.0 AS minutes, count(e.id) AS sessions, CAST(dayofweek(s.d) AS BIGINT) AS weekday FROM (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM e) s LEFT JOIN e USING (d) GROUP BY s.d", SESSIONS)
+put(
+    "day_record",
+    """SELECT user_id, d, round(recovery, 4) + 0.0 AS recovery, round(asleep, 4) + 0.0 AS asleep, round(rem, 4) + 0.0 AS rem, round(nap, 4) + 0.0 AS "napMinutes", round(coalesce(minutes, 0), 4) + 0.0 AS "workoutMinutes",
+  coalesce(wn, 0) AS "workoutCount", round((CASE WHEN bm < 720 THEN bm + 1440 ELSE bm END) / 60, 6) + 0.0 AS "bedtimeHours", round(wm + 1440, 4) + 0.0 AS "wakeAdjusted", CAST(dayofweek(d) AS BIGINT) AS weekday,
+  round(rem * 100 / nullif(asleep, 0), 6) + 0.0 AS "remShare", round(lead(recovery) OVER u, 4) + 0.0 AS "recoveryNext", round(lag(recovery) OVER u / 10, 6) + 0.0 AS "strainPrev",
+  round(CASE WHEN count(recovery) OVER w >= 2 THEN avg(recovery) OVER w END, 4) + 0.0 AS recovery7, signup, error
+FROM (SELECT *, hour(sleep_on) * 60 + minute(sleep_on) AS bm, hour(wake_on) * 60 + minute(wake_on) AS wm FROM merged)
+WINDOW u AS (PARTITION BY user_id ORDER BY d), w AS (PARTITION BY user_id ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "ev AS (SELECT event_id AS id, user_id, CAST(ts AS DATE) AS d, ts, event_type AS kind, value AS v, ts + to_minutes(CAST(trunc(value) AS BIGINT)) AS later FROM events)",
+    "sp AS (SELECT user_id, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM ev GROUP BY user_id)",
+    "cy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY id DESC) AS n FROM ev WHERE kind = 'purchase') WHERE n = 1)",
+    "ni AS (SELECT * FROM (SELECT *, CASE WHEN id % 3 <> 0 THEN v END AS a, row_number() OVER (PARTITION BY user_id, d ORDER BY id % 3 = 0, CASE WHEN id % 3 <> 0 THEN id END, id DESC) AS n FROM ev WHERE kind = 'view' AND id % 2 = 0) WHERE n = 1)",
+    "na AS (SELECT user_id, d, sum(CASE WHEN id % 3 <> 0 THEN v ELSE 0 END) AS nap FROM ev WHERE kind = 'view' AND id % 2 = 1 GROUP BY 1, 2)",
+    "wo AS (SELECT user_id, d, sum(v) AS minutes, count(*) AS wn FROM ev WHERE kind = 'click' GROUP BY 1, 2)",
+    "an AS (SELECT user_id, d, arg_max(id % 2 = 1, id) FILTER (kind = 'signup') AS signup, arg_max(id % 2 = 1, id) FILTER (kind = 'error') AS error FROM ev WHERE kind IN ('signup', 'error') GROUP BY 1, 2)",
+    """merged AS (SELECT sp.user_id, sp.d, cy.v AS recovery, nap, minutes, wn, signup, error, CASE WHEN own THEN cy.ts ELSE ni.ts END AS sleep_on, CASE WHEN own THEN cy.later ELSE ni.later END AS wake_on,
+  CASE WHEN own THEN CASE WHEN cy.odd THEN cy.v * 2 END ELSE ni.a END AS asleep, CASE WHEN own OR ni.id IS NULL THEN cy.v / 2 ELSE ni.v / 4 END AS rem
+  FROM sp LEFT JOIN (SELECT *, id % 2 = 1 AS odd FROM cy) cy ON sp.user_id = cy.user_id AND sp.d = cy.d LEFT JOIN ni ON sp.user_id = ni.user_id AND sp.d = ni.d
+  LEFT JOIN na ON sp.user_id = na.user_id AND sp.d = na.d LEFT JOIN wo ON sp.user_id = wo.user_id AND sp.d = wo.d LEFT JOIN an ON sp.user_id = an.user_id AND sp.d = an.d, LATERAL (SELECT coalesce(cy.odd, false) OR ni.id IS NULL AS own))""",
+)
+put(
+    "bedtime_variability",
+    "SELECT activity, count(*) AS n, round(stddev_samp(CASE WHEN minute < 720 THEN minute + 1440 ELSE minute END), 4) + 0.0 AS sd FROM e GROUP BY 1",
+    SESSIONS,
+)
+over_daily("marker_rows", "SELECT d, x > 0 AS shipped, row FROM (SELECT *, CAST(date_diff('day', min(d) OVER (), d) AS BIGINT) AS row FROM daily) WHERE y IS NULL")
+over_daily("granularity", "SELECT CASE WHEN n > 120 THEN CAST(date_trunc('week', d) AS DATE) ELSE d END AS d, round(avg(y), 4) + 0.0 AS y FROM (SELECT *, count(*) OVER () AS n FROM daily) GROUP BY 1")
 over_daily("rolling_mean_7", f"SELECT d, round({rolling('y', 7)}, 4) + 0.0 AS m FROM daily")
 over_daily("rolling_mean_28", f"SELECT d, round({rolling('y', 28)}, 4) + 0.0 AS m FROM daily")
 over_daily("rolling_sd_28", f"SELECT d, round({deviation('y', 28)}, 3) + 0.0 AS v FROM daily")
@@ -87,7 +117,7 @@ FROM (SELECT question, count(*) FILTER (yes) AS n_yes, count(*) FILTER (NOT yes)
     JOURNAL,
 )
 over_daily("period_value", "SELECT round(a, 4) + 0.0 AS value, round(a - b, 4) + 0.0 AS delta FROM (SELECT avg(y) FILTER (n <= 90) AS a, avg(y) FILTER (n > 90 AND n <= 180) AS b FROM (SELECT y, row_number() OVER (ORDER BY d DESC) AS n FROM daily))")
-put("activity_summary", "SELECT l_returnflag AS activity, count(*) AS sessions, round(sum(l_quantity), 4) + 0.0 AS minutes, round(avg(l_discount), 8) + 0.0 AS mean_strain FROM lineitem GROUP BY 1")
+put("activity_summary", "SELECT l_returnflag AS activity, count(*) AS sessions, round(sum(l_quantity), 4) + 0.0 AS minutes, round(avg(l_discount), 8) + 0.0 AS mean_strain, round(avg(l_tax), 8) + 0.0 AS mean_rate, round(sum(l_extendedprice), 2) + 0.0 AS calories FROM lineitem GROUP BY 1")
 put(
     "zone_minutes",
     """SELECT CAST(zone AS BIGINT) AS zone, round(sum(share / 100 * q), 3) + 0.0 AS minutes FROM (
@@ -155,9 +185,14 @@ put("clock_angle", "SELECT id, round(minute / 1440 * 2 * pi() - pi() / 2, 8) + 0
 put(
     "shorten_text",
     """SELECT doc_id, CASE WHEN length(b) > 34 THEN rtrim(substr(b, 1, 33)) || '…' ELSE b END AS out FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'Have you ' WHEN 1 THEN 'Did you  ' WHEN 2 THEN 'Have ' ELSE '' END || regexp_replace(substr(text, 1, 40), '[^A-Za-z]+', '_', 'g') || '?',
+  SELECT doc_id, regexp_replace(regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'Have you ' WHEN 1 THEN 'Did you  ' WHEN 2 THEN 'Have ' ELSE '' END || regexp_replace(text, '[^A-Za-z]+', '_', 'g') || '?',
     '^(?i:Have you|Did you|Do you|Have|Did)\\s+', ''), '\\?$', '') AS b FROM documents)""",
 )
+put(
+    "shorten_text_all",
+    """SELECT doc_id, CASE WHEN length(b) > 34 THEN rtrim(substr(b, 1, 33), ' ') || '…' ELSE b END AS out FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '^(?i:Have you|Did you|Do you|Have|Did)\\s+', ''), '\\?$', '') AS b FROM documents)""",
+)
 put("normalize_text", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS out FROM documents")
 put(
     "fmt_numbers",
@@ -181,7 +216,14 @@ FROM (SELECT *, row_number() OVER ({by}ORDER BY p, id) AS rank, count(*) OVER ({
 UNION ALL SELECT {columns}, NULL, NULL, false FROM {source} WHERE p IS NULL"""
 
 
-put("bh_qvalues", _bh("id, p", "eighth", ""), PVALUES, "eighth AS (SELECT * FROM pv WHERE id % 8 = 1)")
+put("bh_qvalues", _bh("id, p", "pv", ""), PVALUES)
+SQL["bh_qvalues_all"] = SQL["bh_qvalues"]
+put(
+    "fmt_p",
+    """SELECT id, CASE WHEN v IS NULL THEN '—' ELSE a END AS alone, CASE WHEN v < 0.001 THEN a ELSE '= ' || CASE WHEN v IS NULL THEN '—' ELSE a END END AS told FROM (
+  SELECT id, v, CASE WHEN v < 0.001 THEN '< 0.001' ELSE CAST(round(v * s) / s AS VARCHAR) END AS a FROM (SELECT id, v, pow(10.0::DOUBLE, 1 - floor(log10(abs(v)))) AS s FROM (SELECT id, pow(p, 3) AS v FROM pv)))""",
+    PVALUES,
+)
 put("family_bh", _bh("family, id", "pv", "family"), PVALUES)
 _SCORES = """m AS (SELECT date_diff('day', DATE '1970-01-01', d) AS t, x - avg(x) OVER () AS dx, y - avg(y) OVER () AS dy, count(*) OVER () AS n FROM daily WHERE x IS NOT NULL AND y IS NOT NULL),
 b AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx, any_value(n) AS n FROM m),
@@ -247,6 +289,7 @@ over_daily(
     SELECT p.i, p.d, p.z, CASE WHEN p.z IS NULL THEN h ELSE greatest(0, h + p.z - 0.5) END AS hi, CASE WHEN p.z IS NULL THEN l ELSE greatest(0, l - p.z - 0.5) END AS lo
     FROM (SELECT i, CASE WHEN signal = 'high' THEN 0 ELSE high END AS h, CASE WHEN signal = 'low' THEN 0 ELSE low END AS l FROM walk) w JOIN pts p ON p.i = w.i + 1))""",
 )
+SQL["control_chart"] = SQL["cusum"].replace("avg(y) AS m, stddev_samp(y)", "avg(x) AS m, stddev_samp(x)").replace("(y - m) / s", "(x - m) / s")
 over_daily(
     "changepoint_single",
     """SELECT d, round(ls / i, 6) + 0.0 AS before, round((ts - ls) / (n - i), 6) + 0.0 AS after, round(-(n * ln(sse / total) + 2 * ln(n)), 4) + 0.0 AS bic_gain FROM (
@@ -269,15 +312,16 @@ def _periodogram(series: str) -> tuple[str, ...]:
     )
 
 
-_YEAR = "FROM (SELECT *, date_diff('day', min(d) OVER (), d) AS t FROM daily WHERE year(d) = 1996)"
-over_daily("lomb_scargle", "SELECT round(period, 6) + 0.0 AS period, round(power, 6) + 0.0 AS power, round(fap, 6) + 0.0 AS fap FROM ls", *_periodogram(f"SELECT 'y' AS series, t, y AS v {_YEAR} WHERE y IS NOT NULL"))
+_SINCE = "FROM (SELECT *, date_diff('day', min(d) OVER (), d) AS t FROM daily)"
+over_daily("lomb_scargle", "SELECT round(period, 6) + 0.0 AS period, round(power, 6) + 0.0 AS power, round(fap, 6) + 0.0 AS fap FROM ls", *_periodogram(f"SELECT 'y' AS series, t, y AS v {_SINCE} WHERE y IS NOT NULL"))
 over_daily(
     "rhythms",
     """SELECT series, round(period, 6) + 0.0 AS period, round(power, 6) + 0.0 AS power, round(fap, 6) + 0.0 AS fap, round(least(1.0, min(2 / rk * fap) OVER (ORDER BY rk DESC)), 6) + 0.0 AS q, weekly
 FROM (SELECT *, row_number() OVER (ORDER BY fap, series) AS rk FROM (SELECT series, arg_max(period, (power, -period)) AS period, max(power) AS power, arg_max(fap, (power, -period)) AS fap,
   bool_or(abs(period - 7) < 0.35 AND power > -ln(greatest(1e-15, 1 - pow(0.95, 1 / mi)))) AS weekly FROM ls GROUP BY series))""",
-    *_periodogram(f"SELECT 'y' AS series, t, y AS v {_YEAR} WHERE y IS NOT NULL UNION ALL SELECT 'x', t, x {_YEAR} WHERE x IS NOT NULL"),
+    *_periodogram(f"SELECT 'y' AS series, t, y AS v {_SINCE} WHERE y IS NOT NULL UNION ALL SELECT 'x', t, x {_SINCE} WHERE x IS NOT NULL"),
 )
+SQL["lomb_scargle_all"], SQL["rhythms_all"] = SQL["lomb_scargle"], SQL["rhythms"]
 _BED = "CASE WHEN minute < 720 THEN minute + 1440 ELSE minute END"
 put(
     "clock_quartiles",
@@ -310,3 +354,42 @@ over_daily("illness_index", f"SELECT d, round(i, 6) + 0.0 AS index, coalesce(rou
 over_daily("variation", f"SELECT d, round({deviation('y', 28)} / {rolling('y', 28)} * 100, 6) + 0.0 AS cv FROM daily")
 over_daily("streaks", "SELECT min(d) AS first, max(d) AS last, count(*) AS length FROM (SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS g FROM daily WHERE x >= 1) GROUP BY g")
 over_daily("monotony", "SELECT CAST(date_trunc('week', d) AS DATE) AS week, round(avg(x) / nullif(stddev_samp(x), 0), 6) + 0.0 AS monotony, round(avg(x) / nullif(stddev_samp(x), 0) * sum(x), 3) + 0.0 AS load FROM daily GROUP BY 1")
+
+put(
+    "activity_remainder",
+    "SELECT count(*) AS activities, round(coalesce(sum(t), 0), 4) + 0.0 AS strain FROM (SELECT t, row_number() OVER (ORDER BY t DESC, a) AS rk FROM (SELECT CAST(l_suppkey AS VARCHAR) AS a, sum(l_quantity) AS t FROM lineitem GROUP BY 1)) WHERE rk > 12",
+)
+
+
+def t_p(t: str, df: str, rows: str) -> str:
+    """``id, p``: two-sided p-values of ``id, t, df`` rows, from the density of Student's t by Simpson's rule."""
+    n = 4000
+    return f"""tp AS (SELECT id, 1 - 2 * any_value(c) * any_value(h) / 3 * sum(CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(k * h, 2) / df, -(df + 1) / 2)) AS p
+  FROM (SELECT id, df, abs(t) / {n} AS h, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c, unnest(range({n + 1})) AS k FROM (SELECT id, {t} AS t, CAST({df} AS DOUBLE) AS df FROM {rows})) GROUP BY id)"""
+
+
+put(
+    "student_t_p",
+    "SELECT c.t, c.df, round(p, 10) + 0.0 AS p FROM c JOIN tp USING (id)",
+    "c AS (SELECT * FROM (VALUES (1, 0.0::DOUBLE, 5.0::DOUBLE), (2, 1.0, 10.0), (3, 2.0, 30.0), (4, 2.5, 100.0), (5, 12.0, 3.0)) AS c(id, t, df))",
+    t_p("t", "df", "c"),
+)
+over_daily(
+    "p_of_r",
+    "SELECT id AS metric, n, round(r, 8) + 0.0 AS r, round(p, 8) + 0.0 AS p FROM rs JOIN tp USING (id)",
+    "rs AS (SELECT 'x' AS id, corr(x, y) AS r, count(x + y) AS n FROM daily UNION ALL SELECT 'disc', corr(disc, y), count(disc + y) FROM daily UNION ALL SELECT 'n_orders', corr(n_orders, y), count(n_orders + y) FROM daily)",
+    t_p("r * sqrt((n - 2) / (1 - r * r))", "n - 2", "rs"),
+)
+put(
+    "pack_rows",
+    """SELECT user_id, d AS day, id AS ord, raw AS span, is_on, CAST(row - 1 AS BIGINT) AS row, CAST(wide + slack // cnt + CASE WHEN place < slack % cnt THEN 1 ELSE 0 END AS BIGINT) AS width FROM (
+  SELECT *, 12 - sum(used1) OVER g AS slack, count(*) OVER g AS cnt, row_number() OVER (PARTITION BY user_id, d, row ORDER BY k) - 1 AS place FROM walk WINDOW g AS (PARTITION BY user_id, d, row))""",
+    SESSIONS,
+    "it AS (SELECT user_id, d, id, 3 + id % 3 * 3 AS raw, id % 4 <> 0 AS is_on, row_number() OVER (PARTITION BY user_id, d ORDER BY id) AS k FROM e)",
+    "ru AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, d, is_on ORDER BY k) AS run FROM it)",
+    "wi AS (SELECT *, CASE WHEN is_on THEN raw ELSE CASE count(*) OVER (PARTITION BY user_id, d, is_on, run) WHEN 1 THEN 12 WHEN 2 THEN 6 ELSE 4 END END AS wide FROM ru)",
+    "wk AS (SELECT *, least(12, greatest(1, wide)) AS used1 FROM wi)",
+    """walk AS (SELECT user_id, d, id, raw, is_on, k, wide, used1, CAST(1 AS BIGINT) AS row, CAST(used1 AS BIGINT) AS used FROM wk WHERE k = 1
+  UNION ALL SELECT user_id, d, id, raw, is_on, k, wide, used1, CASE WHEN shut THEN row + 1 ELSE row END, CASE WHEN shut THEN used1 ELSE used + used1 END FROM (
+    SELECT n.*, w.row, w.used, w.used + n.used1 > 12 OR w.is_on <> n.is_on AS shut FROM walk w JOIN wk n ON n.user_id = w.user_id AND n.d = w.d AND n.k = w.k + 1))""",
+)

@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions import student
 from ..operators import breaks, clock, days, density, regression, smooth, spectral, stats
 from ..operators.multiplicity import benjamini_hochberg_ranged
-from ..sources.bindings import daily, journal, sessions, ship_days, table
+from ..sources.bindings import daily, event_export, journal, order_days, sessions, ship_days, table
 from . import metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +44,9 @@ def q_calendar_spine(spark, sf):
 
 @query
 def q_full_outer_days(spark, sf):
-    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("has_order", F.lit(True))
-    s = ship_days(spark, sf).select("d").withColumn("has_ship", F.lit(True))
-    return o.join(s, "d", "full").select("d", F.coalesce("has_order", F.lit(False)).alias("has_order"), F.coalesce("has_ship", F.lit(False)).alias("has_ship"))
+    o, s = order_days(spark, sf).select("d", F.lit(True).alias("o")), ship_days(spark, sf).select("d", F.lit(True).alias("s"))
+    every = days.known_days((o, s), day="d")
+    return every.join(o, "d", "left").join(s, "d", "left").select("d", F.col("o").isNotNull().alias("has_order"), F.col("s").isNotNull().alias("has_ship"))
 
 
 @query
@@ -63,9 +63,9 @@ def q_nap_minutes(spark, sf):
 
 @query
 def q_fallback_coalesce(spark, sf):
-    """Shipments of a day, where the day has orders their mean instead."""
-    d = daily(spark, sf)
-    return d.select("d", r(F.coalesce("y", "x"), 4, "v"), F.when(F.col("y").isNotNull(), "orders").when(F.col("x").isNotNull(), "shipments").alias("src"))
+    """A day's first order that has a price (some have none here), or its last order where none has."""
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice")).alias("y"))
+    return days.first_with(o, "y", "d", "o_orderkey").select("d", "o_orderkey", r("y"))
 
 
 @query
@@ -82,9 +82,36 @@ def q_question_counts(spark, sf):
 
 @query
 def q_day_record(spark, sf):
-    e = sessions(spark, sf).groupBy("d").agg(F.sum("strain").alias("minutes"), F.count(F.lit(1)).alias("n"))
-    spine = days.calendar_spine(e, "d")
-    return spine.select("d", r(F.coalesce("minutes", F.lit(0.0)), 4, "minutes"), F.coalesce("n", F.lit(0)).cast("long").alias("sessions"), S.weekday(F.col("d")).cast("long").alias("weekday"))
+    """The day panel of every user, from events in the roles of an export's tables."""
+    d = days.build_days(event_export(spark, sf), ["user_id"])
+    journal = lambda q: F.try_element_at("journal", F.lit(q)).alias(q)
+    return d.select(
+        "user_id", F.col("day").alias("d"), r("recovery"), r("asleep"), r("rem"), r("napMinutes"), r("workoutMinutes"), F.col("workoutCount").cast("long").alias("workoutCount"), r("bedtimeHours", 6), r("wakeAdjusted"),
+        F.col("weekday").cast("long").alias("weekday"), r("remShare", 6), r("recoveryNext"), r("strainPrev", 6), r("recovery7"), journal("signup"), journal("error"),
+    )
+
+
+@query
+def q_bedtime_variability(spark, sf):
+    e = sessions(spark, sf).withColumn("bedtime", S.bedtime_minute(F.col("ts")))
+    return days.bedtime_variability(e, keys=["activity"]).select("activity", "n", r("sd"))
+
+
+@query
+def q_marker_rows(spark, sf):
+    """Days without orders as markers on the calendar."""
+    d = daily(spark, sf)
+    return days.marker_rows(d, d.where("y is null").select("d", (F.col("x") > 0).alias("shipped"))).select("d", "shipped", F.col("row").cast("long").alias("row"))
+
+
+@query
+def q_granularity(spark, sf):
+    """Weekly means of a long calendar, the days themselves of a short one."""
+    d = daily(spark, sf)
+    n = d.count()
+    weekly = days.granularity(n) == "week"
+    shown = days.by_week(d, ["y"]).select(F.col("week").alias("d"), "y") if weekly else d.select("d", "y")
+    return shown.select("d", r("y"))
 
 
 @query
@@ -211,8 +238,8 @@ def q_period_value(spark, sf):
 
 @query
 def q_activity_summary(spark, sf):
-    l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("activity"), F.col("l_quantity").alias("minutes"), F.col("l_discount").alias("strain"))
-    return stats.activity_summary(l).select("activity", "sessions", r("minutes"), r("mean_strain", 8))
+    l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("activity"), F.col("l_quantity").alias("minutes"), F.col("l_discount").alias("strain"), F.col("l_tax").alias("avgHr"), F.col("l_extendedprice").alias("calories"))
+    return stats.activity_summary(l).select("activity", "sessions", r("minutes"), r("mean_strain", 8), r("mean_rate", 8), r("calories", 2))
 
 
 @query
@@ -367,13 +394,13 @@ def q_clock_angle(spark, sf):
 
 @query
 def q_shorten_text(spark, sf):
-    text = F.concat(F.element_at(F.array(F.lit("Have you "), F.lit("Did you  "), F.lit("Have "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]+", "_"), F.lit("?"))
+    text = F.concat(F.element_at(F.array(F.lit("Have you "), F.lit("Did you  "), F.lit("Have "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), F.regexp_replace("text", "[^A-Za-z]+", "_"), F.lit("?"))
     return table(spark, sf, "documents").select("doc_id", S.shorten_question(text).alias("out"))
 
 
 @query
 def q_shorten_text_all(spark, sf):
-    """``shorten_text`` has the prefixes and the squeezing of its SQL; this has the whole texts as they are."""
+    """The texts as they are, where ``shorten_text`` puts a question's words around squeezed ones."""
     return table(spark, sf, "documents").select("doc_id", S.shorten_question(F.col("text")).alias("out"))
 
 
@@ -426,14 +453,16 @@ def _p_values(spark, sf):
 
 @query
 def q_bh_qvalues(spark, sf):
-    """An eighth of the tests, as its SQL has them; ``bh_qvalues_all`` has them all."""
-    out = benjamini_hochberg_ranged(_p_values(spark, sf).where("id % 8 = 1"), "p", "id", alpha=0.9)
-    return out.select("id", "p", r("q", 8), "rank", "sig")
+    return benjamini_hochberg_ranged(_p_values(spark, sf), "p", "id", alpha=0.9).select("id", "p", r("q", 8), "rank", "sig")
+
+
+QUERIES["bh_qvalues_all"] = q_bh_qvalues
 
 
 @query
-def q_bh_qvalues_all(spark, sf):
-    return benjamini_hochberg_ranged(_p_values(spark, sf), "p", "id", alpha=0.9).select("id", "p", r("q", 8), "rank", "sig")
+def q_fmt_p(spark, sf):
+    p = F.pow(F.col("p"), 3)
+    return _p_values(spark, sf).select("id", S.fmt_p(p).alias("alone"), S.fmt_p_relation(p).alias("told"))
 
 
 @query
@@ -501,6 +530,11 @@ def q_cusum(spark, sf):
     return breaks.cusum(daily(spark, sf), "y").select("d", r("z", 6), r("high", 6), r("low", 6), "signal")
 
 
+@query
+def q_control_chart(spark, sf):
+    return metrics.control_chart(daily(spark, sf), "x", day="d").select("d", r("z", 6), r("high", 6), r("low", 6), "signal")
+
+
 @query
 def q_changepoint_single(spark, sf):
     d = daily(spark, sf).withColumn("v", F.col("x") / 1000 + F.when(F.col("d") >= F.lit("1998-03-01").cast("date"), 0.5).otherwise(0.0))
@@ -509,25 +543,16 @@ def q_changepoint_single(spark, sf):
 
 @query
 def q_lomb_scargle(spark, sf):
-    d = spectral.unpivot_series(daily(spark, sf).where(F.year("d") == 1996), ["y"])
-    return spectral.lomb_scargle(d, "t", "v").select(r("period", 6), r("power", 6), r("fap", 6))
+    return spectral.lomb_scargle(spectral.unpivot_series(daily(spark, sf), ["y"]), "t", "v").select(r("period", 6), r("power", 6), r("fap", 6))
 
 
 @query
 def q_rhythms(spark, sf):
-    return metrics.rhythms(daily(spark, sf).where(F.year("d") == 1996), ["y", "x"], day="d").select("series", r("period", 6), r("power", 6), r("fap", 6), r("q", 6), "weekly")
-
-
-@query
-def q_lomb_scargle_all(spark, sf):
-    """``lomb_scargle`` has the one year of its SQL; this has every day."""
-    d = spectral.unpivot_series(daily(spark, sf), ["y"])
-    return spectral.lomb_scargle(d, "t", "v").select(r("period", 6), r("power", 6), r("fap", 6))
+    return metrics.rhythms(daily(spark, sf), ["y", "x"], day="d").select("series", r("period", 6), r("power", 6), r("fap", 6), r("q", 6), "weekly")
 
 
-@query
-def q_rhythms_all(spark, sf):
-    return metrics.rhythms(daily(spark, sf), ["y", "x"], day="d").select("series", r("period", 6), r("power", 6), r("fap", 6), r("q", 6), "weekly")
+QUERIES["lomb_scargle_all"] = q_lomb_scargle
+QUERIES["rhythms_all"] = q_rhythms
 
 
 @query
@@ -559,6 +584,13 @@ def q_activity_week_load(spark, sf):
     return clock.activity_week_load(l).select("activity", "week", r("strain"), "sessions", "rk")
 
 
+@query
+def q_activity_remainder(spark, sf):
+    """What a table of the twelve suppliers with the most goods leaves out."""
+    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("activity"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("strain"))
+    return clock.remainder(l).select("activities", r("strain"))
+
+
 @query
 def q_illness_index(spark, sf):
     out = metrics.illness_index(daily(spark, sf), ["x", "n_orders"], ["y"], day="d")
