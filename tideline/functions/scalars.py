@@ -31,26 +31,19 @@ def finite(c: Column) -> Column:
 def parse_timestamp(raw: Column) -> Column:
     """Local wall-clock time of an ISO-like prefix, a US date with an optional AM/PM, or a bare date; else null.
 
-    What follows the matched prefix (a zone, fractions) is ignored.  Times are
-    put together from their parts, so no time zone has a say in them.
+    What follows the matched prefix (a zone, fractions) is ignored, and no time
+    zone has a say in the times.
     """
     t = F.trim(raw)
-    iso = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
-    us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}),? +(\d{1,2}):(\d{2})(?::(\d{2}))?(?: *([AP])M)?"
-    bare = r"^(\d{4})-(\d{2})-(\d{2})$"
-    zero = F.lit(0)
-
-    def part(pattern: str, group: int) -> Column:
-        text = F.regexp_extract(t, pattern, group)
-        return F.when(text != "", text.cast("int")).otherwise(0)
-
-    half, hour = F.upper(F.regexp_extract(t, us, 7)), part(us, 4)
-    hour = F.when((half == "P") & (hour < 12), hour + 12).when((half == "A") & (hour == 12), 0).otherwise(hour)
-    made = lambda *parts: F.try_make_timestamp_ntz(*parts[:5], parts[5].cast("decimal(16,6)"))
+    iso = F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}(?::\d{2})?", 0)
+    us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}),? +(\d{1,2}:\d{2}(?::\d{2})?)(?: *([AP]M))?.*$"
+    us_time = F.regexp_replace(t, us, "$3-$1-$2 $4").try_cast("timestamp_ntz")
+    half = F.upper(F.regexp_extract(t, us, 5))
+    shift = F.when((half == "PM") & (F.hour(us_time) < 12), 12).when((half == "AM") & (F.hour(us_time) == 12), -12).otherwise(0)
     return (
-        F.when(t.rlike(iso), made(*[part(iso, g) for g in range(1, 7)]))
-        .when(t.rlike(us), made(part(us, 3), part(us, 1), part(us, 2), hour, part(us, 5), part(us, 6)))
-        .when(t.rlike(bare), made(*[part(bare, g) for g in range(1, 4)], zero, zero, zero))
+        F.when(iso != "", iso.try_cast("timestamp_ntz"))
+        .when(t.rlike(us), us_time + F.make_dt_interval(hours=shift))
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("timestamp_ntz"))
     )
 
 

@@ -6,15 +6,17 @@ import csv
 import io
 import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import student
 from ..operators import breaks, density, layout, regression
 from ..operators.days import build_days
-from ..sources import exports, headers
+from ..sources import exports, headers, scratch
 from ..sources.anonymise import anonymise
-from ..sources.bindings import daily, journal, sessions
+from ..sources.bindings import daily, journal, sessions, table
 from ..sources.demo import demo_export
 from . import explorer, metrics
 from .queries import r
@@ -186,15 +188,78 @@ def q_inline_days(spark, sf):
     return build_days(into).select("day", "recovery", "sleepHours", "asleep", "napMinutes", "workoutMinutes", "workoutCount", "recoveryNext", "strainPrev", F.map_values("journal").alias("answers"))
 
 
+def _written(df, label):
+    """A CSV folder of a table of strings, every value in quotes and quotes doubled, as exports have them."""
+    path = scratch.new_path(df.sparkSession, label)
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
+@query
+def q_csv_cycles(spark, sf):
+    """Orders as a cycle file in English, written and read through Spark."""
+    o = table(spark, sf, "orders")
+    text = o.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Cycle start time"), F.date_format(F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(7)), "M/d/yyyy h:mm:ss a").alias("Wake onset"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit(" %")).alias("Recovery score %"), F.col("o_orderkey").cast("string").alias("Max HR (bpm)"), F.lit("UTC").alias("Cycle timezone"),
+    )
+    into, _ = exports.ingest_csv(spark, _written(text, "physiological_cycles"), exports.empty_export(spark))
+    return into.cycles.select("day", "start", "wakeOnset", "recovery", "maxHr")
+
+
+@query
+def q_csv_journal(spark, sf):
+    """Orders as a journal in Spanish, with quotes and line breaks in its notes."""
+    notes = F.concat(F.lit('a "note",\nline '), F.col("o_orderkey").cast("string"))
+    text = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'20:mm:ss").alias("Hora de inicio del ciclo"), F.concat(F.lit(" "), F.col("o_orderpriority")).alias("Texto de la pregunta"),
+        F.when(F.col("o_orderstatus") == "F", "Sí").otherwise("no").alias('Respondió "Sí"'), notes.alias("Notas"),
+    )
+    into, _ = exports.ingest_csv(spark, _written(text, "diario"), exports.empty_export(spark))
+    return into.journal.select("day", "question", "yes", "notes")
+
+
+def _zipped(batches):
+    """An archive for each batch of ``start, wake, recovery, key`` strings, with junk and an unknown file beside its cycles."""
+    for n, batch in enumerate(batches):
+        blob, lines = io.BytesIO(), io.StringIO()
+        out = csv.writer(lines)
+        out.writerow(["Cycle start time", "Wake onset", "Recovery score %", "Max HR (bpm)"])
+        out.writerows(batch.itertuples(index=False))
+        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("__MACOSX/d/._physiological_cycles.csv", "junk")
+            z.writestr("d/other.csv", "a,b\n1,2\n")
+            z.writestr("d/physiological_cycles.csv", lines.getvalue())
+        yield pd.DataFrame({"path": [f"{n}.zip"], "content": [blob.getvalue()]})
+
+
 @query
 def q_src_zip_csv(spark, sf):
-    """The inline files as an archive, read back into the day panel."""
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w") as z:
-        for name, text in (("d/physiological_cycles.csv", _CYCLES), ("d/sleeps.csv", _SLEEPS), ("d/workouts.csv", _WORKOUTS), ("__MACOSX/d/._sleeps.csv", "junk"), ("d/other.csv", "a,b\n1,2\n")):
-            z.writestr(name, text)
-    into, _ = exports.ingest_zip(spark, blob.getvalue(), exports.empty_export(spark))
-    return build_days(into).select("day", "recovery", "asleep", "workoutMinutes")
+    """Orders as archives of cycle files, made and unpacked in tasks."""
+    o = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("start"), F.date_format(F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(7)), "yyyy-MM-dd HH:mm:ss").alias("wake"),
+        F.col("o_custkey").cast("string").alias("recovery"), F.col("o_orderkey").cast("string").alias("key"),
+    )
+    archives = o.mapInPandas(_zipped, "path string, content binary")
+    return exports.ingest_archives(archives, exports.empty_export(spark)).cycles.select("day", "start", "wakeOnset", "recovery", "maxHr")
+
+
+@query
+def q_tsv(spark, sf):
+    """The demo panel through the TSV sink and back."""
+    path = scratch.new_path(spark, "tsv")
+    exports.write_tsv(build_days(demo_export(spark, 60)), path)
+    return spark.read.option("sep", "\t").option("header", True).csv(path)
+
+
+@query
+def q_tree_qr(spark, sf):
+    """The triangle of all line items' columns by a tree of local factorisations, made positive on its diagonal."""
+    l = table(spark, sf, "lineitem").select(F.lit(1.0).alias("one"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1e4).alias("b"), (F.col("l_discount") * 100).alias("c"))
+    t = regression.qr_of_partitions(l, ["one", "a", "b", "c"])
+    t = t * np.where(np.diag(t) < 0, -1.0, 1.0)[:, None]
+    rows = [(i + 1, j + 1, float(t[i, j])) for i in range(4) for j in range(i, 4)]
+    return spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", r("v", 4))
 
 
 @query

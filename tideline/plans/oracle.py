@@ -393,3 +393,38 @@ put(
   UNION ALL SELECT user_id, d, id, raw, is_on, k, wide, used1, CASE WHEN shut THEN row + 1 ELSE row END, CASE WHEN shut THEN used1 ELSE used + used1 END FROM (
     SELECT n.*, w.row, w.used, w.used + n.used1 > 12 OR w.is_on <> n.is_on AS shut FROM walk w JOIN wk n ON n.user_id = w.user_id AND n.d = w.d AND n.k = w.k + 1))""",
 )
+_ORDER_CYCLES = 'SELECT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS TIMESTAMP) AS "start", CAST(o_orderdate + INTERVAL 7 HOUR AS TIMESTAMP) AS "wakeOnset", CAST(o_custkey AS DOUBLE) AS recovery, CAST(o_orderkey AS DOUBLE) AS "maxHr" FROM orders'
+put("csv_cycles", _ORDER_CYCLES)
+put("src_zip_csv", _ORDER_CYCLES)
+put(
+    "csv_journal",
+    """SELECT CAST(o_orderdate AS DATE) + 1 AS day, o_orderpriority AS question, o_orderstatus = 'F' AS yes, 'a "note",' || chr(10) || 'line ' || o_orderkey AS notes FROM orders""",
+)
+# The Cholesky factor of the cross products is the triangle of the QR factorisation.
+put(
+    "tree_qr",
+    """SELECT i, j, round(v, 4) + 0.0 AS v FROM (
+  SELECT CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, r11 AS v FROM c4 UNION ALL SELECT 1, 2, r12 FROM c4 UNION ALL SELECT 1, 3, r13 FROM c4 UNION ALL SELECT 1, 4, r14 FROM c4 UNION ALL SELECT 2, 2, r22 FROM c4
+  UNION ALL SELECT 2, 3, r23 FROM c4 UNION ALL SELECT 2, 4, r24 FROM c4 UNION ALL SELECT 3, 3, r33 FROM c4 UNION ALL SELECT 3, 4, r34 FROM c4 UNION ALL SELECT 4, 4, sqrt(sdd - r14 * r14 - r24 * r24 - r34 * r34) FROM c4)""",
+    "li AS (SELECT l_quantity AS a, l_extendedprice / 1e4 AS b, l_discount * 100 AS c FROM lineitem)",
+    "su AS (SELECT count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(c) AS sc, sum(a * a) AS sbb, sum(a * b) AS sbc, sum(a * c) AS sbd, sum(b * b) AS scc, sum(b * c) AS scd, sum(c * c) AS sdd FROM li)",
+    "c1 AS (SELECT *, sqrt(n) AS r11, sa / sqrt(n) AS r12, sb / sqrt(n) AS r13, sc / sqrt(n) AS r14 FROM su)",
+    "c2 AS (SELECT *, sqrt(sbb - r12 * r12) AS r22 FROM c1)",
+    "c3 AS (SELECT *, (sbc - r12 * r13) / r22 AS r23, (sbd - r12 * r14) / r22 AS r24 FROM c2)",
+    "c3b AS (SELECT *, sqrt(scc - r13 * r13 - r23 * r23) AS r33 FROM c3)",
+    "c4 AS (SELECT *, (scd - r13 * r14 - r23 * r24) / r33 AS r34 FROM c3b)",
+)
+put(
+    "header_map",
+    """SELECT * FROM (VALUES
+  ('physiological_cycles.csv', 'cycles', 'Cycle start time', 'cycleStart'), ('physiological_cycles.csv', 'cycles', 'Cycle end time', 'cycleEnd'), ('physiological_cycles.csv', 'cycles', 'Cycle timezone', NULL),
+  ('physiological_cycles.csv', 'cycles', 'Recovery score %', 'recovery'), ('physiological_cycles.csv', 'cycles', 'Resting heart rate (bpm)', 'rhr'), ('physiological_cycles.csv', 'cycles', 'Heart rate variability (ms)', 'hrv'),
+  ('physiological_cycles.csv', 'cycles', 'Day Strain', 'strain'), ('physiological_cycles.csv', 'cycles', 'Sleep onset', 'sleepOnset'), ('physiological_cycles.csv', 'cycles', 'Wake onset', 'wakeOnset'),
+  ('physiological_cycles.csv', 'cycles', 'Asleep duration (min)', 'asleep'), ('physiological_cycles.csv', 'cycles', 'REM duration (min)', 'rem'),
+  ('sleeps.csv', 'sleeps', 'Cycle start time', 'cycleStart'), ('sleeps.csv', 'sleeps', 'Sleep onset', 'sleepOnset'), ('sleeps.csv', 'sleeps', 'Wake onset', 'wakeOnset'),
+  ('sleeps.csv', 'sleeps', 'Sleep performance %', 'sleepPerformance'), ('sleeps.csv', 'sleeps', 'Asleep duration (min)', 'asleep'), ('sleeps.csv', 'sleeps', 'Nap', 'nap'),
+  ('workouts.csv', 'workouts', 'Cycle start time', 'cycleStart'), ('workouts.csv', 'workouts', 'Workout start time', 'workoutStart'), ('workouts.csv', 'workouts', 'Duration (min)', 'duration'),
+  ('workouts.csv', 'workouts', 'Activity name', 'activity'), ('workouts.csv', 'workouts', 'Activity Strain', 'activityStrain'), ('workouts.csv', 'workouts', 'HR Zone 1 %', 'zone1'), ('workouts.csv', 'workouts', 'HR Zone 2 %', 'zone2'),
+  ('journal_entries.csv', 'journal', 'Cycle start time', 'cycleStart'), ('journal_entries.csv', 'journal', 'Texto de la pregunta', 'question'), ('journal_entries.csv', 'journal', 'Respondió "Sí"', 'answeredYes'), ('journal_entries.csv', 'journal', 'Notas', 'notes')
+) AS t(file, kind, header, field)""",
+)
