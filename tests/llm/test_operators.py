@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -16,6 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from tideline.llm import blocks, bpe, exact_dedup, extraction, labeller, mixing, pii, quality, registry, secrets, simhash, sketch, token_codes
 
@@ -61,6 +63,46 @@ def test_quality_on_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
 
 
+def brute_statistics(text):
+    """The statistics character by character and word by word."""
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    n = max(1, len(words))
+    kinds = Counter()
+    for b in text.encode("utf-8"):
+        c = chr(b)
+        kinds["upper" if "A" <= c <= "Z" else "lower" if "a" <= c <= "z" or b >= 128 else "digit" if "0" <= c <= "9" else "stop" if c in ",." else "symbol" if 33 <= b < 127 else "space"] += 1
+    letters = kinds["upper"] + kinds["lower"]
+    size = max(1, letters + kinds["digit"] + kinds["stop"] + kinds["symbol"])
+    repeats = sum(1 for i in range(1, len(words)) if words[i] == words[i - 1])
+    return [
+        math.log(1 + len(words)), math.log(1 + size / n), math.sqrt(kinds["upper"] / max(1, letters)), math.sqrt(kinds["digit"] / size), math.sqrt(kinds["symbol"] / size), math.sqrt(min(4, kinds["stop"] / n)),
+        math.log(1 + len(set(words))) / math.log(2 + n), math.sqrt(max((words.count(w) for w in set(words)), default=0) / n), math.sqrt(repeats / n), len(set(lines)) / max(1, len(lines)),
+        math.log(1 + n / max(1, len(lines))), math.sqrt(sum(w[-1] in ".," for w in words) / n), math.sqrt(words.count("|") / n),
+    ]
+
+
+def test_statistics_and_model_against_a_plain_loop(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    stats = {i: np.array(brute_statistics(t)) for i, t in texts.items()}
+    for t in [*texts.values(), "", " ", "A", "1,2. 3|| |", "é\n\n"]:
+        assert np.allclose(quality.statistics(t), brute_statistics(t), atol=1e-12)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    learnt = [(stats[i], y) for i, y in marks.items() if i in stats and zlib.crc32(str(i).encode()) % 5]
+    model = {}
+    pooled = sum(np.cov(np.array([x for x, y in learnt if y == k]).T, bias=True) * sum(y == k for _, y in learnt) for k in (0, 1)) / len(learnt)
+    d = len(pooled)
+    for k in (0, 1):
+        x = np.array([x for x, y in learnt if y == k])
+        c = 0.8 * np.cov(x.T, bias=True) + quality.TO_POOLED * pooled + quality.TO_IDENTITY * np.diag(pooled).mean() * np.eye(d) + 1e-9 * np.eye(d)
+        model[k] = (x.mean(0), np.linalg.inv(c), np.linalg.slogdet(c)[1], len(x))
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, labels).collect()}
+    for i, x in stats.items():
+        log = [-0.5 * (x - m) @ inverse @ (x - m) - 0.5 * det + math.log(n) for m, inverse, det, n in (model[0], model[1])]
+        want = 1 / (1 + math.exp(min(500, max(-500, log[0] - log[1]))))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_discriminant_is_the_gaussian_log_ratio():
     r = np.random.default_rng(0)
     a, b = r.normal(0, 1, (400, 2)), r.normal(2, 0.5, (300, 2))
@@ -742,3 +784,21 @@ def test_pipeline(spark, sf, odd_docs, no_docs):
                 assert out.count() <= before
             at, before = out, out.count()
     assert pipe.run(spark, sf).count() > 0
+
+
+# --- the pipeline's stages ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs, plain_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd_docs, sf)
+    rows = out.collect()
+    assert stage(spark, no_docs, sf).count() == 0
+    if name == "bpe":
+        assert len(rows) == len(plain_docs)
+    else:
+        assert out.columns == odd_docs.columns
+        assert {(r["doc_id"], r["text"]) for r in rows} <= set(plain_docs)
+    if name == "near_dedup":
+        assert [r["text"] for r in rows if r["doc_id"] is None] == ["one two three"]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: White space of the word and normalisation rules, as a Java and a Python class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -17,33 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tideline-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The new frame has no lineage, so a lost executor costs a re-read and not a
-    recomputation.  Spark removes the folder when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["LATIN_LETTERS", "SPACE", "BoundedCache", "classes_alike", "materialize", "plain_latin", "table", "whole_text"]
 
 
 def whole_text(text_col: str = "text"):
