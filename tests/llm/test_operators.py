@@ -273,7 +273,7 @@ def brute_added(text, trees, least):
                 checked = kind == "ssn" and bool(re.match("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", match))
             row = [
                 k, min(20, len(re.sub("[^0-9]", "", match))), min(3, len(re.sub(r"[^\x20().-]", "", match))), int(bool(re.search("^[A-Za-z0-9_/=#]|[A-Za-z0-9_/=]$", around))),
-                int(bool(re.search(pii.CONTEXT[kind], before))), int(bool(re.search("|".join(pii.CONTEXT.values()), before))), int(checked),
+                int(bool(re.search(pii.CONTEXT[kind], before))), int(bool(re.search("|".join(pii.CONTEXT.values()), before))), int(checked), int(match.startswith("(")),
             ]
             score = 0.0
             for t in trees:

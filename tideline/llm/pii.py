@@ -67,7 +67,7 @@ CONTEXT = {
     "number": r"(?:passport|licen[cs]e|account|customer|member|patient|social)\W",
 }
 #: The binned features of a candidate, small integers all.
-FEATURES = ("kind", "digits", "separators", "glued", "context", "other", "checksum")
+FEATURES = ("kind", "digits", "separators", "glued", "context", "other", "checksum", "bracketed")
 
 SPAN = "struct<start:bigint,end:bigint,match:string,before:string,after:string>"
 #: Outputs that a sweep appends to one array before it starts the next.
@@ -238,6 +238,7 @@ def with_features(x: Column) -> Column:
         own.cast("int").alias("context"),
         other.cast("int").alias("other"),
         checked.cast("int").alias("checksum"),
+        x["match"].startswith("(").cast("int").alias("bracketed"),
     )
 
 
@@ -265,9 +266,11 @@ def snippets(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, int, int
             f"{word()} [at] {word()}.example", f"{word()}(at){word()}(dot)example", f"{word()}.{word()} [at] {word()} [dot] example"], [n(9), n(8), n(10)]
         bad = [f"{n(4)}-{n(4)}{n(4)}", f"{n(2)}.{n(3)}.{n(3)}", f"{n(3)} {n(3)} {n(4)}"], [f"000-{n(2)}-{n(4)}", f"9{n(2)}-00-{n(4)}"], [iban(False)], [f"{word()} (at) {n(2)}.{n(2)}"], [n(16), n(12), n(7), n(19)]
         lead = r.choice(told[kind] if label or kind in (1, 2) and r.random() < 0.3 else neutral)
-        if label and kind in (1, 2) and r.random() < 0.4:
+        own = r.choice((good if label else bad)[kind])
+        # Numbers of a telling form are true without a word that says so.
+        if label and (kind in (1, 2) or own.startswith("(")) and r.random() < 0.4:
             lead = r.choice(neutral)
-        out.append((f"{word()} {word()} {lead}{r.choice((good if label else bad)[kind])} {word()}", kind, label))
+        out.append((f"{word()} {word()} {lead}{own} {word()}", kind, label))
     return out
 
 
