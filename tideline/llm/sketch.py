@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,35 +40,31 @@ SALT = 1 << 32
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-#: Whether a word ends a piece, for the words seen lately.
-_ENDS: dict[str, bool] = {}
-CACHED_WORDS = 200_000
+#: A number for each byte; the sum of a word's, times an odd number, is its hash.
+_BYTES = np.random.default_rng(3).integers(0, 1 << 64, 256, np.uint64)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(64 - PIECE_WORDS.bit_length() + 1)
 
 
-def _ends(word: str) -> bool:
-    if len(_ENDS) >= CACHED_WORDS:
-        _ENDS.clear()
-    _ENDS[word] = end = zlib.crc32(word.encode("utf-8")) % PIECE_WORDS == 0
-    return end
-
-
-def pieces(text: str) -> list[str]:
-    out = []
-    known = _ENDS.get
-    for line in text.split("\n"):
-        words = line.split(" ")
-        a = 0
-        for b, w in enumerate(words, 1):
-            end = known(w)
-            if (_ends(w) if end is None else end) or b == len(words):
-                out.append(" ".join(words[a:b]))
-                a = b
-    return [p for p in out if p]
+def pieces(text: str) -> list[bytes]:
+    """The pieces of a text in UTF-8: lines, cut at the spaces that follow words of a certain hash."""
+    raw = text.encode("utf-8")
+    b = np.frombuffer(raw, np.uint8)
+    gaps = np.flatnonzero((b == 32) | (b == 10))
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(b)]
+    upto = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b], out=upto[1:])
+    last = (upto[ends] - upto[starts]) * _TIMES >> _TOP == 0
+    last[:-1] |= b[gaps] == 10
+    last[-1] = True
+    at = np.flatnonzero(last)
+    first = starts[np.r_[0, at[:-1] + 1]]
+    return [raw[x:y] for x, y in zip(first.tolist(), ends[at].tolist(), strict=True) if x < y]
 
 
 def digests(text: str, salt: int = 0) -> np.ndarray:
     """The digests of all pieces; the n-th occurrence of a piece has its own."""
-    seen: dict[str, int] = {}
+    seen: dict[bytes, int] = {}
     out = []
     for p in pieces(text):
         n = seen.get(p, 0)
@@ -99,13 +94,12 @@ class Sketch:
 
     def __init__(self, keys: np.ndarray, check: np.ndarray, size: int = CELLS):
         self.n, self.size = len(keys), size
-        at = _cells(keys, size)
-        self.count = np.bincount(at.ravel(), minlength=size)
+        at = _cells(keys, size).ravel()
+        self.count = np.bincount(at, minlength=size)
         self.keys = np.zeros(size, np.uint64)
         self.check = np.zeros(size, np.uint64)
-        for row in at:
-            np.add.at(self.keys, row, keys)
-            np.add.at(self.check, row, check)
+        np.add.at(self.keys, at, np.concatenate([keys, keys, keys]))
+        np.add.at(self.check, at, np.concatenate([check, check, check]))
 
     def text(self) -> str:
         """The fingerprint as text: the number of pieces and the cells."""
@@ -123,18 +117,19 @@ class Sketch:
             sign = count[single]
             unsigned = sign.astype(np.uint64)
             key = keys[single] * unsigned
-            pure = check[single] * unsigned == _check(key)
+            hashed = _check(key)
+            pure = np.flatnonzero(check[single] * unsigned == hashed)
             key, first = np.unique(key[pure], return_index=True)
             if not len(key):
                 break
-            sign = sign[pure][first]
+            pure = pure[first]
+            sign, unsigned, hashed = sign[pure], unsigned[pure], hashed[pure]
             mine.append(key[sign > 0])
             theirs.append(key[sign < 0])
-            at, unsigned = _cells(key, self.size), sign.astype(np.uint64)
-            for row in at:
-                np.subtract.at(count, row, sign)
-                np.subtract.at(keys, row, key * unsigned)
-                np.subtract.at(check, row, _check(key) * unsigned)
+            at, key, hashed = _cells(key, self.size).ravel(), key * unsigned, hashed * unsigned
+            np.subtract.at(count, at, np.concatenate([sign, sign, sign]))
+            np.subtract.at(keys, at, np.concatenate([key, key, key]))
+            np.subtract.at(check, at, np.concatenate([hashed, hashed, hashed]))
         if count.any() or keys.any():
             return None
         none = np.zeros(0, np.uint64)
