@@ -428,3 +428,42 @@ put(
   ('journal_entries.csv', 'journal', 'Cycle start time', 'cycleStart'), ('journal_entries.csv', 'journal', 'Texto de la pregunta', 'question'), ('journal_entries.csv', 'journal', 'Respondió "Sí"', 'answeredYes'), ('journal_entries.csv', 'journal', 'Notas', 'notes')
 ) AS t(file, kind, header, field)""",
 )
+
+
+def _constants(rows: list[dict[str, str]], columns: str) -> str:
+    """Rows of hand-written answers; columns that a row doesn't name are null."""
+    parts = [c.strip().split(" ") for c in columns.split(",")]
+    return " UNION ALL ".join("SELECT " + ", ".join(f'CAST({row.get(n, "NULL")} AS {t}) AS "{n}"' for n, t in parts) for row in rows)
+
+
+_NIGHT = "sleepPerformance DOUBLE, respiratoryRate DOUBLE, asleep DOUBLE, inBed DOUBLE, light DOUBLE, deep DOUBLE, rem DOUBLE, awake DOUBLE, sleepNeed DOUBLE, sleepDebt DOUBLE, sleepEfficiency DOUBLE, sleepConsistency DOUBLE"
+put(
+    "ingest_cycles",
+    _constants(
+        [
+            {"day": "'2026-03-02'", "start": "'2026-03-01 23:10:00'", "end": "'2026-03-02 23:00:00'", "sleepOnset": "'2026-03-01 23:10:00'", "wakeOnset": "'2026-03-02 07:00:00'", "recovery": "71", "rhr": "50", "hrv": "80", "strain": "12.4", "asleep": "432", "rem": "90", "ord": "0"},
+            {"day": "'2026-03-03'", "start": "'2026-03-02 23:00:00'", "end": "'2026-03-03 22:50:00'", "sleepOnset": "'2026-03-02 23:00:00'", "wakeOnset": "'2026-03-03 06:30:00'", "recovery": "48", "rhr": "55", "hrv": "61", "strain": "9.1", "asleep": "400", "rem": "80", "ord": "1"},
+        ],
+        f"day DATE, start TIMESTAMP, end TIMESTAMP, sleepOnset TIMESTAMP, wakeOnset TIMESTAMP, recovery DOUBLE, rhr DOUBLE, hrv DOUBLE, skinTemp DOUBLE, spo2 DOUBLE, strain DOUBLE, calories DOUBLE, maxHr DOUBLE, avgHr DOUBLE, {_NIGHT}, ord BIGINT",
+    ),
+)
+put(
+    "ingest_sleeps",
+    _constants(
+        [
+            {"day": "'2026-03-03'", "isNap": "true", "sleepOnset": "'2026-03-03 14:00:00'", "wakeOnset": "'2026-03-03 14:40:00'", "asleep": "35", "ord": "0"},
+            {"day": "'2026-03-04'", "isNap": "false", "sleepOnset": "'2026-03-03 23:05:00'", "wakeOnset": "'2026-03-04 06:30:00'", "sleepPerformance": "88", "asleep": "410", "ord": "1"},
+        ],
+        f"day DATE, isNap BOOLEAN, sleepOnset TIMESTAMP, wakeOnset TIMESTAMP, {_NIGHT}, ord BIGINT",
+    ),
+)
+put(
+    "ingest_journal",
+    _constants(
+        [
+            {"day": "'2026-03-02'", "question": "'¿Alcohol?'", "yes": "false", "notes": "''", "ord": "0"},
+            {"day": "'2026-03-03'", "question": "'¿Alcohol?'", "yes": "true", "notes": "'late, two glasses'", "ord": "1"},
+        ],
+        "day DATE, question VARCHAR, yes BOOLEAN, notes VARCHAR, ord BIGINT",
+    ),
+)
