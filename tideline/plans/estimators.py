@@ -139,6 +139,7 @@ def q_pack_rows(spark, sf):
     return layout.pack_rows(items, ["user_id", "day"])
 
 
+# The header lines of the export format, with rows of our own.
 _CYCLES = """Cycle start time,Cycle end time,Cycle timezone,Recovery score %,Resting heart rate (bpm),Heart rate variability (ms),Day Strain,Sleep onset,Wake onset,Asleep duration (min),REM duration (min)
 2026-03-01 23:10:00,2026-03-02 23:00:00,UTC+01:00,71,50,80,12.4,2026-03-01 23:10:00,2026-03-02 07:00:00,432,90
 2026-03-02 23:00:00,2026-03-03 22:50:00,UTC+01:00,48,55,61,9.1,2026-03-02 23:00:00,2026-03-03 06:30:00,400,80
