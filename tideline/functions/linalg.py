@@ -18,11 +18,12 @@ def bandwidth_for(n: int) -> int:
     return int(min(max(0, math.floor(4 * (n / 100) ** (2 / 9))), max(0, n - 1)))
 
 
-def pivoted_qr(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def pivoted_qr(x: np.ndarray, y: np.ndarray, tie: float = 0.0) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """``(R, Q'y, pivots)`` of the columns that add to the rank.
 
     The next column is the one with the largest residual norm, recomputed each
-    time; of equal ones the first in place.
+    time; of equal ones the first in place.  Norms within the share ``tie`` of
+    the largest count as equal.
     """
     a, b = x.astype(float).copy(), y.astype(float).copy()
     n, k = a.shape
@@ -31,7 +32,7 @@ def pivoted_qr(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
     rank = 0
     for j in range(min(n, k)):
         norms = np.einsum("ij,ij->j", a[j:, j:], a[j:, j:])
-        best = int(np.argmax(norms))
+        best = int(np.argmax(norms >= norms.max() * (1 - tie)))
         if norms[best] <= limit:
             break
         if best:
@@ -146,6 +147,56 @@ def ols(
     )
 
 
+@dataclass
+class Root:
+    """What the triangle of ``[design, y]`` tells: coefficients of the columns kept, or too few rows."""
+
+    n: int
+    min_n: int
+    names: list[str] = field(default_factory=list)
+    kept: list[int] = field(default_factory=list)
+    beta: np.ndarray | None = None
+    xtx_inv: np.ndarray | None = None
+    sst: float = 0.0
+    centred: bool = False
+
+    @property
+    def ok(self) -> bool:
+        return self.beta is not None
+
+
+def solve_triangle(r: np.ndarray, n: int, names: list[str], intercept: bool, least: int) -> Root:
+    """Least squares from the triangular factor ``r`` of a design of n complete rows with its outcome as the last column."""
+    if n < least:
+        return Root(n, least)
+    x, y = r[:, :-1], r[:, -1]
+    top, qty, pivots = pivoted_qr(x, y, 1e-10)
+    rank = len(pivots)
+    if rank == 0 or n - rank < 1:
+        return Root(n, max(least, rank + 2))
+    inverse = np.linalg.solve(top, np.eye(rank))
+    order = np.argsort(pivots)
+    kept = [pivots[i] for i in order]
+    centred = intercept and 0 in kept
+    # Beside the constant alone, the outcome's factor is its spread around the mean.
+    spread = np.linalg.qr(r[:, [0, -1]], mode="r")[1:, 1] if centred else y
+    return Root(n, least, names, kept, (inverse @ qty)[order], (inverse @ inverse.T)[np.ix_(order, order)], float(spread @ spread), centred)
+
+
+def fit_of(root: Root, meat_: np.ndarray, sse: float, kind: str, bandwidth: int, level: float) -> Fit:
+    """A fit from its root and the score products of the columns kept; without fitted values and residuals, which stay with the rows."""
+    rank, n = len(root.kept), root.n
+    df = n - rank
+    vcov = root.xtx_inv @ meat_ @ root.xtx_inv * n / df
+    vcov = (vcov + vcov.T) / 2
+    r2 = 1.0 if root.sst == 0 else 1 - sse / root.sst
+    terms = [estimate(root.names[c], float(b), float(vcov[i, i]), df, level) for i, (c, b) in enumerate(zip(root.kept, root.beta, strict=True))]
+    return Fit(
+        True, n, root.min_n, terms, [x for c, x in enumerate(root.names) if c not in root.kept], rank, df, r2, 1 - (1 - r2) * (n - (1 if root.centred else 0)) / df, math.sqrt(sse / df),
+        vcov, root.xtx_inv, kind, bandwidth if kind == HAC else None, level,
+    )
+
+
 def combination(fit: Fit, weights: dict[str, float], name: str = "combination") -> dict:
     w = np.array([weights.get(t, 0.0) for t in fit.names()])
     beta = np.array([t["coef"] for t in fit.terms])

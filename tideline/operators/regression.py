@@ -2,7 +2,7 @@
 
 Designs (lags, dummies) are built as columns on the spine.  The simple
 regressions with robust errors are sums of products and stay relational; the
-general fit is one Arrow exchange for each entity, whose days are one group.
+general fit sums factors and score products over tasks (``treefit``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 from ..functions import scalars as S
-from .days import by_day, lagged
+from .days import lagged
+from .treefit import fit_models
 
 NONE: Sequence[str] = ()
 TERMS = "ok boolean, n long, min_n long, missing long, k long, df long, r2 double, r2_adjusted double, sigma double, bandwidth long, dropped array<string>, term string, coef double, se double, t double, p double, ci_low double, ci_high double"
@@ -55,7 +56,7 @@ def simple_ols(df: DataFrame, x: str, y: str, kind: str = L.HC1, day: str = "d",
 
 
 def dummies(df: DataFrame, category: Column, prefix: str, values: Sequence[int]) -> tuple[DataFrame, list[str]]:
-    """0/1 columns of all categories, in the order given; a fit leaves out those that it must (``estimable``)."""
+    """0/1 columns of all categories, in the order given; a fit leaves out those that it must (``effects``)."""
     names = [f"{prefix}_{v}" for v in values]
     return df.withColumns({n: F.coalesce((category == v).cast("double"), F.lit(0.0)) for n, v in zip(names, values, strict=True)}), names
 
@@ -68,13 +69,6 @@ def month_dummies(df: DataFrame, day: str = "d") -> tuple[DataFrame, list[str]]:
     return dummies(df, S.month0(F.col(day)), "month", range(12))
 
 
-def estimable(pdf: pd.DataFrame, columns: Sequence[str], effects: Sequence[Sequence[str]]) -> list[str]:
-    """The columns without the categories of ``effects`` that no day has, nor the first of those that some day has."""
-    present = [[c for c in group if pdf[c].any()] for group in effects]
-    out = {c for group in effects for c in group} - {c for group in present for c in group[1:]}
-    return [c for c in columns if c not in out]
-
-
 def term_rows(fit: L.Fit) -> pd.DataFrame:
     base = {
         "ok": fit.ok, "n": fit.n, "min_n": fit.min_n, "missing": fit.missing, "k": fit.k if fit.ok else None, "df": fit.df if fit.ok else None, "r2": fit.r2, "r2_adjusted": fit.r2_adjusted,
@@ -84,39 +78,12 @@ def term_rows(fit: L.Fit) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def fit_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], make, schema: str) -> DataFrame:
-    """Hand each entity's sorted days to ``make``, a function of a pandas frame; the keys come back beside its rows."""
-    names = list(keys)
-    rows = df.select(*names, *dict.fromkeys(columns))
-    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = make(pdf)
-        for k in reversed(names):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return rows.groupBy(*names).applyInPandas(run, head + schema)
-
-
-def with_clock(df: DataFrame, day: str = "d", keys: Sequence[str] = NONE) -> DataFrame:
-    """``__t``, an entity's days counted from its first."""
-    return df.withColumn("__t", F.datediff(F.col(day), F.min(day).over(Window.partitionBy(*keys))))
-
-
 def ols(df: DataFrame, y: str, x: Sequence[str], kind: str = L.HC1, bandwidth: int | None = None, day: str = "d", keys: Sequence[str] = NONE, intercept: bool = True, min_n: int | None = None, level: float = 0.95, effects: Sequence[Sequence[str]] = ()) -> DataFrame:
     """The general fit, ``TERMS`` with a row for each term; an entity with too few days is one row with ``ok`` false.
 
     ``effects`` are groups of 0/1 columns among ``x``, each of which loses its first category.
     """
-    x = list(x)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        own = estimable(pdf, x, effects)
-        return term_rows(L.ols(pdf[y].to_numpy(float), pdf[own].to_numpy(float), own, kind, bandwidth, pdf["__t"].to_numpy(float), intercept, min_n, level))
-
-    return fit_groups(with_clock(df, day, keys), keys, ["__t", y, *x], make, TERMS)
+    return fit_models(df, keys, y, list(x), term_rows, TERMS, kind, bandwidth, day, intercept, min_n, level, effects)
 
 
 def lag_columns(df: DataFrame, x: str, lags: Sequence[int], day: str = "d", keys: Sequence[str] = NONE) -> tuple[DataFrame, list[str]]:
@@ -137,12 +104,9 @@ def distributed_lag(
     """
     lags = list(range(min_lag, max_lag + 1)) if 0 <= min_lag <= max_lag else []
     design, names = lag_columns(df, x, lags, day, keys)
-    controls = list(controls)
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        own = names + estimable(pdf, controls, effects)
-        fit = L.ols(pdf[y].to_numpy(float), pdf[own].to_numpy(float), own, kind, bandwidth, pdf["__t"].to_numpy(float), True, min_n, level) if names else L.Fit(False, 0, min_n or 1)
+    def make(fit: L.Fit) -> pd.DataFrame:
+        fit = fit if names else L.Fit(False, 0, min_n or 1)
         kept = [n for n in names if n in fit.names()]
         base = {"ok": bool(fit.ok and kept), "n": fit.n, "min_n": fit.min_n, "missing": fit.missing}
         rows, so_far = [], {}
@@ -155,38 +119,26 @@ def distributed_lag(
             rows.append(base | {"lag": lag} | {c: one[c] for c in _TERM[1:]} | {"cumulative": total["coef"], "cumulative_se": total["se"], "cumulative_low": total["ci_low"], "cumulative_high": total["ci_high"]})
         return pd.DataFrame(rows or [base], columns=[c.split(" ")[0] for c in LAGS.split(", ")])
 
-    return fit_groups(with_clock(design, day, keys), keys, ["__t", y, *names, *controls], make, LAGS)
+    return fit_models(design, keys, y, [*names, *controls], make, LAGS, kind, bandwidth, day, True, min_n, level, effects)
 
 
 RATIO = "ok boolean, n long, min_n long, missing long, reason string, coef double, se double, t double, p double, ci_low double, ci_high double"
 
 
 def delta_ratio(df: DataFrame, y: str, x: Sequence[str], numerator: str, denominator: str, negate: bool = False, kind: str = L.HC1, day: str = "d", keys: Sequence[str] = NONE, level: float = 0.95) -> DataFrame:
-    x = list(x)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf[y].to_numpy(float), pdf[x].to_numpy(float), x, kind, None, pdf["__t"].to_numpy(float), level=level)
+    def make(fit: L.Fit) -> pd.DataFrame:
         r = L.ratio(fit, numerator, denominator, negate) if fit.ok else {"ok": False, "reason": "insufficient"}
         return pd.DataFrame([{"n": fit.n, "min_n": fit.min_n, "missing": fit.missing} | r], columns=[c.split(" ")[0] for c in RATIO.split(", ")])
 
-    return fit_groups(with_clock(df, day, keys), keys, ["__t", y, *x], make, RATIO)
+    return fit_models(df, keys, y, list(x), make, RATIO, kind, day=day, level=level)
 
 
 def linear_combination(df: DataFrame, y: str, x: Sequence[str], weights: dict[str, float], kind: str = L.HC1, day: str = "d", keys: Sequence[str] = NONE) -> DataFrame:
-    x = list(x)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        fit = L.ols(pdf[y].to_numpy(float), pdf[x].to_numpy(float), x, kind, None, pdf["__t"].to_numpy(float))
+    def make(fit: L.Fit) -> pd.DataFrame:
         r = {"ok": True} | L.combination(fit, weights) if fit.ok else {"ok": False}
         return pd.DataFrame([{"n": fit.n, "min_n": fit.min_n, "missing": fit.missing, "reason": None} | r], columns=[c.split(" ")[0] for c in RATIO.split(", ")])
 
-    return fit_groups(with_clock(df, day, keys), keys, ["__t", y, *x], make, RATIO)
-
-
-def next_day(df: DataFrame, y: str, name: str, day: str = "d", keys: Sequence[str] = NONE) -> DataFrame:
-    return df.withColumn(name, F.lead(y).over(by_day(keys, day)))
+    return fit_models(df, keys, y, list(x), make, RATIO, kind, day=day)
 
 
 def qr_of_partitions(df: DataFrame, columns: Sequence[str]) -> np.ndarray:

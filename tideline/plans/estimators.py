@@ -47,6 +47,30 @@ def q_ols_full(spark, sf):
     return regression.ols(d, "y", ["x", "disc", "n_orders", "twice", *dow], "hac", effects=[dow])
 
 
+def _items(spark, sf):
+    """Line items in moderate units with their days."""
+    l = table(spark, sf, "lineitem")
+    return l.select(F.to_date("l_shipdate").alias("d"), "l_returnflag", (F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 100).alias("b"))
+
+
+def _slopes(fit, kind):
+    return fit.where("term <> 'const'").select(F.lit(kind).alias("kind"), *[c for c in ("l_returnflag",) if c in fit.columns], "term", r("coef", 8), r("se", 8), "n", "bandwidth")
+
+
+@query
+def q_ols_lineitems(spark, sf):
+    """All line items in one fit, with either error."""
+    hc1, hac = (regression.ols(_items(spark, sf), "y", ["a", "b"], kind) for kind in ("hc1", "hac"))
+    return _slopes(hc1, "hc1").unionByName(_slopes(hac, "hac"))
+
+
+@query
+def q_ols_lineitems_keyed(spark, sf):
+    """A fit for each return flag, whose rows are a third of all."""
+    hc1, hac = (regression.ols(_items(spark, sf), "y", ["a", "b"], kind, keys=["l_returnflag"]) for kind in ("hc1", "hac"))
+    return _slopes(hc1, "hc1").unionByName(_slopes(hac, "hac"))
+
+
 @query
 def q_ols_panel(spark, sf):
     """One fit for each weekday as an entity."""

@@ -14,6 +14,7 @@ from ..functions import linalg as L
 from ..operators import regression
 from ..operators.days import lagged
 from ..operators.multiplicity import bh_values
+from ..operators.treefit import fit_models
 
 MAX_LAG = 7
 ROWS_PER_TERM, LEAST_ROWS = 12, 40
@@ -99,11 +100,7 @@ def run_specification(days: DataFrame, spec: Specification, ledger: list[tuple[s
     roles = {name[t]: "regressor" for t in s.regressors} | {name[t]: "control" for t in s.controls}
     key, history = s.key(), [x for x in ledger if x[0] != s.key()]
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        asked = regression.estimable(pdf, columns, effects)
-        least = max(LEAST_ROWS, ROWS_PER_TERM * (len(asked) + 1))
-        fit = L.ols(pdf["__y"].to_numpy(float), pdf[asked].to_numpy(float), asked, L.HAC, None, pdf["__t"].to_numpy(float), True, least)
+    def make(fit: L.Fit) -> pd.DataFrame:
         own = [t for t in fit.terms if roles.get(t["term"]) == "regressor"]
         q = bh_values([x[2] for x in history] + [t["p"] for t in own])[len(history) :]
         by = dict(zip((t["term"] for t in own), q, strict=True))
@@ -114,7 +111,7 @@ def run_specification(days: DataFrame, spec: Specification, ledger: list[tuple[s
         rows = [base | {"role": roles.get(t["term"], "fixed"), "q": by.get(t["term"])} | {c: t[c] for c in ("term", "coef", "se", "t", "p", "ci_low", "ci_high")} for t in fit.terms]
         return pd.DataFrame(rows or [base], columns=[c.split(" ")[0] for c in FITTED.split(", ")])
 
-    return regression.fit_groups(regression.with_clock(d, day), (), ["__t", "__y", *columns], make, FITTED)
+    return fit_models(d, (), "__y", columns, make, FITTED, L.HAC, None, day, True, lambda asked: max(LEAST_ROWS, ROWS_PER_TERM * (asked + 1)), effects=effects)
 
 
 def record_run(ledger: DataFrame, spec: Specification, fitted: DataFrame) -> DataFrame:

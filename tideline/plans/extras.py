@@ -13,7 +13,8 @@ from ..functions import linalg as L
 from ..functions import scalars as S
 from ..functions.student import student_quantile
 from ..operators import days as D
-from ..operators import regression, stats
+from ..operators import stats
+from ..operators.treefit import fit_models
 from ..sources.bindings import daily, sessions, table
 from .oracle import DAILY, SESSIONS, over_daily, put
 from .queries import QUERIES, r
@@ -91,8 +92,7 @@ def simulate(days: DataFrame, outcome: str, at: dict[str, float], day: str = "da
     """A fitted model's prediction for given values of its regressors, with the interval of a new day."""
     x = list(at)
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = L.ols(pdf[outcome].to_numpy(float), pdf[x].to_numpy(float), x, times=pdf["__t"].to_numpy(float), level=level)
+    def make(fit: L.Fit) -> pd.DataFrame:
         if not fit.ok:
             return pd.DataFrame([{"ok": False, "n": fit.n, "predicted": None, "low": None, "high": None}])
         point = np.array([1.0 if t == "const" else at[t] for t in fit.names()])
@@ -100,7 +100,7 @@ def simulate(days: DataFrame, outcome: str, at: dict[str, float], day: str = "da
         wide = student_quantile(1 - (1 - level) / 2, fit.df) * fit.sigma * float(np.sqrt(1 + point @ fit.xtx_inv @ point))
         return pd.DataFrame([{"ok": True, "n": fit.n, "predicted": value, "low": value - wide, "high": value + wide}])
 
-    return regression.fit_groups(regression.with_clock(days, day, keys), keys, ["__t", outcome, *x], make, PREDICTION)
+    return fit_models(days, keys, outcome, x, make, PREDICTION, day=day, level=level)
 
 
 def interaction(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import linalg as L
 from ..functions import scalars as S
 from ..operators import breaks, density, regression, smooth, spectral, stats
 from ..operators.multiplicity import benjamini_hochberg, bh_values
+from ..operators.treefit import fit_models
 
 # The pairs whose correlations are compared, against recovery where nothing else is named.
 DRIVERS = {
@@ -66,10 +67,7 @@ def adjusted_habits(
     columns = [*names.values(), *controls, *dow, *month]
     back = {n: q for q, n in names.items()}
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        own = regression.estimable(pdf, columns, [dow, month])
-        fit = L.ols(pdf[target].to_numpy(float), pdf[own].to_numpy(float), own, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
+    def make(fit: L.Fit) -> pd.DataFrame:
         base = {"ok": fit.ok, "n": fit.n, "min_n": fit.min_n, "missing": fit.missing}
         habits = sorted((t for t in fit.terms if t["term"] in back), key=lambda t: -abs(t["coef"]))
         rest = [t for t in fit.terms if t["term"] in controls]
@@ -81,7 +79,7 @@ def adjusted_habits(
                 rows.append(base | {"question": name, "kind": kind, "q": q, "n_yes": yes, "n_no": no} | {c: t[c] for c in ("coef", "se", "t", "p", "ci_low", "ci_high")})
         return pd.DataFrame(rows or [base], columns=[c.split(" ")[0] for c in HABIT.split(", ")])
 
-    return regression.fit_groups(regression.with_clock(d, day), (), ["__t", target, *columns], make, HABIT)
+    return fit_models(d, (), target, columns, make, HABIT, L.HAC, None, day, True, min_n, effects=[dow, month])
 
 
 def elasticities(days: DataFrame, target: str = "recovery", sleep: str = "sleepHours", strain: str = "strainPrev", more: Sequence[str] = ("bedtimeHours",), min_n: int = 150, day: str = "day") -> DataFrame:
@@ -92,17 +90,14 @@ def elasticities(days: DataFrame, target: str = "recovery", sleep: str = "sleepH
     columns = [*shown, *dow, *month]
     schema = "ok boolean, n long, term string, coef double, se double, p double, ci_low double, ci_high double, q double, reason string"
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__t")
-        own = regression.estimable(pdf, columns, [dow, month])
-        fit = L.ols(pdf[target].to_numpy(float), pdf[own].to_numpy(float), own, L.HAC, None, pdf["__t"].to_numpy(float), True, min_n)
+    def make(fit: L.Fit) -> pd.DataFrame:
         terms = [t for t in fit.terms if t["term"] in shown]
         rows = [{"ok": True, "n": fit.n, "q": q, "reason": None} | {c: t[c] for c in ("term", "coef", "se", "p", "ci_low", "ci_high")} for t, q in zip(terms, bh_values([t["p"] for t in terms]), strict=True)]
         if fit.ok:
             rows.append({"n": fit.n, "q": None} | L.ratio(fit, strain, sleep, negate=True) | {"term": "substitution"})
         return pd.DataFrame(rows or [{"ok": False, "n": fit.n}], columns=[c.split(" ")[0] for c in schema.split(", ")])
 
-    return regression.fit_groups(regression.with_clock(d, day), (), ["__t", target, *columns], make, schema)
+    return fit_models(d, (), target, columns, make, schema, L.HAC, None, day, True, min_n, effects=[dow, month])
 
 
 def dose_response(days: DataFrame, x: str, y: str, min_n: int = 60, day: str = "d") -> DataFrame:

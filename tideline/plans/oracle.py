@@ -228,6 +228,26 @@ put("family_bh", _bh("family, id", "pv", "family"), PVALUES)
 _SCORES = """m AS (SELECT date_diff('day', DATE '1970-01-01', d) AS t, x - avg(x) OVER () AS dx, y - avg(y) OVER () AS dy, count(*) OVER () AS n FROM daily WHERE x IS NOT NULL AND y IS NOT NULL),
 b AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx, any_value(n) AS n FROM m),
 s AS (SELECT t, dx * (dy - b.b * dx) AS s FROM m, b)"""
+def _two_slopes(source: str, g: str) -> str:
+    """Both slopes of y on a, b and a constant within g, with HC1 and HAC errors; the constant is partialled out."""
+    return f"""m AS (SELECT {g} AS g, t, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, y - avg(y) OVER w AS y, count(*) OVER w AS n FROM ({source}) WINDOW w AS (PARTITION BY {g})),
+q AS (SELECT g, any_value(n) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS "by" FROM m GROUP BY g),
+c AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * "by") / (aa * bb - ab * ab) AS ca, (aa * "by" - ab * ay) / (aa * bb - ab * ab) AS cb, least(floor(4 * pow(n / 100.0, 2 / 9.0)), n - 1) AS width FROM q),
+s AS (SELECT m.g, t, a * (y - ca * a - cb * b) AS sa, b * (y - ca * a - cb * b) AS sb FROM m JOIN c USING (g)),
+ds AS (SELECT g, t, sum(sa) AS sa, sum(sb) AS sb FROM s GROUP BY g, t),
+pair AS (SELECT p.g, p.sa AS pa, p.sb AS pb, q.sa AS qa, q.sb AS qb, 1 - (q.t - p.t) / (width + 1) AS w FROM ds p JOIN c USING (g) JOIN ds q ON p.g = q.g AND q.t > p.t AND q.t - p.t <= width),
+meat AS (SELECT g, 'hc1' AS kind, sum(sa * sa) AS maa, sum(sa * sb) AS mab, sum(sb * sb) AS mbb FROM s GROUP BY g
+  UNION ALL SELECT g, 'hac', sum(aa), sum(ab), sum(bb) FROM (SELECT g, sa * sa AS aa, sa * sb AS ab, sb * sb AS bb FROM ds UNION ALL SELECT g, 2 * w * pa * qa, w * (pa * qb + pb * qa), 2 * w * pb * qb FROM pair) GROUP BY g),
+f AS (SELECT g, kind, n, CASE WHEN kind = 'hac' THEN CAST(width AS BIGINT) END AS bandwidth, ca, cb, sqrt((bb * bb * maa - 2 * bb * ab * mab + ab * ab * mbb) / (det * det) * n / (n - 3)) AS ea, sqrt((ab * ab * maa - 2 * aa * ab * mab + aa * aa * mbb) / (det * det) * n / (n - 3)) AS eb FROM c JOIN meat USING (g))"""
+
+
+_ITEMS = "SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS t, l_returnflag, l_extendedprice / 1e4 AS y, l_quantity AS a, l_discount * 100 AS b FROM lineitem"
+for _name, _g, _shown in (("ols_lineitems", "1", ""), ("ols_lineitems_keyed", "l_returnflag", "g AS l_returnflag, ")):
+    put(
+        _name,
+        f"SELECT kind, {_shown}'a' AS term, round(ca, 8) + 0.0 AS coef, round(ea, 8) + 0.0 AS se, n, bandwidth FROM f UNION ALL SELECT kind, {_shown}'b', round(cb, 8) + 0.0, round(eb, 8) + 0.0, n, bandwidth FROM f",
+        _two_slopes(_ITEMS, _g),
+    )
 over_daily("ols_hc1_simple", "SELECT round(b, 6) + 0.0 AS coef, round(sqrt((SELECT sum(s * s) FROM s) * n / (n - 2)) / sxx, 6) + 0.0 AS se, n FROM b", _SCORES)
 over_daily(
     "ols_hac_simple",
