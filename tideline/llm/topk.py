@@ -75,7 +75,7 @@ class Block:
                 met[:] = True
             met &= ~seen
             seen |= met
-            new = np.flatnonzero(met)
+            new = np.flatnonzero(met & (self.rows != own))
             scores = vectors[new] @ q
             floor = found[k - 1][0] if len(found) >= k else least
             if floor is not None:
@@ -85,7 +85,7 @@ class Block:
                 kth = np.sort(scores)[len(scores) - k]
                 high = np.asarray(scores >= kth, bool)
                 new, scores = new[high], scores[high]
-            more = [(to_long(s), int(self.ids[i]), int(self.rows[i])) for s, i in zip(scores, new, strict=True) if self.rows[i] != own]
+            more = [(to_long(s), int(self.ids[i]), int(self.rows[i])) for s, i in zip(scores, new, strict=True)]
             if more:
                 found = sorted(found + more, key=lambda x: (-x[0], x[1], x[2]))[: max(k, 0)]
             if not len(used) or seen.all():
