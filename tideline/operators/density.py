@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import materialize
 from .days import meet
+from .treefit import key_json, with_keys
 
 NONE: Sequence[str] = ()
 MIN_BINS, MAX_BINS = 4, 60
@@ -125,24 +127,47 @@ HASH_SCALE = 1e6
 SEARCH_FROM, SEARCH_TO, SEARCH_STEPS, SEARCH_TOLERANCE = 1 / 64, 4, 40, 1e-4
 
 
-class SeededNormals:
-    """Normals from a congruential stream that the values seed in their order, so a sample always gives the same test."""
+def seed_of(data: np.ndarray) -> int:
+    """The congruential stream's first state, by the values in their order, so a sample always gives the same test."""
+    state = FNV_OFFSET
+    for scaled in np.floor(np.asarray(data, float) * HASH_SCALE + 0.5).tolist():
+        state = (state ^ (int(scaled) & 0xFFFFFFFF)) * FNV_PRIME & 0xFFFFFFFF
+    return state
 
-    def __init__(self, data: np.ndarray):
-        state = FNV_OFFSET
-        for scaled in np.floor(np.asarray(data, float) * HASH_SCALE + 0.5).tolist():
-            state = (state ^ (int(scaled) & 0xFFFFFFFF)) * FNV_PRIME & 0xFFFFFFFF
-        self.state, self.held = state, []
 
-    def uniform(self) -> float:
-        self.state = (self.state * LCG_TIMES + LCG_PLUS) & 0xFFFFFFFF
-        return self.state / 2**32
+def jump(state: int, steps: int) -> int:
+    """The state so many steps later: the step is composed with itself by squaring."""
+    times, plus, t, p = 1, 0, LCG_TIMES, LCG_PLUS
+    while steps:
+        if steps & 1:
+            times, plus = times * t & 0xFFFFFFFF, (plus * t + p) & 0xFFFFFFFF
+        t, p = t * t & 0xFFFFFFFF, (p * t + p) & 0xFFFFFFFF
+        steps >>= 1
+    return (state * times + plus) & 0xFFFFFFFF
 
-    def normal(self) -> float:
-        if not self.held:
-            length, turn = math.sqrt(-2 * math.log(max(LEAST_UNIFORM, self.uniform()))), 2 * math.pi * self.uniform()
-            self.held = [length * math.sin(turn), length * math.cos(turn)]
-        return self.held.pop()
+
+def uniforms(state: int, many: int) -> np.ndarray:
+    """The next draws after a state; what is known is doubled by a jump from each."""
+    out = np.array([(state * LCG_TIMES + LCG_PLUS) & 0xFFFFFFFF], np.uint64)
+    while len(out) < many:
+        times, plus = jump(1, len(out)) - jump(0, len(out)), jump(0, len(out))
+        out = np.concatenate([out, (out * np.uint64(times & 0xFFFFFFFF) + np.uint64(plus)) & np.uint64(0xFFFFFFFF)])
+    return out[:many] / 2.0**32
+
+
+def drawn(state: int, first: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index uniforms and normals of ``many`` draws from the one numbered ``first``.
+
+    Two draws take four uniforms: an index, the two of a pair of normals, and the
+    second one's index.
+    """
+    pairs = first // 2
+    u = uniforms(jump(state, 4 * pairs), 4 * ((first + many + 1) // 2 - pairs)).reshape(-1, 4)
+    length, turn = np.sqrt(-2 * np.log(np.maximum(LEAST_UNIFORM, u[:, 1]))), 2 * math.pi * u[:, 2]
+    index = u[:, [0, 3]].ravel()
+    normal = np.column_stack([length * np.cos(turn), length * np.sin(turn)]).ravel()
+    skip = first - 2 * pairs
+    return index[skip : skip + many], normal[skip : skip + many]
 
 
 @dataclass(frozen=True)
@@ -185,64 +210,88 @@ def _peaks(y: np.ndarray, floor: float = 1e-3) -> list[float]:
     return at[np.argsort(-flat[inner], kind="stable")].tolist()
 
 
-def modality_of(v: np.ndarray, replicates: int = 200, points: int = GRID) -> dict | None:
-    """Modes at the rule-of-thumb bandwidth and the smoothed-bootstrap p-value of there being one; None without spread.
+def modes_of(v: np.ndarray, points: int = GRID) -> dict | None:
+    """Modes at the rule-of-thumb bandwidth and the least bandwidth with one; None without spread.
 
-    ``v`` is in the order of its days, which the random stream and its draws depend on.
+    ``p`` is set where no bandwidth has a single mode, and left to the bootstrap
+    otherwise.
     """
     n, sd = len(v), float(np.std(v, ddof=1))
     iqr = float(np.subtract(*np.percentile(v, [75, 25])))
     h0 = 0.9 * min(sd, iqr / 1.34) * n**-0.2
     if not (h0 > 0 and sd > 0):
         return None
-    drawn = Grid.around(v, PAD * h0, points)
-    y = drawn.curve(v, h0)
+    around = Grid.around(v, PAD * h0, points)
+    y = around.curve(v, h0)
     top = _peaks(y)
-    out = {"modes": len(top), "antimode": None, "separation": None}
+    out = {"modes": len(top), "antimode": None, "separation": None, "p": None}
     if len(top) >= 2:
         left, right = sorted(top[:2])
         between = np.arange(math.floor(left) + 1, math.ceil(right))
         low = int(between[np.argmin(y[between])])
         shorter = min(y[math.floor(left)], y[math.floor(right)])
-        out |= {"antimode": drawn.g0 + low * drawn.step, "separation": 1 - y[low] / shorter}
+        out |= {"antimode": around.g0 + low * around.step, "separation": 1 - y[low] / shorter}
     wide = Grid.around(v, PAD * max(h0, sd), points)
     lo, hi = SEARCH_FROM * h0, SEARCH_TO * max(h0, sd)
     if wide.modes(v, hi) > 1:
         hi *= SEARCH_TO
         if wide.modes(v, hi) > 1:
-            return out | {"critical": hi, "p": 0.0, "replicates": 0}
+            return out | {"critical": hi, "p": 0.0}
     for _ in range(SEARCH_STEPS):
         if hi - lo <= SEARCH_TOLERANCE * h0:
             break
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if wide.modes(v, mid) > 1 else (lo, mid)
-    stream, mean, shrink = SeededNormals(v), float(v.mean()), 1 / math.sqrt(1 + hi * hi / (sd * sd))
-    values, exceed = v.tolist(), 0
-    for _ in range(replicates):
-        drawn_at = [(values[min(n - 1, int(stream.uniform() * n))], stream.normal()) for _ in range(n)]
-        picked, noise = np.array(drawn_at).T
-        exceed += wide.modes(mean + (picked - mean + hi * noise) * shrink, hi) > 1
-    return out | {"critical": hi, "p": (exceed + 1) / (replicates + 1), "replicates": replicates}
+    return out | {"critical": hi}
 
 
-def modality(df: DataFrame, x: str, min_n: int = 60, replicates: int = 200, points: int = GRID, keys: Sequence[str] = NONE, day: str = "d") -> DataFrame:
+def replicate_modes(v: np.ndarray, replicate: int, critical: float, state: int, points: int = GRID) -> int:
+    """Modes of the given replicate of the smoothed bootstrap, rescaled to the sample's variance, at the critical bandwidth."""
+    n, sd, mean = len(v), float(np.std(v, ddof=1)), float(v.mean())
+    iqr = float(np.subtract(*np.percentile(v, [75, 25])))
+    wide = Grid.around(v, PAD * max(0.9 * min(sd, iqr / 1.34) * n**-0.2, sd), points)
+    index, noise = drawn(state, replicate * n, n)
+    picked = v[np.minimum(n - 1, (index * n).astype(np.int64))]
+    shrink = 1 / math.sqrt(1 + critical * critical / (sd * sd))
+    return wide.modes(mean + (picked - mean + critical * noise) * shrink, critical)
+
+
+MODALITY = "ok boolean, n long, min_n long, missing long, modes long, antimode double, separation double, critical double, p double, replicates long"
+
+
+def modality(df: DataFrame, x: str, min_n: int = 60, replicates: int = 200, points: int = GRID, keys: Sequence[str] = NONE, day: str = "d", tasks: int | None = None) -> DataFrame:
     """The test for each entity: ``ok, n, min_n, missing, modes, antimode, separation, critical, p, replicates``.
 
-    The stream of random numbers is sequential and goes through the days in
-    order, so an entity is one group.  Values without spread are insufficient.
+    An entity's values, in the order of its days, are one array.  The random
+    stream is that of a single walk through all replicates; every replicate
+    draws a known number of times, so it jumps to its own first state, and
+    replicates are dealt over ``tasks`` (one each, where not given).  Values
+    without spread are insufficient.
     """
     v = S.finite(F.col(x))
-    rows = df.where(v.isNotNull()).select(*keys, F.col(day).alias("__at"), v.alias("v"))
-    names = list(keys)
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
-    empty = {"modes": None, "antimode": None, "separation": None, "critical": None, "p": None, "replicates": None}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        found = modality_of(pdf.sort_values("__at", kind="stable")["v"].to_numpy(), replicates, points) if n >= min_n else None
-        result = pd.DataFrame([{"ok": found is not None, "n": n, "min_n": min_n, "missing": max(0, min_n - n)} | (found or empty)])
-        for k in reversed(names):
-            result.insert(0, k, pdf[k].iloc[0])
-        return result
-
-    return rows.groupBy(*keys).applyInPandas(fit, f"{schema}ok boolean, n long, min_n long, missing long, modes long, antimode double, separation double, critical double, p double, replicates long")
+    rows = df.where(v.isNotNull()).select(key_json(keys).alias("key"), F.col(day).alias("at"), v.alias("v"))
+
+    def observe(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, values = len(pdf), pdf.sort_values("at", kind="stable")["v"].to_numpy()
+        found = modes_of(values, points) if n >= min_n else None
+        rest = found or dict.fromkeys(("modes", "antimode", "separation", "critical", "p"))
+        drawing = found is not None and found["p"] is None
+        return pd.DataFrame([{
+            "key": pdf["key"].iloc[0], "ok": found is not None, "n": n, "min_n": min_n, "missing": max(0, min_n - n), **rest, "state": seed_of(values) if drawing else None, "held": values if drawing else None,
+        }])
+
+    seen = materialize(rows.groupBy("key").applyInPandas(observe, "key string, ok boolean, n long, min_n long, missing long, modes long, antimode double, separation double, critical double, p double, state long, held array<double>"), "modality-seen")
+    todo = seen.where("state IS NOT NULL").select("key", "held", "state", "critical", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+
+    def redraw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            many = [replicate_modes(np.asarray(h, float), r, c, s, points) for h, r, c, s in zip(batch["held"], batch["replicate"], batch["critical"], batch["state"], strict=True)]
+            yield pd.DataFrame({"key": batch["key"], "modes": many})
+
+    again = todo.repartition(tasks or replicates, "key", "replicate").mapInPandas(redraw, "key string, modes long")
+    counts = again.groupBy("key").agg(F.count(F.when(F.col("modes") > 1, 1)).alias("exceed"), F.count(F.lit(1)).alias("done")).withColumnRenamed("key", "of")
+    p = F.coalesce("p", (F.col("exceed") + 1) / (F.lit(replicates) + 1))
+    out = seen.join(counts, F.col("key") == F.col("of"), "left").select(
+        "key", "ok", "n", "min_n", "missing", "modes", "antimode", "separation", "critical", F.when(F.col("ok"), p).alias("p"), F.when(F.col("ok"), F.coalesce("done", F.lit(0))).cast("long").alias("replicates")
+    )
+    return with_keys(out, keys, df)
