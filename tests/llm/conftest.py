@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 #: Texts that the operators must take: none, empty, white space, repeats, long ones, other scripts, special strings.
 TEXTS = [
@@ -11,6 +12,9 @@ TEXTS = [
     "\x00 \x1c \x85  ", "line\n" * 40,
 ]
 
+#: Names that operators give to columns of their own.
+CLASHING = ["__own", "__copy", "__id", "__of", "__text", "__passes", "__cut", "__sha", "__key", "norm", "tag", "keep", "n", "of", "node", "root", "row", "pairs", "key"]
+
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
@@ -19,7 +23,8 @@ def odd_docs(spark):
     rows += [(6, TEXTS[6], "en", "s0", 1, 2, "x", 0.5, None)] * 2
     rows += [(100 + i, "one two\x0bthree", "en", None, 1, 2, None, None, None) for i in range(3)]
     rows += [(None, "one two three", None, "s1", None, None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, hash long, sha string, score double, digest date").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, hash long, sha string, score double, digest date").repartition(3)
+    return df.withColumns({n: F.lit(f"own {n}") for n in CLASHING})
 
 
 @pytest.fixture(scope="session")

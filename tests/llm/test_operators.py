@@ -754,7 +754,7 @@ def test_extraction(spark):
 
 
 def test_registry_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES)
 
 
@@ -764,7 +764,8 @@ def test_sql(spark, sf, name):
 
     df = registry.QUERIES[name](spark, sf)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf}/{name_}.parquet'")
     cur = con.execute(registry.SQL[name])
     order = [[c[0] for c in cur.description].index(c) for c in df.columns]
     assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in order) for r in cur.fetchall())

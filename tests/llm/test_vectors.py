@@ -5,11 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
-from tideline.llm import registry, topk, vector_codes, vectors
+from tideline.llm import topk, vector_codes, vectors
 
 ROWS = "vec_id long, embedding array<float>, label int, row int, ints string, block date, score double, code string, n long"
 
@@ -127,14 +126,3 @@ def test_bounds_leave_out_entries_and_keep_the_nearest():
     wide = np.array([[1 << 62, 0], [-(1 << 62), 1], [3, 4]], np.int64)
     entry, distance, _ = vector_codes.nearest(wide, wide[::-1].copy())
     assert entry.tolist() == [2, 1, 0] and distance.tolist() == [0, 0, 0]
-
-
-@pytest.mark.parametrize("name", ["op11_exact_topk", "op12_vector_codes"])
-def test_queries_equal_sql(spark, sf, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    got = registry.QUERIES[name](spark, sf)
-    cur = con.execute(registry.SQL[name])
-    names = [c[0] for c in cur.description]
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())

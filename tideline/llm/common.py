@@ -17,7 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["LATIN_LETTERS", "SPACE", "BoundedCache", "classes_alike", "materialize", "plain_latin", "table", "whole_text"]
+__all__ = ["LATIN_LETTERS", "SPACE", "BoundedCache", "classes_alike", "free_name", "materialize", "plain_latin", "table", "whole_text"]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where the frame has a column of that name in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def whole_text(text_col: str = "text"):

@@ -11,12 +11,16 @@
    summed count are kept.  Blocks grow in proportion to the rows, and levels
    with the logarithm of the memtables.
 3. When ``FAN`` runs are left, the last compaction gives the hits, digests with
-   more than one row.  They receive byte verification: the rows under a hit are
-   regrouped by their whole normalised bytes, and only equal bytes stay together.
-
-A group of copies reaches the compaction as one entry for each memtable and the
-verification as one row for each task (partial aggregation), however many
-copies it has.
+   more than one row, their smallest identifier and their count.  They receive
+   byte verification: whole normalised texts are told apart under each hit.  A
+   hit of one text keeps what the index says; a hit of several, a collision, is
+   regrouped by its texts.
+
+A group of copies reaches the compaction as one entry for each memtable.  Rows
+under a hit are aggregated by their text.  Where the hits are few enough for a
+broadcast that happens in each task, before the shuffle; where they are more,
+the texts are first shuffled by digest, which splits a hot one only by Spark's
+own skew handling.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table, whole_text
+from .common import SPACE, free_name, materialize, table, whole_text
 
 MEMTABLE_ROWS = 1 << 17
 FAN = 16
@@ -88,7 +92,7 @@ def flush_runs(memtable_rows: int = MEMTABLE_ROWS):
     def run_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, flushed, memtable = TaskContext.get().partitionId() << 24, 0, {}
         for batch in batches:
-            for digest, doc_id in zip(batch["digest"], batch["doc_id"].fillna(NO_ID).astype("int64"), strict=True):
+            for digest, doc_id in zip(batch["digest"], batch["doc_id"], strict=True):
                 held = memtable.get(digest)
                 if held is None:
                     if len(memtable) >= memtable_rows:
@@ -177,7 +181,9 @@ def merge_index(keyed: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fan: int =
 
     ``levels``, where it is given, receives the number of blocks of each level.
     """
-    blocks = materialize(keyed.select("digest", "doc_id").mapInPandas(flush_runs(memtable_rows), BLOCK), "dedup-run-0")
+    # Whole numbers without nulls, which stay whole in a task.
+    named = keyed.select("digest", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"))
+    blocks = materialize(named.mapInPandas(flush_runs(memtable_rows), BLOCK), "dedup-run-0")
     runs, ranges, level = blocks.count(), 1, 0
     seen = [runs]
     while runs > fan:
@@ -202,33 +208,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     sha = F.sha2(F.col("norm"), 256)
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm")).withColumn("sha", sha).withColumn("digest", _index_key(F.col("sha"), digest_bytes))
-    keyed = materialize(whole.select("doc_id", "sha", "digest"), "dedup-digests")
+    # The tag tells rows of one id apart.
+    keyed = materialize(whole.select("doc_id", "sha", "digest", F.monotonically_increasing_id().alias("tag")), "dedup-digests")
     found = materialize(merge_index(keyed, memtable_rows), "dedup-hits")
     order = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    classes = (
-        whole.join(found.select("digest"), "digest", "left_semi")
-        .groupBy("norm", "sha")
-        .agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("n"))
-        .select("sha", "keep", "n")
-    )
-    verified = materialize(classes.where("n > 1"), "dedup-classes")
-    marked = keyed.select("doc_id", "sha").join(verified, "sha", "left").select(
-        "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.when(F.col("keep") != int(NO_ID), F.col("keep"))).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("sha").alias("text_sha256"),
-    )
+    under = whole.join(found.select("digest"), "digest", "left_semi").groupBy("digest", "norm", "sha").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("n"))
+    texts = materialize(under.drop("norm"), "dedup-texts")
+    collided = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
+    sure = found.join(collided, "digest", "left_anti").select(F.col("digest").alias("of"), F.col("keep_id").alias("keep"), F.col("group_size").alias("n"), F.col("n_least").alias("least"))
+    split = texts.join(collided, "digest", "left_semi").select(F.col("sha").alias("of_sha"), F.col("keep").alias("split_keep"), F.col("n").alias("split_n"))
+    beside = keyed.join(sure, F.col("digest") == F.col("of"), "left").join(split, F.col("sha") == F.col("of_sha"), "left")
+    keep, n = F.coalesce("keep", "split_keep"), F.coalesce("n", "split_n")
+    keep_id = F.when(n.isNull(), F.col("doc_id")).when(keep != int(NO_ID), keep)
+    marked = beside.select("doc_id", keep_id.alias("keep_id"), F.coalesce(n, F.lit(1)).cast("long").alias("group_size"), "sha", "tag", (F.coalesce("least", F.when(n.isNull(), 1).otherwise(2)) > 1).alias("tied"))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Several rows can share the smallest id; only for such groups are rows counted off.
-    repeated = found.where("n_least > 1").select(F.col("digest").alias("d"))
-    tied = keyed.join(repeated, keyed["digest"] == repeated["d"], "left_semi").select(F.col("sha").alias("tied_sha")).distinct()
-    if tied.isEmpty():
-        return marked.select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
-    both = marked.join(tied, F.col("text_sha256") == F.col("tied_sha"), "left").withColumn("first", first)
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "first").orderBy("doc_id"))
-    sure = both.where(F.col("tied_sha").isNull() | ~F.col("first")).select("doc_id", "keep_id", "group_size", F.col("first").alias("kept"), "text_sha256")
-    counted = both.where(F.col("tied_sha").isNotNull() & F.col("first")).select("doc_id", "keep_id", "group_size", (nth == 1).alias("kept"), "text_sha256")
-    return sure.unionByName(counted)
+    if found.where("n_least > 1").isEmpty() and collided.isEmpty():
+        return marked.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.col("sha").alias("text_sha256"))
+    # Several rows can share the smallest id; the first of them stays.
+    marked = materialize(marked, "dedup-tied")
+    chosen = marked.where(F.col("tied") & first).groupBy("sha").agg(F.min("tag").alias("first_tag")).withColumnRenamed("sha", "of")
+    kept = first & (~F.col("tied") | (F.col("tag") == F.col("first_tag")))
+    return marked.join(chosen, F.col("sha") == F.col("of"), "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -245,13 +245,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     gone = materialize(named(marked.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))), "dedup-gone")
     # Rows that repeat the id and text of the one that stays.
     repeats = materialize(named(marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))), "dedup-repeats")
-    hashed = docs.withColumn("__own", F.sha2(normalised(), 256))
-    same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["__id"]) & (hashed["__own"] == other["__sha"])
+    own = free_name(docs, "__own")
+    hashed = docs.withColumn(own, F.sha2(normalised(), 256))
+    same = lambda other: hashed["doc_id"].cast("long").eqNullSafe(other["__id"]) & (hashed[own] == other["__sha"])
     stay = hashed.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
     if repeats.isEmpty():
-        return stay.drop("__own")
-    once = hashed.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", "__own"])
-    return stay.join(repeats, same(repeats), "left_anti").unionByName(once).drop("__own")
+        return stay.drop(own)
+    once = hashed.join(repeats, same(repeats), "left_semi").dropDuplicates(["doc_id", own])
+    return stay.join(repeats, same(repeats), "left_anti").unionByName(once).drop(own)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table, whole_text
+from .common import SPACE, free_name, materialize, table, whole_text
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -123,11 +123,12 @@ def repeat_to_mix(docs: DataFrame, **settings) -> DataFrame:
     """
     sized = _sized(docs, "doc_id", "text", "source")
     cuts = materialize(thresholds(materialize(sized.drop("doc_id"), "mix-sizes"), **settings), "mix-cuts")
-    cuts = cuts.select(F.col("source").alias("__of"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    times = F.col("__passes") + F.when(doc_hash(docs["doc_id"], whole_text()) < F.col("__cut"), 1).otherwise(0)
+    of, passes, cut, copy = (free_name(docs, f"__{n}") for n in ("of", "passes", "cut", "copy"))
+    cuts = cuts.select(F.col("source").alias(of), F.col("passes").alias(passes), F.col("cut").alias(cut))
+    times = F.col(passes) + F.when(doc_hash(docs["doc_id"], whole_text()) < F.col(cut), 1).otherwise(0)
     return (
-        docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__of"]))
-        .withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+        docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts[of]))
+        .withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
         .select(*[docs[c] for c in docs.columns])
     )
 
