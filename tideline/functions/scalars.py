@@ -7,6 +7,8 @@ costs no shuffle.
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,35 +30,77 @@ def finite(c: Column) -> Column:
     return F.when(is_num(c), c.cast("double"))
 
 
+#: White space of a trimmed string: Unicode's, as Java's class leaves some out.
+_BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_CLOCK = r"(?:[ ,T]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM)?)?"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_WEEKDAY = r"^(?:(?:sun|mon|tue|wed|thu|fri|sat)[a-z]*,? +)?"
+
+
+def trimmed(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"^{_BLANKS}+|{_BLANKS}+$", "")
+
+
+def of_parts(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """The time that parts name; parts beyond their range count on, so 30 February is a day of March.  Years below 100 are those of the twentieth century."""
+    base = F.make_date(F.when(year < 100, year + 1900).otherwise(year), F.lit(1), F.lit(1))
+    return F.date_add(F.add_months(base, month - 1), day - 1).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, second)
+
+
 def parse_timestamp(raw: Column) -> Column:
-    """Local wall-clock time of an ISO-like prefix, a US date with an optional AM/PM, or a bare date; else null.
+    """Local wall-clock time of an ISO-like prefix, a US date with an optional AM/PM, a bare date, or a date with its month in words; else null.
 
     What follows the matched prefix (a zone, fractions) is ignored, and no time
     zone has a say in the times.
     """
-    t = F.trim(raw)
-    iso = F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}[ T]\d{1,2}:\d{2}(?::\d{2})?", 0)
-    us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4}),? +(\d{1,2}:\d{2}(?::\d{2})?)(?: *([AP]M))?.*$"
-    us_time = F.regexp_replace(t, us, "$3-$1-$2 $4").try_cast("timestamp_ntz")
-    half = F.upper(F.regexp_extract(t, us, 5))
-    shift = F.when((half == "PM") & (F.hour(us_time) < 12), 12).when((half == "AM") & (F.hour(us_time) == 12), -12).otherwise(0)
-    return (
-        F.when(iso != "", iso.try_cast("timestamp_ntz"))
-        .when(t.rlike(us), us_time + F.make_dt_interval(hours=shift))
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("timestamp_ntz"))
-    )
+    t = trimmed(raw)
+
+    def parts(pattern: str, *groups: int) -> tuple[Column, list[Column]]:
+        """Whether the text begins so, and its groups as numbers, 0 where one is empty."""
+        return t.rlike(pattern), [F.coalesce(F.regexp_extract(t, pattern, g).try_cast("int"), F.lit(0)) for g in groups]
+
+    def half_day(pattern: str, group: int, hour: Column) -> Column:
+        half = F.upper(F.regexp_extract(t, pattern, group))
+        return F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+
+    def month_in_words(pattern: str, group: int) -> Column:
+        return ((F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(t, pattern, group))) + 2) / 3).cast("int")
+
+    iso = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
+    us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4})[ ,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM)?"
+    bare = r"^(\d{4})-(\d{2})-(\d{2})$"
+    slashed = rf"(?i)^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){_CLOCK}$"
+    us_bare = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    month_first = rf"(?i){_WEEKDAY}{_MONTH} +(\d{{1,2}}),? +(\d{{4}}){_CLOCK}$"
+    day_first = rf"(?i){_WEEKDAY}(\d{{1,2}}) +{_MONTH},? +(\d{{4}}){_CLOCK}$"
+    is_iso, (y, m, d, h, mi, s) = parts(iso, 1, 2, 3, 4, 5, 6)
+    out = F.when(is_iso, of_parts(y, m, d, h, mi, s))
+    is_us, (m, d, y, h, mi, s) = parts(us, 1, 2, 3, 4, 5, 6)
+    out = out.when(is_us, of_parts(y, m, d, half_day(us, 7, h), mi, s))
+    is_bare, (y, m, d) = parts(bare, 1, 2, 3)
+    zero = F.lit(0)
+    out = out.when(is_bare, of_parts(y, m, d, zero, zero, zero))
+    is_slashed, (y, m, d, h, mi, s) = parts(slashed, 1, 2, 3, 4, 5, 6)
+    out = out.when(is_slashed & m.between(1, 12) & d.between(1, 31), of_parts(y, m, d, half_day(slashed, 7, h), mi, s))
+    is_day, (m, d, y) = parts(us_bare, 1, 2, 3)
+    out = out.when(is_day & m.between(1, 12) & d.between(1, 31), of_parts(y, m, d, zero, zero, zero))
+    is_first, (d, y, h, mi, s) = parts(month_first, 2, 3, 4, 5, 6)
+    out = out.when(is_first & d.between(1, 31), of_parts(y, month_in_words(month_first, 1), d, half_day(month_first, 7, h), mi, s))
+    is_later, (d, y, h, mi, s) = parts(day_first, 1, 3, 4, 5, 6)
+    return out.when(is_later & d.between(1, 31), of_parts(y, month_in_words(day_first, 2), d, half_day(day_first, 7, h), mi, s))
 
 
 def parse_number(raw: Column) -> Column:
     """The number left of everything but digits, points and minus signs.
 
-    Null for null, blank, ``-`` and ``n/a``; letters alone leave nothing, which
+    Null for null, blank, ``-``, ``n/a`` and ``na``; letters alone leave nothing, which
     counts as zero.
     """
-    t = F.trim(raw)
+    t = trimmed(raw)
     left = F.regexp_replace(t, "[^0-9.-]", "")
-    value = F.when(left == "", F.lit(0.0)).otherwise(left.try_cast("double"))
-    return F.when(t.isNull() | (t == "") | (t == "-") | (F.lower(t) == "n/a"), F.lit(None).cast("double")).otherwise(value)
+    value = F.when(left == "", F.lit(0.0)).otherwise(finite(left.try_cast("double")))
+    return F.when(t.isNull() | t.isin("", "-") | t.rlike("(?i)^n/?a$"), F.lit(None).cast("double")).otherwise(value)
 
 
 def parse_boolean(raw: Column) -> Column:
@@ -115,12 +159,20 @@ def shorten_question(q: Column, most: int = 34) -> Column:
     return F.when(F.length(bare) > most, F.concat(F.rtrim(F.substring(bare, 1, most - 1)), F.lit("…"))).otherwise(bare)
 
 
+@lru_cache(maxsize=1)
+def _folded() -> tuple[str, str]:
+    """The characters that decompose to a letter or digit of ASCII and marks, and what folding leaves of each."""
+    pairs = {}
+    for c in map(chr, range(0xA0, 0x20000)):
+        plain = [x for x in unicodedata.normalize("NFD", c) if x.isascii() and x.isalnum()]
+        if plain and not c.isascii():
+            pairs[c] = plain[0]
+    return "".join(pairs), "".join(pairs.values())
+
+
 def normalize_text(c: Column) -> Column:
-    """Accents folded, lower case, letters and digits only."""
-    # The precomposed Latin letters of the languages read, and what folding leaves of them.
-    accented = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŸ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
-    return F.regexp_replace(F.lower(F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), accented, plain)), "[^a-z0-9]", "")
+    """Accents folded, lower case, letters and digits only; marks that stand alone go with all else."""
+    return F.regexp_replace(F.lower(F.translate(c, *_folded())), "[^a-z0-9]", "")
 
 
 def recovery_band(v: Column) -> Column:

@@ -36,6 +36,22 @@ def clock_sessions(sessions: DataFrame) -> DataFrame:
     return good.groupBy("activity").agg(F.count(F.lit(1)).alias("sessions"), F.sum("strain").alias("strain"), F.max("strain").alias("max_strain")).orderBy(F.desc("strain"), "activity")
 
 
+def session_list(sessions: DataFrame, day: str = "d") -> DataFrame:
+    """Every session with a start and strain at its minute of the day: ``day, minute_of_day, strain, activity``, and ``duration`` where there is one."""
+    good = sessions.where(F.col("ts").isNotNull() & S.is_num(F.col("strain")))
+    more = ["duration"] if "duration" in sessions.columns else []
+    return good.select(F.col(day).alias("day"), S.minute_of_day(F.col("ts")).cast("long").alias("minute_of_day"), F.col("strain").cast("double").alias("strain"), *more, "activity")
+
+
+def circadian_clock(days: DataFrame, sessions: DataFrame, bed: str = "bedtime", wake: str = "wakeTime", recovery: str = "recovery", min_n: int = 21) -> DataFrame:
+    """``sleep_window`` beside the mean recovery of all days, the heaviest session and the number of sessions; those only where there are enough nights."""
+    window = sleep_window(days, bed, wake, min_n)
+    mean = days.agg(F.avg(S.finite(F.col(recovery))).alias("mean_recovery"))
+    top = session_list(sessions.withColumn("d", F.to_date("ts"))).agg(F.coalesce(F.max("strain"), F.lit(0.0)).alias("max_strain"), F.count(F.lit(1)).alias("sessions"))
+    both = window.join(F.broadcast(mean)).join(F.broadcast(top))  # one row each
+    return both.select(*window.columns, *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("mean_recovery", "max_strain", "sessions")])
+
+
 def clock_hours(rows: DataFrame, minute: str, value: str, min_n: int = 5) -> DataFrame:
     """``hour, mean, n`` of a value by hour of the day, the mean null where an hour has too few."""
     hour = F.floor(S.clock_wrap(F.col(minute)) / 60).cast("long")

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", order: str = "id", family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """``q``, ``rank`` and ``sig`` beside each test of a family; null p-values pass through and don't count.
 
     The m-th over j-th multiple of a p-value, then the running minimum from the
     largest p-value down.  Tests of one family share a window partition.
+    ``tests`` is read once and kept.
     """
+    tests = materialize(tests, "tests")
     known = tests.where(F.col(p).isNotNull())
     up = Window.partitionBy(*family).orderBy(p, order)
     down = Window.partitionBy(*family).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -40,9 +44,10 @@ def benjamini_hochberg_ranged(tests: DataFrame, p: str = "p", order: str = "id",
     Rows are cut into ``ranges`` (as many as shuffle partitions) by family, p and
     order at bounds from a sample by hash.  Ranks within a range take the counts
     of the ranges before it, and its running minimum that of the ranges after it,
-    from one narrow row for each family and range.  ``tests`` is read several
-    times and must give the same rows.
+    from one narrow row for each family and range.  ``tests`` is read once and
+    kept with its ranges.
     """
+    tests = materialize(tests, "tests")
     n = ranges or max(2, int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = 32
     names = [*family, "__range"]
@@ -51,6 +56,7 @@ def benjamini_hochberg_ranged(tests: DataFrame, p: str = "p", order: str = "id",
     sample = known.select(at.alias("at")).orderBy(F.xxhash64("at")).limit(every * n)
     bounds = sample.agg(F.sort_array(F.collect_list("at")).alias("all")).select(F.filter("all", lambda x, i: i % every == every - 1).alias("__bounds"))
     cut = known.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= at))).drop("__bounds")
+    cut = materialize(cut, "tests-ranges")
     whole = Window.partitionBy(*family)
     before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))

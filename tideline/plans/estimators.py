@@ -11,13 +11,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions import student
 from ..operators import breaks, density, layout, regression
-from ..operators.days import build_days
-from ..sources import exports, headers, scratch
+from ..operators.days import build_days, rolling_mean
+from ..sources import exports, scratch
 from ..sources.anonymise import anonymise
-from ..sources.bindings import daily, journal, sessions, table
-from ..sources.demo import demo_export
+from ..sources.bindings import daily, event_export, journal, sessions, table
 from . import explorer, metrics
 from .queries import r
 
@@ -35,12 +33,6 @@ def _scaled(spark, sf):
     return d.withColumn("twice", 2 * F.col("x"))
 
 
-@query
-def q_student_t_p(spark, sf):
-    cases = spark.sql("SELECT * FROM VALUES (0.0D, 5.0D), (1.0D, 10.0D), (2.0D, 30.0D), (2.5D, 100.0D), (12.0D, 3.0D) AS c(t, df)")
-    return cases.select("t", "df", r(student.t_test(F.col("t"), F.col("df")), 10, "p"))
-
-
 @query
 def q_ols_full(spark, sf):
     d, dow = regression.weekday_dummies(_scaled(spark, sf))
@@ -131,29 +123,24 @@ def q_strain_distribution(spark, sf):
 
 
 @query
-def q_demo_source(spark, sf):
-    return demo_export(spark, 90).cycles.select("day", "recovery", "hrv", "strain", "asleep")
-
-
-@query
-def q_demo_days(spark, sf):
-    return build_days(demo_export(spark, 180)).select("day", "recovery", "hrvZ", "acwr", "recoveryNext", "strainPrev", "workoutMinutes", "workoutCount", "napMinutes", F.size("journal").alias("answers"))
-
-
-@query
-def q_demo_drivers(spark, sf):
-    return metrics.drivers(build_days(demo_export(spark, 240)))
+def q_regimes(spark, sf):
+    """Regimes of the four-week mean of shipments."""
+    d = _scaled(spark, sf).withColumn("x28", rolling_mean(F.col("x"), 28))
+    return metrics.regime_breaks(d, "x28", day="d")
 
 
 @query
-def q_regimes(spark, sf):
-    return metrics.regime_breaks(build_days(demo_export(spark, 240)))
+def q_regimes_by_entity(spark, sf):
+    """Regimes of the daily order value of each priority, with a step of its own."""
+    o = table(spark, sf, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("y"))
+    o = o.withColumn("y", F.col("y") + F.when(F.year("d") >= F.lit(1996) + F.substring("o_orderpriority", 1, 1).cast("int") % 4, 200_000).otherwise(0))
+    return metrics.regime_breaks(o, "y", day="d", keys=["o_orderpriority"])
 
 
 @query
 def q_anonymise(spark, sf):
-    out = anonymise(demo_export(spark, 120), ["alcohol", "magnesium"])
-    return out.cycles.select("day", "recovery", "hrv", "asleep", "sleepOnset")
+    """The latest purchases as cycles, with noise and moved days."""
+    return anonymise(event_export(spark, sf), ["signup", "error"]).cycles.select("day", "recovery", "strain", "asleep", "sleepOnset")
 
 
 @query
@@ -163,56 +150,6 @@ def q_pack_rows(spark, sf):
     return layout.pack_rows(items, ["user_id", "day"])
 
 
-# The header lines of the export format, with rows of our own.
-_CYCLES = """Cycle start time,Cycle end time,Cycle timezone,Recovery score %,Resting heart rate (bpm),Heart rate variability (ms),Day Strain,Sleep onset,Wake onset,Asleep duration (min),REM duration (min)
-2026-03-01 23:10:00,2026-03-02 23:00:00,UTC+01:00,71,50,80,12.4,2026-03-01 23:10:00,2026-03-02 07:00:00,432,90
-2026-03-02 23:00:00,2026-03-03 22:50:00,UTC+01:00,48,55,61,9.1,2026-03-02 23:00:00,2026-03-03 06:30:00,400,80
-"""
-_SLEEPS = """Cycle start time,Sleep onset,Wake onset,Sleep performance %,Asleep duration (min),Nap
-2026-03-02 23:00:00,2026-03-03 14:00:00,2026-03-03 14:40:00,,35,true
-2026-03-03 23:00:00,2026-03-03 23:05:00,2026-03-04 06:30:00,88,410,false
-"""
-_WORKOUTS = """Cycle start time,Workout start time,Duration (min),Activity name,Activity Strain,HR Zone 1 %,HR Zone 2 %
-2026-03-01 23:10:00,2026-03-02 18:00:00,85,Tennis,11.2,40,60
-"""
-_JOURNAL = '''Cycle start time,Texto de la pregunta,"Respondió ""Sí""",Notas
-2026-03-01 23:10:00,¿Alcohol?,false,
-2026-03-02 23:00:00,¿Alcohol?,true,"late, two glasses"
-'''
-
-
-def _inline(spark, name, text):
-    return exports.ingest_text(spark, name, text, exports.empty_export(spark))[0]
-
-
-@query
-def q_ingest_cycles(spark, sf):
-    return _inline(spark, "physiological_cycles.csv", _CYCLES).cycles
-
-
-@query
-def q_ingest_sleeps(spark, sf):
-    return _inline(spark, "sleeps.csv", _SLEEPS).sleeps
-
-
-@query
-def q_ingest_workouts(spark, sf):
-    return _inline(spark, "workouts.csv", _WORKOUTS).workouts
-
-
-@query
-def q_ingest_journal(spark, sf):
-    return _inline(spark, "journal_entries.csv", _JOURNAL).journal
-
-
-@query
-def q_inline_days(spark, sf):
-    into = exports.empty_export(spark)
-    for name, text in (("physiological_cycles.csv", _CYCLES), ("sleeps.csv", _SLEEPS), ("workouts.csv", _WORKOUTS), ("journal_entries.csv", _JOURNAL)):
-        into, _ = exports.ingest_text(spark, name, text, into)
-    return build_days(into).select("day", "recovery", "sleepHours", "asleep", "napMinutes", "workoutMinutes", "workoutCount", "recoveryNext", "strainPrev", F.map_values("journal").alias("answers"))
-
-
 def _written(df, label):
     """A CSV folder of a table of strings, every value in quotes and quotes doubled, as exports have them."""
     path = scratch.new_path(df.sparkSession, label)
@@ -271,12 +208,36 @@ def q_src_zip_csv(spark, sf):
 
 @query
 def q_tsv(spark, sf):
-    """The demo panel through the TSV sink and back."""
+    """The events' day panel through the TSV sink and back."""
     path = scratch.new_path(spark, "tsv")
-    exports.write_tsv(build_days(demo_export(spark, 60)), path)
+    exports.write_tsv(build_days(event_export(spark, sf), ["user_id"]), path)
     return spark.read.option("sep", "\t").option("header", True).csv(path)
 
 
+@query
+def q_csv_workouts(spark, sf):
+    """Events as a workout file, written and read through Spark."""
+    e = sessions(spark, sf)
+    text = e.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Cycle start time"), F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(1)), "yyyy-MM-dd HH:mm:ss").alias("Workout start time"), (F.col("id") % 90).cast("string").alias("Duration (min)"),
+        F.when(F.col("id") % 5 != 0, F.concat(F.lit(" "), F.col("activity"))).otherwise("").alias("Activity name"), F.col("id").cast("string").alias("Max HR (bpm)"), F.lit("40").alias("HR Zone 1 %"), F.lit("n/a").alias("HR Zone 2 %"),
+    )
+    into, _ = exports.ingest_csv(spark, _written(text, "workouts"), exports.empty_export(spark))
+    return into.workouts.select("day", "start", "duration", "activity", "maxHr", F.get("zones", F.lit(0)).alias("zone1"), F.get("zones", F.lit(1)).alias("zone2"))
+
+
+@query
+def q_csv_sleeps(spark, sf):
+    """Events as a file of nights and naps."""
+    e = sessions(spark, sf)
+    text = e.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Cycle start time"), F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(8)), "yyyy-MM-dd HH:mm:ss").alias("Wake onset"), F.concat(F.col("id").cast("string"), F.lit(" min")).alias("Asleep duration (min)"),
+        F.when(F.col("id") % 3 == 0, "TRUE").otherwise("false").alias("Nap"),
+    )
+    into, _ = exports.ingest_csv(spark, _written(text, "sleeps"), exports.empty_export(spark))
+    return into.sleeps.select("day", "wakeOnset", "asleep", "isNap")
+
+
 @query
 def q_tree_qr(spark, sf):
     """The triangle of all line items' columns by a tree of local factorisations, made positive on its diagonal."""
@@ -287,12 +248,3 @@ def q_tree_qr(spark, sf):
     return spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", r("v", 4))
 
 
-@query
-def q_header_map(spark, sf):
-    """What each header of the inline files is read as, and the kind of its file."""
-    rows = []
-    for name, text in (("physiological_cycles.csv", _CYCLES), ("sleeps.csv", _SLEEPS), ("workouts.csv", _WORKOUTS), ("journal_entries.csv", _JOURNAL)):
-        heads = next(csv.reader([text.split("\n", 1)[0]]))
-        by = {h: f for f, h in headers.map_headers(heads).items()}
-        rows += [(name, headers.detect_kind(name, heads), h, by.get(h)) for h in heads]
-    return spark.createDataFrame(rows, "file string, kind string, header string, field string")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
-from ..operators import regression
+from ..functions import scalars as S
+from ..operators import density, regression
 from ..operators.days import lagged
 from ..operators.multiplicity import bh_values
 from ..operators.treefit import fit_models
@@ -81,22 +82,40 @@ LEDGER = "spec string, term string, p double"
 FITTED = "ok boolean, n long, min_n long, missing long, k long, r2 double, density double, dropped array<string>, term string, role string, coef double, se double, t double, p double, ci_low double, ci_high double, q double, family_specs long, family_tests long"
 
 
-def run_specification(days: DataFrame, spec: Specification, ledger: list[tuple[str, str, float]] = (), day: str = "day") -> DataFrame:
-    """A HAC fit with the q-values of its regressors within all tests of the ledger: rows of ``FITTED``.
-
-    The least number of rows counts the columns asked for, before any drops out.
-    """
-    s = spec.normalized()
+def design_of(days: DataFrame, s: Specification, day: str) -> tuple[DataFrame, dict[Term, str], list[str], list[list[str]]]:
+    """The days with ``__y`` and the columns of a normalised model; the columns of its terms, all columns, and the groups of fixed effects."""
     name = {t: f"{t.field}_lag{t.lag}" for t in (*s.regressors, *s.controls)}
     d = days.withColumns({n: lagged(F.col(t.field), t.lag, SCALES.get(t.field, 1.0), (), day) for t, n in name.items()} | {"__y": lagged(F.col(s.dependent), 0, SCALES.get(s.dependent, 1.0), (), day)})
-    fixed: list[str] = []
     effects: list[list[str]] = []
     for wanted, make_dummies in ((s.weekday_effects, regression.weekday_dummies), (s.month_effects, regression.month_dummies)):
         if wanted:
             d, names = make_dummies(d, day)
-            fixed += names
             effects.append(names)
-    columns = [*name.values(), *fixed]
+    return d, name, [*name.values(), *[n for group in effects for n in group]], effects
+
+
+def scatter(days: DataFrame, spec: Specification, day: str = "day", least_share: float = 0.1) -> DataFrame:
+    """The first regressor against the dependent over exactly the rows that the model uses, and the gaps of that regressor: ``kind, x, x_high, y, share``."""
+    s = spec.normalized()
+    d, name, columns, _ = design_of(days, s, day)
+    whole = F.lit(True)
+    for c in ("__y", *columns):
+        whole = whole & S.is_num(F.col(c))
+    points = d.where(whole).select(F.col(name[s.regressors[0]]).cast("double").alias("x"), F.col("__y").cast("double").alias("y"))
+    none = F.lit(None).cast("double")
+    gaps = density.support_gaps(points, "x", least_share)
+    return points.select(F.lit("point").alias("kind"), "x", none.alias("x_high"), "y", none.alias("share")).unionByName(
+        gaps.select(F.lit("gap").alias("kind"), F.col("lo").alias("x"), F.col("hi").alias("x_high"), none.alias("y"), "share")
+    )
+
+
+def run_specification(days: DataFrame, spec: Specification, ledger: list[tuple[str, str, float]] = (), day: str = "day") -> DataFrame:
+    """A HAC fit with the q-values of its regressors within all tests of the ledger: rows of ``FITTED``.
+
+    The least number of rows counts the columns asked for, before any drops out.
+    """
+    s = spec.normalized()
+    d, name, columns, effects = design_of(days, s, day)
     roles = {name[t]: "regressor" for t in s.regressors} | {name[t]: "control" for t in s.controls}
     key, history = s.key(), [x for x in ledger if x[0] != s.key()]
 

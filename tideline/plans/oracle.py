@@ -138,12 +138,6 @@ over_daily(
 WHERE without_n > current_n ORDER BY without_n DESC, i LIMIT 1""",
     SPARSE,
 )
-put(
-    "switch_on",
-    """SELECT CAST(id AS INTEGER) AS id, kind, CASE WHEN kind = 'date' THEN CAST(today + CAST(missing AS INTEGER) AS DATE) END AS d FROM (
-  SELECT *, CASE WHEN size <> 0 AND size < min_n THEN 'range' WHEN total >= size THEN 'window' ELSE 'date' END AS kind
-  FROM (VALUES (1, 20, 150, 90, 200, DATE '2024-01-10'), (2, 20, 60, 90, 200, DATE '2024-01-10'), (3, 5, 60, 90, 40, DATE '2024-02-27'), (4, 7, 30, 0, 23, DATE '2023-12-28')) t(id, missing, min_n, size, total, today))""",
-)
 over_daily("best_worst_day", "(SELECT 'best' AS kind, d, round(y, 4) + 0.0 AS y FROM daily WHERE y IS NOT NULL ORDER BY daily.y DESC, d LIMIT 1) UNION ALL (SELECT 'worst', d, round(y, 4) + 0.0 FROM daily WHERE y IS NOT NULL ORDER BY daily.y, d LIMIT 1)")
 over_daily("best_worst_weekday", "SELECT arg_max(w, m) AS best, arg_min(w, m) AS worst FROM (SELECT CAST(dayofweek(d) AS BIGINT) AS w, avg(y) AS m FROM daily GROUP BY 1) HAVING count(*) = 7")
 over_daily("band_share", "SELECT round(100.0 * count(*) FILTER (disc * 1000 >= 53) / count(disc), 6) + 0.0 AS high_share, round(100.0 * count(*) FILTER (disc * 1000 < 47) / count(disc), 6) + 0.0 AS low_share FROM daily")
@@ -155,8 +149,6 @@ over_daily(
 )
 put("topk", "SELECT o_custkey, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 14")
 over_daily("extent", "SELECT round(min(y), 4) + 0.0 AS y_min, round(max(y), 4) + 0.0 AS y_max, round(min(x), 4) + 0.0 AS x_min, round(max(x), 4) + 0.0 AS x_max FROM daily")
-put("parse_timestamp", "SELECT id, CASE id % 5 WHEN 3 THEN date_trunc('day', ts) WHEN 4 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM e", SESSIONS)
-put("parse_number", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(trunc(o_totalprice) AS DOUBLE) WHEN 1 THEN CAST('-' || CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) || '5' AS DOUBLE) WHEN 4 THEN 0.0 END AS parsed FROM orders")
 put("parse_boolean", "SELECT o_orderkey, o_orderkey % 7 IN (0, 2, 3, 4) AS parsed FROM orders")
 put(
     "cycle_day",
@@ -193,7 +185,6 @@ put(
     """SELECT doc_id, CASE WHEN length(b) > 34 THEN rtrim(substr(b, 1, 33), ' ') || '…' ELSE b END AS out FROM (
   SELECT doc_id, regexp_replace(regexp_replace(text, '^(?i:Have you|Did you|Do you|Have|Did)\\s+', ''), '\\?$', '') AS b FROM documents)""",
 )
-put("normalize_text", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS out FROM documents")
 put(
     "fmt_numbers",
     "SELECT o_orderkey, format('{:,}', v) AS whole, CASE WHEN v > 500 THEN '+' ELSE '' END || format('{:,}', v - 500) || ' ms' AS signed, format('{:,}', v) || ' %' AS unit FROM (SELECT o_orderkey, CAST(o_orderkey * 37 % 100000 AS BIGINT) AS v FROM orders)",
@@ -319,13 +310,14 @@ over_daily(
 )
 
 
+# At the highest frequency whole days have no sine: the quotient of its two sums is rounding noise, and counts as zero.
 def _periodogram(series: str) -> tuple[str, ...]:
     return (
         f"obs AS ({series})",
         "sp AS (SELECT series, count(*) AS n, avg(v) AS m, var_samp(v) AS var, max(t) - min(t) AS span FROM obs GROUP BY series)",
         "gr AS (SELECT series, n, m, var, k, 2 * pi() * (2 / span + k * (1 / (span * 5))) AS w FROM (SELECT *, unnest(range(CAST(floor((0.5 + 1e-12 - 2 / span) / (1 / (span * 5))) AS BIGINT) + 1)) AS k FROM sp))",
         "ph AS (SELECT g.series, k, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / 2 AS tau FROM gr g JOIN obs o ON g.series = o.series GROUP BY g.series, k)",
-        """pw AS (SELECT g.series, g.k, g.n, 2 * pi() / any_value(g.w) AS period, (pow(sum((v - m) * cos(w * t - tau)), 2) / sum(pow(cos(w * t - tau), 2)) + pow(sum((v - m) * sin(w * t - tau)), 2) / sum(pow(sin(w * t - tau), 2))) / (2 * any_value(var)) AS power
+        """pw AS (SELECT g.series, g.k, g.n, 2 * pi() / any_value(g.w) AS period, (pow(sum((v - m) * cos(w * t - tau)), 2) / sum(pow(cos(w * t - tau), 2)) + CASE WHEN sum(pow(sin(w * t - tau), 2)) > 1e-12 * count(*) THEN pow(sum((v - m) * sin(w * t - tau)), 2) / sum(pow(sin(w * t - tau), 2)) ELSE 0 END) / (2 * any_value(var)) AS power
   FROM gr g JOIN ph ON g.series = ph.series AND g.k = ph.k JOIN obs o ON g.series = o.series GROUP BY g.series, g.k, g.n)""",
         "fa AS (SELECT *, greatest(1, round(-6.362 + 1.193 * n + 0.00098 * n * n)) AS mi FROM pw)",
         "ls AS (SELECT *, CASE WHEN exp(-power) < 1e-8 THEN mi * exp(-power) ELSE 1 - pow(1 - exp(-power), mi) END AS fap FROM fa)",
@@ -388,12 +380,6 @@ def t_p(t: str, df: str, rows: str) -> str:
   FROM (SELECT id, df, abs(t) / {n} AS h, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c, unnest(range({n + 1})) AS k FROM (SELECT id, {t} AS t, CAST({df} AS DOUBLE) AS df FROM {rows})) GROUP BY id)"""
 
 
-put(
-    "student_t_p",
-    "SELECT c.t, c.df, round(p, 10) + 0.0 AS p FROM c JOIN tp USING (id)",
-    "c AS (SELECT * FROM (VALUES (1, 0.0::DOUBLE, 5.0::DOUBLE), (2, 1.0, 10.0), (3, 2.0, 30.0), (4, 2.5, 100.0), (5, 12.0, 3.0)) AS c(id, t, df))",
-    t_p("t", "df", "c"),
-)
 over_daily(
     "p_of_r",
     "SELECT id AS metric, n, round(r, 8) + 0.0 AS r, round(p, 8) + 0.0 AS p FROM rs JOIN tp USING (id)",
@@ -434,56 +420,69 @@ put(
     "c3b AS (SELECT *, sqrt(scc - r13 * r13 - r23 * r23) AS r33 FROM c3)",
     "c4 AS (SELECT *, (scd - r13 * r14 - r23 * r24) / r33 AS r34 FROM c3b)",
 )
-put(
-    "header_map",
-    """SELECT * FROM (VALUES
-  ('physiological_cycles.csv', 'cycles', 'Cycle start time', 'cycleStart'), ('physiological_cycles.csv', 'cycles', 'Cycle end time', 'cycleEnd'), ('physiological_cycles.csv', 'cycles', 'Cycle timezone', NULL),
-  ('physiological_cycles.csv', 'cycles', 'Recovery score %', 'recovery'), ('physiological_cycles.csv', 'cycles', 'Resting heart rate (bpm)', 'rhr'), ('physiological_cycles.csv', 'cycles', 'Heart rate variability (ms)', 'hrv'),
-  ('physiological_cycles.csv', 'cycles', 'Day Strain', 'strain'), ('physiological_cycles.csv', 'cycles', 'Sleep onset', 'sleepOnset'), ('physiological_cycles.csv', 'cycles', 'Wake onset', 'wakeOnset'),
-  ('physiological_cycles.csv', 'cycles', 'Asleep duration (min)', 'asleep'), ('physiological_cycles.csv', 'cycles', 'REM duration (min)', 'rem'),
-  ('sleeps.csv', 'sleeps', 'Cycle start time', 'cycleStart'), ('sleeps.csv', 'sleeps', 'Sleep onset', 'sleepOnset'), ('sleeps.csv', 'sleeps', 'Wake onset', 'wakeOnset'),
-  ('sleeps.csv', 'sleeps', 'Sleep performance %', 'sleepPerformance'), ('sleeps.csv', 'sleeps', 'Asleep duration (min)', 'asleep'), ('sleeps.csv', 'sleeps', 'Nap', 'nap'),
-  ('workouts.csv', 'workouts', 'Cycle start time', 'cycleStart'), ('workouts.csv', 'workouts', 'Workout start time', 'workoutStart'), ('workouts.csv', 'workouts', 'Duration (min)', 'duration'),
-  ('workouts.csv', 'workouts', 'Activity name', 'activity'), ('workouts.csv', 'workouts', 'Activity Strain', 'activityStrain'), ('workouts.csv', 'workouts', 'HR Zone 1 %', 'zone1'), ('workouts.csv', 'workouts', 'HR Zone 2 %', 'zone2'),
-  ('journal_entries.csv', 'journal', 'Cycle start time', 'cycleStart'), ('journal_entries.csv', 'journal', 'Texto de la pregunta', 'question'), ('journal_entries.csv', 'journal', 'Respondió "Sí"', 'answeredYes'), ('journal_entries.csv', 'journal', 'Notas', 'notes')
-) AS t(file, kind, header, field)""",
-)
-
 
-def _constants(rows: list[dict[str, str]], columns: str) -> str:
-    """Rows of hand-written answers; columns that a row doesn't name are null."""
-    parts = [c.strip().split(" ") for c in columns.split(",")]
-    return " UNION ALL ".join("SELECT " + ", ".join(f'CAST({row.get(n, "NULL")} AS {t}) AS "{n}"' for n, t in parts) for row in rows)
 
-
-_NIGHT = "sleepPerformance DOUBLE, respiratoryRate DOUBLE, asleep DOUBLE, inBed DOUBLE, light DOUBLE, deep DOUBLE, rem DOUBLE, awake DOUBLE, sleepNeed DOUBLE, sleepDebt DOUBLE, sleepEfficiency DOUBLE, sleepConsistency DOUBLE"
 put(
-    "ingest_cycles",
-    _constants(
-        [
-            {"day": "'2026-03-02'", "start": "'2026-03-01 23:10:00'", "end": "'2026-03-02 23:00:00'", "sleepOnset": "'2026-03-01 23:10:00'", "wakeOnset": "'2026-03-02 07:00:00'", "recovery": "71", "rhr": "50", "hrv": "80", "strain": "12.4", "asleep": "432", "rem": "90", "ord": "0"},
-            {"day": "'2026-03-03'", "start": "'2026-03-02 23:00:00'", "end": "'2026-03-03 22:50:00'", "sleepOnset": "'2026-03-02 23:00:00'", "wakeOnset": "'2026-03-03 06:30:00'", "recovery": "48", "rhr": "55", "hrv": "61", "strain": "9.1", "asleep": "400", "rem": "80", "ord": "1"},
-        ],
-        f"day DATE, start TIMESTAMP, end TIMESTAMP, sleepOnset TIMESTAMP, wakeOnset TIMESTAMP, recovery DOUBLE, rhr DOUBLE, hrv DOUBLE, skinTemp DOUBLE, spo2 DOUBLE, strain DOUBLE, calories DOUBLE, maxHr DOUBLE, avgHr DOUBLE, {_NIGHT}, ord BIGINT",
-    ),
+    "switch_on",
+    """SELECT o_orderkey, kind, CASE WHEN kind = 'date' THEN CAST(today + CAST(missing AS INTEGER) AS DATE) END AS d FROM (
+  SELECT *, CASE WHEN size <> 0 AND size < min_n THEN 'range' WHEN total >= size THEN 'window' ELSE 'date' END AS kind FROM (
+    SELECT o_orderkey, o_orderkey % 23 + 1 AS missing, CASE WHEN o_orderkey % 3 = 0 THEN 150 ELSE 30 END AS min_n, [0, 20, 60, 90][o_custkey % 4 + 1] AS size, o_orderkey % 200 AS total, CAST(o_orderdate AS DATE) AS today FROM orders))""",
+)
+# Parts beyond their range count on: the 30th of February is 29 days after its first, the 14th month is the second of the next year.
+put(
+    "parse_timestamp",
+    """SELECT id, CASE WHEN id % 11 IN (0, 1, 2) THEN date_trunc('second', ts) WHEN id % 11 IN (3, 9) THEN date_trunc('day', ts) WHEN id % 11 IN (6, 7) THEN date_trunc('minute', ts)
+  WHEN id % 11 = 5 THEN CAST(make_date(year(ts), 2, 1) AS TIMESTAMP) + to_minutes(29 * 1440 + minute) WHEN id % 11 = 8 THEN date_trunc('day', ts) + INTERVAL 26 HOUR + INTERVAL 1 MINUTE
+  WHEN id % 11 = 10 THEN CAST(make_date(year(ts) + 1, 2, 1) AS TIMESTAMP) + to_minutes(32 * 1440 + minute) END AS parsed FROM e""",
+    SESSIONS,
 )
 put(
-    "ingest_sleeps",
-    _constants(
-        [
-            {"day": "'2026-03-03'", "isNap": "true", "sleepOnset": "'2026-03-03 14:00:00'", "wakeOnset": "'2026-03-03 14:40:00'", "asleep": "35", "ord": "0"},
-            {"day": "'2026-03-04'", "isNap": "false", "sleepOnset": "'2026-03-03 23:05:00'", "wakeOnset": "'2026-03-04 06:30:00'", "sleepPerformance": "88", "asleep": "410", "ord": "1"},
-        ],
-        f"day DATE, isNap BOOLEAN, sleepOnset TIMESTAMP, wakeOnset TIMESTAMP, {_NIGHT}, ord BIGINT",
-    ),
+    "parse_number",
+    """SELECT o_orderkey, CASE o_orderkey % 11 WHEN 0 THEN CAST(c AS DOUBLE) WHEN 1 THEN CAST('-' || c || '5' AS DOUBLE) WHEN 4 THEN 0.0 WHEN 9 THEN CAST('0.' || c AS DOUBLE) END AS parsed
+  FROM (SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS c FROM orders)""",
 )
+put("normalize_text", "SELECT doc_id, regexp_replace(lower(strip_accents(text || CASE WHEN doc_id % 3 = 0 THEN ' Čeština ő ž Łódź Ångström Ṩ ½' ELSE '' END)), '[^a-z0-9]', '', 'g') AS out FROM documents")
 put(
-    "ingest_journal",
-    _constants(
-        [
-            {"day": "'2026-03-02'", "question": "'¿Alcohol?'", "yes": "false", "notes": "''", "ord": "0"},
-            {"day": "'2026-03-03'", "question": "'¿Alcohol?'", "yes": "true", "notes": "'late, two glasses'", "ord": "1"},
-        ],
-        "day DATE, question VARCHAR, yes BOOLEAN, notes VARCHAR, ord BIGINT",
-    ),
+    "student_t_p",
+    "SELECT o_orderkey, round(p, 8) + 0.0 AS p FROM st JOIN c USING (t, df) JOIN tp USING (id)",
+    "st AS (SELECT o_orderkey, (o_orderkey % 80) / 10.0::DOUBLE - 4 AS t, CAST(o_custkey % 25 + 1 AS DOUBLE) AS df FROM orders)",
+    "c AS (SELECT row_number() OVER () AS id, t, df FROM (SELECT DISTINCT t, df FROM st))",
+    t_p("t", "df", "c"),
+)
+_ORDER = "ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity"
+_LINES = "OVER (" + _ORDER + " ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+put(
+    "long_windows",
+    f"SELECT l_orderkey, l_linenumber, round(avg(l_quantity) {_LINES.format(6)}, 4) + 0.0 AS m7, round(avg(l_quantity) {_LINES.format(27)}, 4) + 0.0 AS m28, lead(l_quantity) OVER ({_ORDER}) AS after FROM lineitem",
+)
+_GAPS = """ga AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM pt),
+gp AS (SELECT lo, hi, (hi - lo) / (SELECT max(x) - min(x) FROM pt) AS share FROM ga WHERE hi - lo >= 0.02 * (SELECT max(x) - min(x) FROM pt))"""
+_POINTS = """SELECT 'point' AS kind, x, CAST(NULL AS DOUBLE) AS x_high, y, CAST(NULL AS DOUBLE) AS share FROM pt UNION ALL SELECT 'gap', lo, hi, NULL, share FROM gp"""
+_SHOWN = "kind, round(x, 4) + 0.0 AS x, round(x_high, 4) + 0.0 AS x_high, round(y, 4) + 0.0 AS y, round(share, 4) + 0.0 AS share"
+over_daily(
+    "dose_points",
+    f"SELECT n >= 60 AS ok, n, CAST(60 AS BIGINT) AS min_n, CAST(greatest(0, 60 - n) AS BIGINT) AS missing, {_SHOWN} FROM (SELECT count(*) AS n FROM pt) LEFT JOIN ({_POINTS}) ON n >= 60",
+    "pt AS (SELECT x, y FROM daily WHERE x IS NOT NULL AND y IS NOT NULL)",
+    _GAPS,
+)
+over_daily(
+    "explorer_scatter",
+    f"SELECT {_SHOWN} FROM ({_POINTS})",
+    "pt AS (SELECT x2 AS x, y FROM (SELECT *, lag(x, 2) OVER (ORDER BY d) AS x2 FROM daily) WHERE x2 IS NOT NULL AND y IS NOT NULL AND disc IS NOT NULL)",
+    _GAPS,
+)
+put(
+    "circadian_clock",
+    f"""SELECT n >= 21 AS ok, n, CAST(21 AS BIGINT) AS min_n, CAST(greatest(0, 21 - n) AS BIGINT) AS missing, round(b, 4) + 0.0 AS bed, round(w, 4) + 0.0 AS wake, round(w + 1440 - CASE WHEN b < 720 THEN b + 1440 ELSE b END, 4) + 0.0 AS window_minutes,
+  round(mr, 4) + 0.0 AS mean_recovery, round(ms, 4) + 0.0 AS max_strain, se AS sessions
+FROM (SELECT count(*) AS n, fmod(quantile_cont(CAST({_BED} AS DOUBLE), 0.5), 1440) AS b, fmod(quantile_cont(CAST(minute AS DOUBLE), 0.5), 1440) AS w, avg(strain) FILTER (id % 4 <> 0) AS mr, max(strain) AS ms, count(strain) AS se FROM e)""",
+    SESSIONS,
+)
+put("session_list", "SELECT d AS day, minute AS minute_of_day, round(strain, 4) + 0.0 AS strain, activity FROM e WHERE strain IS NOT NULL AND id % 7 <> 0", SESSIONS)
+put(
+    "csv_workouts",
+    """SELECT CAST(ts + INTERVAL 1 HOUR AS DATE) AS day, date_trunc('second', ts) + INTERVAL 1 HOUR AS "start", CAST(id % 90 AS DOUBLE) AS duration, CASE WHEN id % 5 <> 0 THEN activity ELSE 'Sin nombre' END AS activity, CAST(id AS DOUBLE) AS "maxHr",
+  CAST(40 AS DOUBLE) AS zone1, CAST(NULL AS DOUBLE) AS zone2 FROM e""",
+    SESSIONS,
 )
+put("csv_sleeps", """SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, date_trunc('second', ts) + INTERVAL 8 HOUR AS "wakeOnset", CAST(id AS DOUBLE) AS asleep, id % 3 = 0 AS "isNap" FROM e""", SESSIONS)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import student
-from ..operators import breaks, clock, days, density, regression, smooth, spectral, stats
+from ..operators import breaks, clock, days, density, ranges, regression, smooth, spectral, stats
 from ..operators.multiplicity import benjamini_hochberg_ranged
 from ..sources.bindings import daily, event_export, journal, order_days, sessions, ship_days, table
-from . import metrics
+from . import explorer, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,11 +273,13 @@ def q_binding_variable(spark, sf):
 
 @query
 def q_switch_on(spark, sf):
-    cases = spark.sql(
-        "SELECT * FROM VALUES (1, 20L, 150L, 90L, 200L, DATE'2024-01-10'), (2, 20L, 60L, 90L, 200L, DATE'2024-01-10'), (3, 5L, 60L, 90L, 40L, DATE'2024-02-27'), (4, 7L, 30L, 0L, 23L, DATE'2023-12-28') "
-        "AS t(id, missing, min_n, size, total, today)"
-    )
-    return stats.switch_on(cases).select("id", "kind", "d")
+    """Orders as models that lack rows: how many, for which window, on which day."""
+    k = F.col("o_orderkey")
+    cases = table(spark, sf, "orders").select(
+        k, (k % 23 + 1).alias("missing"), F.when(k % 3 == 0, 150).otherwise(30).cast("long").alias("min_n"), F.element_at(F.array(F.lit(0), F.lit(20), F.lit(60), F.lit(90)), (F.col("o_custkey") % 4 + 1).cast("int")).cast("long").alias("size"),
+        (k % 200).alias("total"), F.to_date("o_orderdate").alias("today"),
+    )
+    return stats.switch_on(cases).select("o_orderkey", "kind", "d")
 
 
 @query
@@ -320,19 +323,24 @@ def q_extent(spark, sf):
 
 @query
 def q_parse_timestamp(spark, sf):
-    e = sessions(spark, sf).withColumn("k", F.col("id") % 5)
-    raw = (
-        F.when(F.col("k") == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("k") == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
-        .when(F.col("k") == 2, F.date_format("ts", "M/d/yyyy h:mm:ss a")).when(F.col("k") == 3, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.lit("not a time"))
-    )
+    """Times in every form that is read, parts beyond their range among them."""
+    e = sessions(spark, sf).withColumn("k", F.col("id") % 11)
+    told = lambda pattern: F.date_format("ts", pattern)
+    forms = [
+        told("yyyy-MM-dd HH:mm:ss"), F.concat(told("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), told("M/d/yyyy h:mm:ss a"), told("yyyy-MM-dd"), F.lit("not a time"), F.concat(told("yyyy"), F.lit("-02-30 "), told("HH:mm")),
+        F.concat(told("M/d/yyyy"), F.lit(" ,, "), told("h:mm"), F.lower(told("a"))), told("MMMM d, yyyy HH:mm"), F.concat(told("yyyy-MM-dd"), F.lit(" 25:61")), F.concat(F.lit("\t"), told("EEE d MMM yyyy"), F.lit(" \n")), F.concat(F.lit("14/33/"), told("yyyy HH:mm")),
+    ]
+    raw = reduce(lambda held, x: F.when(F.col("k") == x[0], x[1]).otherwise(held), enumerate(forms), F.lit(None).cast("string"))
     return e.select("id", raw.alias("raw")).select("id", S.parse_timestamp(F.col("raw")).alias("parsed"))
 
 
 @query
 def q_parse_number(spark, sf):
-    k = F.col("o_orderkey") % 6
+    """Amounts with units, marks and blanks, and all that counts as missing."""
+    k = F.col("o_orderkey") % 11
     cents = F.col("o_totalprice").cast("long").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit(" "), cents, F.lit(" kg"))).when(k == 1, F.concat(F.lit("-"), cents, F.lit(",5"))).when(k == 2, "-").when(k == 3, "n/a").when(k == 4, "abc").otherwise("  ")
+    forms = [F.concat(F.lit(" "), cents, F.lit(" kg")), F.concat(F.lit("-"), cents, F.lit(",5")), F.lit("-"), F.lit("n/a"), F.lit("abc"), F.lit("  "), F.lit("NA"), F.lit("na "), F.concat(cents, F.lit(".5.5")), F.concat(F.lit("\t."), cents), F.concat(cents, F.lit("-"))]
+    raw = reduce(lambda held, x: F.when(k == x[0], x[1]).otherwise(held), enumerate(forms), F.lit(None).cast("string"))
     return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", S.parse_number(F.col("raw")).alias("parsed"))
 
 
@@ -406,7 +414,9 @@ def q_shorten_text_all(spark, sf):
 
 @query
 def q_normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.normalize_text(F.col("text")).alias("out"))
+    """Every text, some with letters of further languages behind it."""
+    more = F.when(F.col("doc_id") % 3 == 0, " Čeština ő ž Łódź Ångström Ṩ ½").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", S.normalize_text(F.concat("text", more)).alias("out"))
 
 
 @query
@@ -614,6 +624,56 @@ def q_monotony(spark, sf):
 
 @query
 def q_p_of_r(spark, sf):
-    """Correlation with its two-sided p-value, which needs Student's t and so has no SQL."""
+    """Correlation with its two-sided p-value."""
     d = stats.correlations(daily(spark, sf), {"x": ("x", "y"), "disc": ("disc", "y"), "n_orders": ("n_orders", "y")})
     return d.select("metric", "n", r("r", 8), r(student.t_test(stats.t_of_r(F.col("r"), F.col("n")), F.col("n") - 2), 8, "p"))
+
+
+@query
+def q_long_windows(spark, sf):
+    """Means over the last 7 and 28 of all line items in their order, as one entity."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "v"]
+    l = table(spark, sf, "lineitem").withColumn("v", F.col("l_quantity")).select(*order)
+    mean = lambda width: lambda frame: F.avg("v").over(frame(1 - width, 0))
+    out = ranges.over_rows(l, (), order, {"m7": mean(7), "m28": mean(28), "after": lambda frame: F.max("v").over(frame(1, 1))}, back=27, ahead=1)
+    return out.select("l_orderkey", "l_linenumber", r("m7"), r("m28"), "after")
+
+
+@query
+def q_dose_points(spark, sf):
+    return metrics.dose_points(daily(spark, sf), "x", "y", least_share=0.02).select("ok", "n", "min_n", "missing", "kind", r("x"), r("x_high"), r("y"), r("share"))
+
+
+@query
+def q_circadian_clock(spark, sf):
+    """Each event's clock as a night's and a session's."""
+    e = sessions(spark, sf)
+    minute = S.minute_of_day(F.col("ts"))
+    days = e.select(S.bedtime_minute(F.col("ts")).cast("double").alias("bedtime"), minute.cast("double").alias("wakeTime"), F.when(F.col("id") % 4 != 0, F.col("strain")).alias("recovery"))
+    return clock.circadian_clock(days, e).select("ok", "n", "min_n", "missing", *[r(c) for c in ("bed", "wake", "window_minutes", "mean_recovery", "max_strain")], "sessions")
+
+
+@query
+def q_session_list(spark, sf):
+    return clock.session_list(sessions(spark, sf).withColumn("strain", F.when(F.col("id") % 7 != 0, F.col("strain")))).select("day", "minute_of_day", r("strain"), "activity")
+
+
+@query
+def q_explorer_scatter(spark, sf):
+    """What the model's chart shows: the regressor of two days before against the outcome, on its complete rows."""
+    spec = explorer.Specification("y", (explorer.Term("x", 2),), (explorer.Term("disc", 0),), weekday_effects=True)
+    return explorer.scatter(daily(spark, sf), spec, "d", 0.02).select("kind", r("x"), r("x_high"), r("y"), r("share"))
+
+
+@query
+def q_rhythms_by_entity(spark, sf):
+    """The strongest rhythm of orders' values, and of their number, for each priority."""
+    o = table(spark, sf, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
+    return metrics.rhythms(o, ["y", "n"], day="d", keys=["o_orderpriority"]).select("o_orderpriority", "series", r("period"), r("power"), r("fap", 6), r("q", 6), "weekly")
+
+
+@query
+def q_student_t_p(spark, sf):
+    """Two-sided p of a statistic and its degrees of freedom, both from an order's keys."""
+    t, df = (F.col("o_orderkey") % 80) / 10 - 4, (F.col("o_custkey") % 25 + 1).cast("double")
+    return table(spark, sf, "orders").select("o_orderkey", r(student.t_test(t, df), 8, "p"))

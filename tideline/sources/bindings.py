@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.days import calendar_spine
 from .exports import SCHEMAS, Export
+from .scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each calendar day between the first and last order: ``d, y, n_orders, x, disc``.
 
     Facts are summed to days before anything is joined or windowed, so the spine
-    and the windows see a row a day however large the facts are.
+    and the windows see a row a day however large the facts are.  The panel is
+    kept, so each fact table is scanned once for whatever is made of it.
     """
-    return calendar_spine(order_days(spark, sf_dir), "d").withColumn("n_orders", F.coalesce("n_orders", F.lit(0))).join(ship_days(spark, sf_dir), "d", "left")
+    orders = materialize(order_days(spark, sf_dir), "order-days")
+    panel = calendar_spine(orders, "d").withColumn("n_orders", F.coalesce("n_orders", F.lit(0))).join(ship_days(spark, sf_dir), "d", "left")
+    return materialize(panel.coalesce(1), "daily")  # a row a day
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
