@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import breaks, days, ranges
+from tideline.operators import breaks, days, ranges, selection
 
 DAY0 = dt.date(2000, 1, 1)
 
@@ -137,3 +137,14 @@ def test_levels_equal_the_walk(spark, most):
     assert splits > 20
     alone = panel(spark, {None: series["e1"]})
     assert breaks.change_points(alone, "v", most=most).count() == max(1 if len([v for v in series["e1"] if v is not None]) < 30 else 0, sum(x["g"] == "e1" for x in got))
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(9)
+    groups = {"a": r.normal(size=500), "b": np.repeat([1.0, 2.0, 5.0], [50, 3, 20]), "one": np.array([4.0]), None: 10.0 ** r.uniform(-200, 200, 77), "flat": np.zeros(9)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", math.nan), ("a", None), ("none", math.inf)]
+    asked = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = selection.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(4), "v", asked, ["g"], buckets=16).collect()
+    assert len(got) == 5 * len(asked)
+    for x in got:
+        assert math.isclose(x["quantile"], float(np.quantile(groups[x["g"]], x["probability"])), rel_tol=1e-12) and x["n"] == len(groups[x["g"]])

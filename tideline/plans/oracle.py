@@ -486,3 +486,11 @@ put(
     SESSIONS,
 )
 put("csv_sleeps", """SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, date_trunc('second', ts) + INTERVAL 8 HOUR AS "wakeOnset", CAST(id AS DOUBLE) AS asleep, id % 3 = 0 AS "isNap" FROM e""", SESSIONS)
+put(
+    "exact_quantiles",
+    "SELECT l_suppkey, probability, round(q, 4) + 0.0 AS quantile, n FROM (SELECT l_suppkey, unnest([0.0, 0.25, 0.5, 0.9, 1.0]::DOUBLE[]) AS probability, unnest(quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.9, 1.0])) AS q, count(*) AS n FROM lineitem GROUP BY l_suppkey)",
+)
+put(
+    "exact_quantiles_all",
+    "SELECT probability, round(q, 4) + 0.0 AS quantile, n FROM (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS probability, unnest(quantile_cont(l_extendedprice, [0.25, 0.5, 0.75])) AS q, count(*) AS n FROM lineitem)",
+)

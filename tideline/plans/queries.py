@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import student
-from ..operators import breaks, clock, days, density, ranges, regression, smooth, spectral, stats
+from ..operators import breaks, clock, days, density, ranges, regression, selection, smooth, spectral, stats
 from ..operators.multiplicity import benjamini_hochberg_ranged
 from ..sources.bindings import daily, event_export, journal, order_days, sessions, ship_days, table
 from . import explorer, metrics
@@ -677,3 +677,15 @@ def q_student_t_p(spark, sf):
     """Two-sided p of a statistic and its degrees of freedom, both from an order's keys."""
     t, df = (F.col("o_orderkey") % 80) / 10 - 4, (F.col("o_custkey") % 25 + 1).cast("double")
     return table(spark, sf, "orders").select("o_orderkey", r(student.t_test(t, df), 8, "p"))
+
+
+@query
+def q_exact_quantiles(spark, sf):
+    """Quartiles and extremes of the prices of each supplier's items."""
+    return selection.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.0, 0.25, 0.5, 0.9, 1.0], ["l_suppkey"]).select("l_suppkey", "probability", r("quantile"), "n")
+
+
+@query
+def q_exact_quantiles_all(spark, sf):
+    """Quartiles of all items' prices."""
+    return selection.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.75]).select("probability", r("quantile"), "n")
