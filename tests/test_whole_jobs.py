@@ -58,7 +58,7 @@ def brute_periodogram(t, v):
         w = 2 * math.pi * (first + k * step)
         a = w * t - math.atan2(np.sin(2 * w * t).sum(), np.cos(2 * w * t).sum()) / 2
         c, s, r = np.cos(a), np.sin(a), v - v.mean()
-        out.append((2 * math.pi / w, ((r @ c) ** 2 / (c @ c) + (r @ s) ** 2 / (s @ s)) / (2 * var)))
+        out.append((2 * math.pi / w, ((r @ c) ** 2 / (c @ c) + ((r @ s) ** 2 / (s @ s) if s @ s > 1e-12 * n else 0.0)) / (2 * var)))
     return sorted(out), n
 
 
