@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import breaks, days, ranges, selection
+from tideline.operators import breaks, days, ranges, selection, smooth
 
 DAY0 = dt.date(2000, 1, 1)
 
@@ -148,3 +148,32 @@ def test_quantiles_equal_numpy(spark):
     assert len(got) == 5 * len(asked)
     for x in got:
         assert math.isclose(x["quantile"], float(np.quantile(groups[x["g"]], x["probability"])), rel_tol=1e-12) and x["n"] == len(groups[x["g"]])
+
+
+def test_local_lines_take_the_nearest_rows(spark):
+    """Against sorting all rows for each place, with many equal x on either side."""
+    r = np.random.default_rng(10)
+    worlds = {"a": r.normal(size=150).round(1), "b": r.integers(0, 4, 40).astype(float), None: r.normal(size=70), "flat": np.ones(8), "few": np.array([1.0, 2.0])}
+    rows = [(g, i, float(x), float(np.sin(x) + 0.2 * r.normal())) for g, values in worlds.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, i long, x double, y double").repartition(5)
+    got = smooth.loess(df, "x", "y", 0.35, 25, ["g"], "i").collect()
+    assert {x["g"] for x in got} == {"a", "b", None, "flat"}
+    for g in ("a", "b", None, "flat"):
+        own = [q[1:] for q in rows if q[0] == g]
+        n, low, high = len(own), min(q[1] for q in own), max(q[1] for q in own)
+        size = max(2, min(n, math.floor(0.35 * n + 0.5)))
+        places = sorted((x["x"], x["y"]) for x in got if x["g"] == g)
+        assert len(places) == 25
+        for k, (gx, y) in enumerate(places):
+            assert math.isclose(gx, low + k * (high - low) / 24, abs_tol=1e-12)
+            near = sorted(own, key=lambda q: (abs(q[1] - gx), q[1], q[0]))[:size]
+            far = max(abs(q[1] - gx) for q in near)
+            w = np.array([1.0 if far <= 0 else (1 - (abs(q[1] - gx) / far) ** 3) ** 3 for q in near])
+            a, b = np.array([q[1] for q in near]), np.array([q[2] for q in near])
+            if w.sum() <= 0:
+                assert y == near[0][2]
+                continue
+            sw, sx, sy = w.sum(), w @ a, w @ b
+            sxx, sxy = w @ (a * a) - sx * sx / sw, w @ (a * b) - sx * sy / sw
+            slope = 0.0 if abs(sxx) <= 1e-12 * max(1.0, abs(w @ (a * a))) else sxy / sxx
+            assert math.isclose(y, sy / sw + slope * (gx - sx / sw), rel_tol=1e-7, abs_tol=1e-7), (g, k)

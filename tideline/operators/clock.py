@@ -59,6 +59,11 @@ def clock_hours(rows: DataFrame, minute: str, value: str, min_n: int = 5) -> Dat
     return rows.where(F.col(minute).isNotNull()).groupBy(hour.alias("hour")).agg(F.when(F.count(v) >= min_n, F.avg(v)).alias("mean"), F.count(v).alias("n"))
 
 
+def heaviest(sessions: DataFrame, rows: int) -> DataFrame:
+    """``activity, __t`` of the activities of most strain, found by a top-k and not by ranking all."""
+    return sessions.groupBy("activity").agg(F.sum("strain").alias("__t")).orderBy(F.col("__t").desc(), "activity").limit(rows)
+
+
 def activity_week_load(sessions: DataFrame, day: str = "d", rows: int = 12) -> DataFrame:
     """Strain and sessions of the heaviest activities on contiguous Monday weeks: ``activity, week, strain, sessions, rk``.
 
@@ -66,9 +71,9 @@ def activity_week_load(sessions: DataFrame, day: str = "d", rows: int = 12) -> D
     weeks times at most ``rows`` activities.
     """
     by = sessions.groupBy("activity", S.iso_week(F.col(day)).alias("week")).agg(F.sum("strain").alias("strain"), F.count(F.lit(1)).alias("sessions"))
-    totals = sessions.groupBy("activity").agg(F.sum("strain").alias("__t"))
-    rank = F.row_number().over(Window.orderBy(F.col("__t").desc(), "activity"))  # a row for each activity
-    top = totals.withColumn("rk", rank.cast("long")).where(F.col("rk") <= rows).select("activity", "rk")
+    top = heaviest(sessions, rows)
+    rank = F.row_number().over(Window.orderBy(F.col("__t").desc(), "activity"))  # at most ``rows`` rows
+    top = top.withColumn("rk", rank.cast("long")).select("activity", "rk")
     span = sessions.agg(S.iso_week(F.min(day)).alias("a"), S.iso_week(F.max(day)).alias("b")).where("a is not null")
     weeks = span.select(F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("week"))
     spine = top.withColumn("__on", F.lit(1)).join(weeks.withColumn("__on", F.lit(1)), "__on").drop("__on")
@@ -78,5 +83,6 @@ def activity_week_load(sessions: DataFrame, day: str = "d", rows: int = 12) -> D
 def remainder(sessions: DataFrame, rows: int = 12) -> DataFrame:
     """How many activities the table above leaves out, and their strain."""
     totals = sessions.groupBy("activity").agg(F.sum("strain").alias("t"))
-    ranked = totals.withColumn("rk", F.row_number().over(Window.orderBy(F.col("t").desc(), "activity")))
-    return ranked.where(F.col("rk") > rows).agg(F.count(F.lit(1)).alias("activities"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("strain"))
+    top = heaviest(sessions, rows).select(F.col("activity").alias("of"))
+    rest = totals.join(F.broadcast(top), F.col("activity").eqNullSafe(F.col("of")), "left_anti")  # at most ``rows`` rows
+    return rest.agg(F.count(F.lit(1)).alias("activities"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("strain"))
