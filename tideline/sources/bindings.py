@@ -33,7 +33,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     orders = materialize(order_days(spark, sf_dir), "order-days")
     panel = calendar_spine(orders, "d").withColumn("n_orders", F.coalesce("n_orders", F.lit(0))).join(ship_days(spark, sf_dir), "d", "left")
-    return materialize(panel.coalesce(1), "daily")  # a row a day
+    return materialize(panel, "daily")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
