@@ -67,6 +67,7 @@ def parse_timestamp(raw: Column) -> Column:
     def month_in_words(pattern: str, group: int) -> Column:
         return ((F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(t, pattern, group))) + 2) / 3).cast("int")
 
+    # The forms of a time that are read.
     iso = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
     us = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4})[ ,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM)?"
     bare = r"^(\d{4})-(\d{2})-(\d{2})$"
