@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.operators import layout, multiplicity
 from tideline.plans import estimators, queries
@@ -106,3 +107,31 @@ def test_whole_texts_are_shortened(spark, sf):
     assert set(got) == set(texts)
     assert all(out is None or len(out) <= 34 for out in got.values())
     assert all(out.endswith("…") for i, out in got.items() if texts[i] and len(texts[i]) > 60)
+
+
+def test_pages_are_packed_as_they_come(spark):
+    """Many pages a task, and pages longer than a batch; a page is no group of its own."""
+    rng = random.Random(6)
+    rows = []
+    for page in range(120):
+        on = True
+        for k in range(rng.choice([1, 1, 2, 5, 60])):
+            on = on if rng.random() < 0.8 else not on
+            rows.append((None if page == 7 else page, page % 2, k, rng.choice([0, 1, 2, 3, 4, 6, 9, 12, 14]), on))
+    df = spark.createDataFrame(rows, "page long, half int, ord long, span int, is_on boolean").repartition(5)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        packed = layout.pack_rows(df, ["page", "half"])
+        assert "FlatMapGroups" not in packed._jdf.queryExecution().toString()
+        got = packed.collect()
+        whole = layout.pack_rows(df.withColumn("ord", F.xxhash64("page", "ord"))).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sorted((x["page"] or -1, x["ord"]) for x in got) == sorted((r[0] or -1, r[2]) for r in rows)
+    pages = defaultdict(list)
+    for x in sorted(got, key=lambda x: x["ord"]):
+        pages[x["page"]].append(x)
+    for page in [*pages.values(), whole]:
+        assert [(x["row"], x["width"]) for x in page] == layout.pack([x["span"] for x in page], [x["is_on"] for x in page])
+    assert layout.pack_rows(df.where("false"), ["page", "half"]).count() == 0
