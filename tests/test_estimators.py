@@ -185,6 +185,16 @@ def test_step_is_found(spark):
     assert breaks.single_change_point(series(spark, r.normal(size=100)), "v").count() == 0
 
 
+def test_best_split_without_gain(spark):
+    v = np.random.default_rng(12).normal(size=100)
+    errors = [v[:i].var() * i + v[i:].var() * (100 - i) for i in range(10, 91)]
+    i = 10 + int(np.argmin(errors))
+    assert breaks.single_change_point(series(spark, v), "v").count() == 0
+    one = breaks.single_change_point(series(spark, v), "v", gained=False).first()
+    assert one["d"] == DAY0 + dt.timedelta(days=i) and np.allclose([one["before"], one["after"]], [v[:i].mean(), v[i:].mean()])
+    assert one["bic_gain"] < 0 and np.isclose(one["bic_gain"], -(100 * np.log(min(errors) / (v.var() * 100)) + 2 * np.log(100)))
+
+
 def test_cusum_against_plain_loop(spark):
     r = np.random.default_rng(11)
     v = [None if i % 17 == 3 else float(x) for i, x in enumerate(np.r_[r.normal(0, 1, 40), r.normal(2, 1, 40)])]

@@ -141,8 +141,8 @@ def cusum(df: DataFrame, x: str, day: str = "d", k: float = 0.5, h: float = 5.0,
     return with_keys(held.withColumn("z", F.when(~F.isnan("z"), F.col("z"))), keys, df)
 
 
-def single_change_point(df: DataFrame, x: str, day: str = "d", min_segment: int = 10, min_n: int = 30, keys: Sequence[str] = NONE) -> DataFrame:
-    """The one split into two means that gains most: ``d, before, after, bic_gain``; no row where nothing is gained.
+def single_change_point(df: DataFrame, x: str, day: str = "d", min_segment: int = 10, min_n: int = 30, keys: Sequence[str] = NONE, gained: bool = True) -> DataFrame:
+    """The one split into two means that gains most: ``d, before, after, bic_gain``; no row where nothing is gained, unless ``gained`` is false.
 
     Running sums over the observed days give the error of every split at once.
     """
@@ -159,9 +159,10 @@ def single_change_point(df: DataFrame, x: str, day: str = "d", min_segment: int
     splits = s.where((F.col("n") >= max(min_n, 2 * min_segment)) & (F.col("i") >= min_segment) & (right >= min_segment)).withColumns({"sse": sse, "total": total})
     best = splits.groupBy(*keys).agg(F.min_by(F.struct("d", "i", "n", "ls", "ts", "sse", "total"), F.struct("sse", "i")).alias("b")).select(*keys, "b.*")
     gain = -(F.col("n") * F.ln(F.col("sse") / F.col("total")) + 2 * F.ln("n"))
-    return best.where((F.col("sse") > 0) & (F.col("total") > 0)).select(
+    out = best.where((F.col("sse") > 0) & (F.col("total") > 0)).select(
         *keys, "d", (F.col("ls") / F.col("i")).alias("before"), ((F.col("ts") - F.col("ls")) / (F.col("n") - F.col("i"))).alias("after"), gain.alias("bic_gain")
-    ).where("bic_gain > 0")
+    )
+    return out.where("bic_gain > 0") if gained else out
 
 
 def change_points(df: DataFrame, x: str, day: str = "d", min_segment: int = 10, most: int = 6, min_n: int = 30, keys: Sequence[str] = NONE) -> DataFrame:
