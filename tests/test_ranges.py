@@ -150,6 +150,30 @@ def test_quantiles_equal_numpy(spark):
         assert math.isclose(x["quantile"], float(np.quantile(groups[x["g"]], x["probability"])), rel_tol=1e-12) and x["n"] == len(groups[x["g"]])
 
 
+def test_small_entities_are_sorted_and_large_ones_narrowed(spark, monkeypatch):
+    """A value is looked at once a pass, and entities of few values by none."""
+    passes = []
+    kept = selection.materialize
+    monkeypatch.setattr(selection, "materialize", lambda df, label: passes.append(label) or kept(df, label))
+    r = np.random.default_rng(19)
+    groups = {(1, "a"): r.normal(size=900), (1, None): r.integers(0, 5, 700).astype(float), (None, "b"): r.normal(size=30), (2, "a"): np.zeros(400), (None, None): 10.0 ** r.uniform(-6, 6, 300), (3, "c"): np.array([5.0])}
+    rows = [(*g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g int, `h i` string, v double").repartition(4)
+    asked = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for most in (40, 10_000):
+        passes.clear()
+        got = selection.exact_quantiles(df, "v", asked, ["g", "h i"], buckets=16, most=most).collect()
+        assert len(got) == len(groups) * len(asked)
+        for x in got:
+            held = groups[x["g"], x["h i"]]
+            assert math.isclose(x["quantile"], float(np.quantile(held, x["probability"])), rel_tol=1e-12, abs_tol=1e-300) and x["n"] == len(held)
+        assert (len(passes) == 4) == (most == 10_000)
+    every = np.concatenate(list(groups.values()))
+    for x in selection.exact_quantiles(df, "v", asked, most=40).collect():
+        assert math.isclose(x["quantile"], float(np.quantile(every, x["probability"])), rel_tol=1e-12)
+    assert selection.exact_quantiles(df.where("false"), "v", asked, ["g"]).count() == 0
+
+
 def test_local_lines_take_the_nearest_rows(spark):
     """Against sorting all rows for each place, with many equal x on either side."""
     r = np.random.default_rng(10)
