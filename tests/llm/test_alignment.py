@@ -85,3 +85,20 @@ def test_spans_and_counts():
     assert marks == bytes([1, 2, 3, 0, 2, 3])
     spans = alignment.SPAN.findall(marks)
     assert [divmod(alignment.span_counts(s), 1 << 32) for s in spans] == [(2, 2), (1, 2)]
+
+
+def test_unknown_runs_of_a_text_are_one_call():
+    pieces = alignment.WordPieces(public_tokenizers.path("piece_bpe_32k.model"))
+    calls, kept = [], pieces.library
+
+    class Counting:
+        def encode(self, given, **more):
+            calls.append(given)
+            return kept.encode(given, **more)
+
+    pieces.library = Counting()
+    text = " zyxqa qwvut  zyxqa\n\t lkjhg7 42 \u00e9t\u00e9 \u65e5\u672c!? "
+    want = kept.encode(text[1:])
+    for _ in range(2):
+        assert list(memoryview(pieces.encode(text)).cast("I")) == want
+    assert len(calls) == 1

@@ -98,18 +98,22 @@ class WordPieces:
         self.bytes = token_bytes_b(self)
         self.cache = BoundedCache(CACHE_WORDS)
 
-    def _run(self, run: str) -> bytes:
-        held = self.cache.find(run)
-        if held is None:
-            if run[0] != " ":
-                ids = self.library.encode("\n" + run)[self.after_break :]
-            else:
-                # The library puts a blank before what it is given, and gives nothing for nothing.
-                ids = self.library.encode(run[1:]) if run != " " else self.one_blank
-            held = self.verified(ids, run)
-            if len(run) <= CACHE_CHARS:
-                self.cache.put(run, held)
-        return held
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of distinct runs, by one call of the library for all that are not remembered."""
+        known = {run: self.cache.find(run) for run in runs}
+        fresh = [run for run, held in known.items() if held is None]
+        if fresh:
+            # The library puts a blank before what it is given, and gives nothing for nothing.
+            given = self.library.encode([run[1:] if run[0] == " " else "\n" + run for run in fresh], num_threads=1)
+            for run, ids in zip(fresh, given, strict=True):
+                if run[0] != " ":
+                    ids = ids[self.after_break :]
+                elif run == " ":
+                    ids = self.one_blank
+                held = known[run] = self.verified(ids, run)
+                if len(run) <= CACHE_CHARS:
+                    self.cache.put(run, held)
+        return known
 
     def verified(self, ids: list[int], text: str) -> bytes:
         if b"".join(map(self.bytes.__getitem__, ids)) != text.encode():
@@ -122,13 +126,12 @@ class WordPieces:
             return self.verified(self.library.encode(spaced[1:]), spaced)
         runs = self.runs(spaced)
         found = list(map(self.cache.get, runs))
-        at = -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                found[at] = self._run(runs[at])
-        except ValueError:
-            return b"".join(found)
+        if None in found:
+            places = [k for k, held in enumerate(found) if held is None]
+            learnt = self._learn([runs[k] for k in places])
+            for k in places:
+                found[k] = learnt[runs[k]]
+        return b"".join(found)
 
 
 def token_bytes_a(encoder: PieceEncoder) -> list[bytes]:
