@@ -95,6 +95,27 @@ def test_families_that_share_their_edits(spark, monkeypatch):
     assert got == root and 3 < len(set(root.values())) < 240 and reached
 
 
+def test_pairs_are_tallied_before_they_are_verified(spark, monkeypatch):
+    """The count filter keeps every pair of near copies and leaves out pairs of few common positions."""
+    rng = random.Random(15)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = list(enumerate([" ".join(words), "a b c d e f g h", "a b c d e f g h i"] + [edited(rng, words, e) for e in range(1, 60)]))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = brute_sets(texts)
+    id_of = {r["node"]: r["doc_id"] for r in near.signatures(df).collect()}
+    nodes = near.signatures(df).select("node", "bytes")
+    pairs = nodes.selectExpr("node as u").crossJoin(nodes.selectExpr("node as v")).where("u > v")
+    got = {frozenset((id_of[r["u"]], id_of[r["v"]])) for r in near.tallied(pairs, nodes).collect()}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    close = {frozenset(p) for p, x in like.items() if x >= 0.8}
+    assert len(close) > 5 and close <= got and not any(frozenset(p) in got for p, x in like.items() if x < 0.2)
+    asked = []
+    kept = near.tallied
+    monkeypatch.setattr(near, "tallied", lambda *a: asked.append(1) or kept(*a))
+    near.near_copies(df).collect()
+    assert len(asked) > 1
+
+
 def test_rows_without_an_id_stay(spark):
     rows = [(3, "a b c d e f g"), (None, "a b c d e f g"), (None, "p q r s t"), (5, "A b c d e f G")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
