@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -102,3 +103,40 @@ def test_unknown_runs_of_a_text_are_one_call():
     for _ in range(2):
         assert list(memoryview(pieces.encode(text)).cast("I")) == want
     assert len(calls) == 1
+
+
+def aligner():
+    return alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@pytest.mark.parametrize("letters", ["abstredlvm", "asteé", "sté日ß\u0301\u0660"])
+def test_stretches_are_encoded_as_within_a_text(libraries, monkeypatch, letters):
+    monkeypatch.setattr(alignment, "CACHE_STRETCHES", 200)
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 500)
+    draw = random.Random(7)
+    characters = letters + "A12   \n\n\t''.,!_-\r\xa0\x85\x00"
+    texts = ["".join(draw.choices(characters, k=draw.randint(1, 40))) for _ in range(3000)]
+    got = [(k, *x[:4]) for k, x in enumerate(aligner().documents(texts))]
+    assert got == sorted((d, na, nb, groups, sha) for d, na, nb, groups, _, _, _, sha in brute(libraries, list(enumerate(texts))))
+
+
+def test_known_stretches_are_not_labelled_again(monkeypatch):
+    lengths, label = [], alignment.labels
+    monkeypatch.setattr(alignment, "labels", lambda a, b, n: lengths.append(n) or label(a, b, n))
+    both = aligner()
+    text = "Some words, and some more words; it's 12 words.\nIn all " * 20
+    first = list(both.documents([text, text + text]))
+    assert sum(lengths) <= len(text) / 10
+    again = list(both.documents([text]))
+    assert sum(lengths) <= len(text) / 10
+    assert again[0][:4] == first[0][:4]
+
+
+def test_only_texts_with_an_inexact_stretch_have_no_tokens(libraries):
+    both = aligner()
+    texts = [f"plain {k} words, {'never' if k % 3 else 'always'} more" for k in range(20)]
+    want = [x[:4] for x in both.documents(texts)]
+    both = aligner()
+    both.b.bytes[libraries[1].encode("never")[-1]] = b"?"
+    assert [x[:4] for x in both.documents(texts)] == [(0, 0, 0, "") if "never" in t else w for t, w in zip(texts, want, strict=True)]
+    assert want[0][0] > 0

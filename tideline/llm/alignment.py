@@ -6,6 +6,11 @@ each both-label; the labels of a span count the tokens of its group.  The tokens
 of a group cover the same bytes, and its last tokens, which end together, are a
 link.
 
+Texts are cut into stretches where each tokenizer begins anew whatever comes
+before or after.  The stretches that a task does not remember are encoded and
+labelled together, those of many documents at a time; a document's groups are
+those of its stretches in order.
+
 How often a pair of ids is linked is counted over all documents.  The pairs that
 make up at least one link in ``HEAVY`` are at most ``HEAVY``, so the tasks
 hold them in memory; documents meet the others, none of which is frequent, by a
@@ -18,20 +23,23 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import BoundedCache, classes_alike, materialize, plain_latin, table, whole_text
+from .common import LATIN_LETTERS, BoundedCache, classes_alike, materialize, plain_latin, table, whole_text
 from .token_codes import _PACK, CACHE_CHARS, PieceEncoder
 
 #: Pairs with at least one link in so many are held in memory, at 17 bytes each.
 HEAVY = 100_000
 CACHE_WORDS = 300_000
+CACHE_STRETCHES = 300_000
+#: Documents of so many characters are cut before what is new in them is encoded.
+CHUNK_CHARS = 1 << 18
 CACHE_SPANS = 50_000
 CACHE_SPAN_BYTES = 32
 A_END, B_END = 1, 2
@@ -40,6 +48,7 @@ SPAN = re.compile(rb"[^\x03]*\x03", re.DOTALL)
 BLANK = "▁"
 
 _DOCS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+_NAMES = [column.split(" ")[0] for column in _DOCS.split(", ")]
 
 
 class Inexact(Exception):
@@ -59,6 +68,13 @@ class ExactPieces(PieceEncoder):
         self.library.encode_special_tokens = True
         self.bytes = token_bytes_a(self)
 
+    def ids(self, stretch: str) -> list[int]:
+        if stretch.isascii() and stretch.isprintable():
+            coded = [piece.replace(" ", self.alphabet[32]) for piece in self.split(stretch)]
+        else:
+            coded = [piece.encode().decode("latin-1").translate(self.alphabet) for piece in self.split(stretch)]
+        return [t.id for piece in coded for t in self.model.tokenize(piece)]
+
     def verified(self, ids: bytes, text: str) -> bytes:
         if b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I"))) != text.encode():
             raise Inexact
@@ -102,19 +118,20 @@ class WordPieces:
         """The ids of distinct runs, by one call of the library for all that are not remembered."""
         known = {run: self.cache.find(run) for run in runs}
         fresh = [run for run, held in known.items() if held is None]
-        if fresh:
-            # The library puts a blank before what it is given, and gives nothing for nothing.
-            given = self.library.encode([run[1:] if run[0] == " " else "\n" + run for run in fresh], num_threads=1)
-            for run, ids in zip(fresh, given, strict=True):
-                if run[0] != " ":
-                    ids = ids[self.after_break :]
-                elif run == " ":
-                    ids = self.one_blank
-                held = known[run] = self.verified(ids, run)
-                if len(run) <= CACHE_CHARS:
-                    self.cache.put(run, held)
+        for run, ids in zip(fresh, self.ids(fresh), strict=True):
+            held = known[run] = self.verified(ids, run)
+            if len(run) <= CACHE_CHARS:
+                self.cache.put(run, held)
         return known
 
+    def ids(self, parts: list[str]) -> list[list[int]]:
+        """The ids of runs, or of several together, each as within a text, by one call of the library."""
+        if not parts:
+            return []
+        # The library puts a blank before what it is given, and gives nothing for nothing.
+        given = self.library.encode([x[1:] if x[0] == " " else "\n" + x for x in parts], num_threads=1)
+        return [(ids if x != " " else self.one_blank) if x[0] == " " else ids[self.after_break :] for x, ids in zip(parts, given, strict=True)]
+
     def verified(self, ids: list[int], text: str) -> bytes:
         if b"".join(map(self.bytes.__getitem__, ids)) != text.encode():
             raise Inexact
@@ -159,6 +176,24 @@ def span_counts(span: bytes) -> int:
     return span.count(A_END) + both << 32 | span.count(B_END) + both
 
 
+def cutter(letter: str, digit: str, mark: str, other: str):
+    """The cut of a text into stretches, from what matches a character of each class.
+
+    Both tokenizers begin anew after a run of letters or digits, and after marks
+    (with one line break) before such a run, with or without one blank.  What has
+    more white space, or a quote before letters, goes with the run behind it.
+    """
+    run = f"{letter}+|{digit}+"
+    ahead = f"(?= ?(?:{letter}|{digit}))"
+    return re.compile(f" ?{letter}+| ?{digit}+|(?!'{letter}) ?{mark}++\n?+{ahead}|\n{ahead}|{other}*(?:{run})|{other}+").findall
+
+
+#: What is known of a stretch: its part of the listing, its links as 64-bit integers, its tokens of A (in the high half) and of B.
+Known = tuple[bytes, bytes, int]
+#: Of one whose bytes a tokenizer does not give back; no text has so many tokens.
+INEXACT: Known = (b"", b"", 1 << 96)
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ExactPieces(path_a), WordPieces(path_b)
@@ -168,6 +203,9 @@ class Aligner:
         # An id in decimal with what follows it: within A, after A's last, within B, after B's last.
         self.shown = np.array([f"{i}{end}".encode() for ends, many in (((",", "|"), self.many_a), ((",", ";"), self.many_b)) for end in ends for i in range(many)], object)
         self.spans = BoundedCache(CACHE_SPANS)
+        self.known = BoundedCache(CACHE_STRETCHES)
+        self.cut = cutter(r"[^\W\d_]", r"\d", r"(?:[^\s\w]|_)", r"[\W_]")
+        self.cut_latin = cutter(f"[{LATIN_LETTERS}]", "[0-9]", rf"[^\s{LATIN_LETTERS}0-9]", f"[^{LATIN_LETTERS}0-9]")
 
     def _count(self, span: bytes) -> int:
         held = self.spans.find(span)
@@ -177,20 +215,8 @@ class Aligner:
                 self.spans.put(span, held)
         return held
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both, or None where a tokenizer's bytes are not those of a blank and the text."""
-        if not text or BLANK in text:  # the character comes back as a blank
-            return None
-        spaced = " " + text
-        try:
-            a, b = self.a.encode(spaced), self.b.encode(spaced)
-        except Inexact:
-            return None
-        return np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
-
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def groups(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of A, and of B, each group has."""
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         spans = SPAN.findall(labels(ends_a, ends_b, int(ends_a[-1])))
         found = list(map(self.spans.get, spans))
         at = -1
@@ -202,8 +228,8 @@ class Aligner:
             counts = np.array(found, np.int64)
             return counts >> 32, counts & 0xFFFFFFFF
 
-    def listing(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> bytes:
-        """``a1,a2|b1;a3|b2,b3`` in decimal ids."""
+    def listing(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> list[bytes]:
+        """The tokens of ``a1,a2|b1;a3|b2,b3;``, decimal ids each with the character behind it."""
         upto_a, upto_b = np.cumsum(na), np.cumsum(nb)
         codes = np.empty(len(a) + len(b), np.int64)
         place_a = np.arange(len(a)) + np.repeat(upto_b - nb, na)
@@ -212,17 +238,97 @@ class Aligner:
         codes[place_b] = b + 2 * self.many_a
         codes[place_a[upto_a - 1]] += self.many_a
         codes[place_b[upto_b - 1]] += self.many_b
-        return b"".join(self.shown[codes].tolist())[:-1]
+        return self.shown[codes].tolist()
+
+    def aligned(self, parts: list[str], ids_a: list, ids_b: list) -> list[Known]:
+        """What is to be known of stretches, or of whole texts, of the given ids."""
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        many = [np.fromiter(map(len, ids), np.int64, len(parts)) for ids in (ids_a, ids_b)]
+        upto_a, upto_b = map(np.cumsum, many)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        whole = [part.encode() for part in parts]
+        ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+        exact = all(n.min() > 0 for n in many) and np.array_equal(ends_a[upto_a - 1], ends) and np.array_equal(ends_b[upto_b - 1], ends)
+        if not exact or not b"".join(map(self.a.bytes.__getitem__, a.tolist())) == b"".join(whole) == b"".join(map(self.b.bytes.__getitem__, b.tolist())):
+            if len(parts) == 1:
+                return [INEXACT]
+            half = len(parts) // 2
+            return [known for cut in (slice(half), slice(half, None)) for known in self.aligned(parts[cut], ids_a[cut], ids_b[cut])]
+        na, nb = self.groups(ends_a, ends_b)
+        last_a = np.cumsum(na)
+        links = (a[last_a - 1] * self.many_b + b[np.cumsum(nb) - 1]).astype("<i8").tobytes()
+        shown = self.listing(a, b, na, nb)
+        to = zip((upto_a + upto_b).tolist(), (8 * np.searchsorted(last_a, upto_a) + 8).tolist(), (many[0] << 32 | many[1]).tolist(), strict=True)
+        out, token, link = [], 0, 0
+        for upto, up_link, n in to:
+            out.append((b"".join(shown[token:upto]), links[link:up_link], n))
+            token, link = upto, up_link
+        return out
+
+    def whole(self, spaced: str) -> Known:
+        """What is known of a text that can't be cut."""
+        try:
+            a, b = self.a.encode(spaced), self.b.encode(spaced)
+        except Inexact:
+            return INEXACT
+        return self.aligned([spaced], [memoryview(a).cast("I")], [memoryview(b).cast("I")])[0]
 
-    def document(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """``n_a, n_b, n_groups, n_links, groups_sha256`` and the distinct links with how often each comes."""
-        ids = self.tokens(text)
-        if ids is None:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = ids
-        na, nb = self.groups(a, b)
-        pairs, times = np.unique(a[np.cumsum(na) - 1] * self.many_b + b[np.cumsum(nb) - 1], return_counts=True)
-        return len(a), len(b), len(na), len(na), hashlib.sha256(self.listing(a, b, na, nb)).hexdigest(), pairs, times
+    def stretches(self, spaced: str) -> list[str] | None:
+        """The stretches of a text, or None where it can't be cut."""
+        if any(s in spaced for s in self.b.spanning):
+            return None
+        return self.cut_latin(spaced) if plain_latin(spaced) else self.cut(spaced) if classes_alike(spaced) else None
+
+    def learn(self, fresh: list[str]) -> dict[str, Known]:
+        if not fresh:
+            return {}
+        learnt = dict(zip(fresh, self.aligned(fresh, list(map(self.a.ids, fresh)), self.b.ids(fresh)), strict=True))
+        for stretch, held in learnt.items():
+            if len(stretch) <= CACHE_CHARS:
+                self.known.put(stretch, held)
+        return learnt
+
+    def documents(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """``n_a, n_b, n_groups, groups_sha256`` of each text and its distinct links with how often each comes."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= CHUNK_CHARS:
+                yield from self._chunk(held)
+                held, chars = [], 0
+        yield from self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        rows, holes, fresh = [], [], {}
+        for text in texts:
+            if not text or BLANK in text:  # the character comes back as a blank
+                rows.append([INEXACT])
+                continue
+            spaced = " " + text
+            parts = self.stretches(spaced)
+            if parts is None:
+                rows.append([self.whole(spaced)])
+                continue
+            row = list(map(self.known.get, parts))
+            for k in [k for k, known in enumerate(row) if known is None]:
+                row[k] = self.known.find(parts[k])
+                if row[k] is None:
+                    fresh[parts[k]] = None
+                    holes.append((row, k, parts[k]))
+            rows.append(row)
+        learnt = self.learn(list(fresh))
+        for row, k, part in holes:
+            row[k] = learnt[part]
+        for row in rows:
+            listing, links, n = zip(*row, strict=True)
+            n = sum(n)
+            if n >= INEXACT[2]:
+                yield 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+                continue
+            each = np.sort(np.frombuffer(b"".join(links), "<i8"))
+            first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
+            yield n >> 32, n & 0xFFFFFFFF, len(each), hashlib.sha256(b"".join(listing)[:-1]).hexdigest(), each[first], np.diff(np.r_[first, len(each)])
 
 
 @lru_cache(maxsize=1)
@@ -233,15 +339,18 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``_DOCS`` of ``row, doc_id, text``."""
 
-    def run_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                found = list(zip(*map(both.document, part["text"]), strict=True))
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").to_numpy(), **dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"), found, strict=True))})
-
-    return docs.mapInPandas(run_task, _DOCS)
+                part = batch.slice(at, 2048)
+                n_a, n_b, n_groups, digests, pairs, times = zip(*both.documents(part.column("text").to_pylist()), strict=True)
+                starts = pa.array(np.r_[0, np.cumsum([len(x) for x in pairs])], pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x), kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
+                numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_groups)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *numbers, pa.array(digests, pa.string()), *lists], _NAMES)
+
+    return docs.mapInArrow(run_task, _DOCS)
 
 
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
